@@ -2,6 +2,7 @@
 
 from millrace.plans.spread import (
     chunked,
+    global_slice,
     hot_keys,
     key_slice,
     positions,
@@ -12,6 +13,7 @@ from millrace.plans.spread import (
 
 __all__ = [
     "chunked",
+    "global_slice",
     "hot_keys",
     "key_slice",
     "positions",

@@ -287,3 +287,43 @@ def spread_join(
     joined = big.alias("l").join(small.alias("r"), _on([*keys, "_salt"], "l", "r"), how)
     extra = [] if how in ("left_semi", "left_anti") else [c for c in per_key.columns if c not in keys]
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], *[F.col(f"r.{c}") for c in extra])
+
+
+def global_slice(
+    df: DataFrame,
+    order: Sequence[str],
+    start: int,
+    size: int | None,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+    max_chunks: int = MAX_CHUNKS,
+) -> DataFrame:
+    """Rows at positions ``[start, start + size)`` of the whole set (to the end with ``None``).
+
+    The set is cut into chunks along ``order`` and the chunks are counted; only chunks that hold a
+    part of the slice are read on and sorted, each in a task of its own.
+    """
+    whole = df.withColumn("_all", F.lit(0))
+    cuts = _cut_points(whole, ["_all"], order, rows_per_chunk, max_chunks)
+    # A scalar subquery: null when the set is too small to be cut, then no cut is at or before a row.
+    found = _cuts_at_or_before(cuts.agg(F.first("_cuts")).scalar(), F.struct(*order))
+    rows = df.withColumn(CHUNK, found)
+    # One row per chunk: at most max_chunks + 1 rows pass this window and are broadcast.
+    ahead = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    reach = (
+        rows.groupBy(CHUNK)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+        .filter(F.col("_ahead") + F.col("_n") > start)
+    )
+    inside = F.col("_position") >= start
+    if size is not None:
+        reach = reach.filter(F.col("_ahead") < start + size)
+        inside = inside & (F.col("_position") < start + size)
+    rank = F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order))
+    return (
+        rows.join(F.broadcast(reach.drop("_n")), CHUNK)
+        .withColumn("_position", rank - 1 + F.col("_ahead"))
+        .filter(inside)
+        .drop(CHUNK, "_ahead", "_position")
+        .orderBy(*order)
+    )
