@@ -41,8 +41,9 @@ def duration_ms(text: Column) -> Column:
     # 19 digits times at most 12 digits fit a decimal(38), so the product is exact.
     total = number.cast("decimal(20,0)") * micros.cast("decimal(14,0)")
     whole = (total - total % 1000) / 1000
-    held = F.greatest(F.lit(-_MAX - 1).cast("decimal(38,0)"), F.least(F.lit(_MAX).cast("decimal(38,0)"), whole.cast("decimal(38,0)")))
-    return held.cast("bigint")
+    low, high = (F.lit(x).cast("decimal(38,0)") for x in (-_MAX - 1, _MAX))
+    held = F.greatest(low, F.least(high, whole.cast("decimal(38,0)"))).cast("bigint")
+    return F.when(number.isNotNull() & micros.isNotNull(), held)
 
 
 def duration_error(text: Column) -> Column:

@@ -305,8 +305,12 @@ def global_slice(
     whole = df.withColumn("_all", F.lit(0))
     cuts = _cut_points(whole, ["_all"], order, rows_per_chunk, max_chunks)
     # A scalar subquery: null when the set is too small to be cut, then no cut is at or before a row.
-    found = _cuts_at_or_before(cuts.agg(F.first("_cuts")).scalar(), F.struct(*order))
-    rows = df.withColumn(CHUNK, found)
+    found = _cuts_at_or_before(F.col("_cuts"), F.struct(*order))
+    rows = (
+        df.withColumn("_cuts", cuts.agg(F.first("_cuts")).scalar())
+        .withColumn(CHUNK, found)
+        .drop("_cuts")
+    )
     # One row per chunk: at most max_chunks + 1 rows pass this window and are broadcast.
     ahead = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     reach = (
