@@ -5,30 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted units and their length in microseconds.
-UNIT_MICROS = {
-    "us": 1,
-    "ms": 1_000,
-    "s": 1_000_000,
-    "m": 60_000_000,
-    "min": 60_000_000,
-    "h": 3_600_000_000,
-    "d": 86_400_000_000,
+# Accepted units and their length in milliseconds; microseconds are divided instead.
+UNIT_MS = {
+    "ms": 1,
+    "s": 1_000,
+    "m": 60_000,
+    "min": 60_000,
+    "h": 3_600_000,
+    "d": 86_400_000,
 }
+MICROSECONDS = "us"
 # Fixed value: the shape of a time string, matched on its lowercase form.
 _SHAPE = r"^(-?[0-9]+)([a-z]+)?\z"
 
-_MAX = 2**63 - 1
+_MIN, _MAX = -(2**63), 2**63 - 1
 
 
 def _parts(text: Column) -> tuple[Column, Column]:
     lowered = F.lower(text)
-    number = F.regexp_extract(lowered, _SHAPE, 1).try_cast("bigint")
-    return number, F.regexp_extract(lowered, _SHAPE, 2)
+    # One match for both parts: where it fails the digits are empty, and the number is null.
+    digits = F.regexp_extract(lowered, _SHAPE, 1)
+    return digits.try_cast("bigint"), F.substr(lowered, F.length(digits) + 1)
 
 
-def _unit_table() -> Column:
-    return F.create_map(*[F.lit(x) for kv in UNIT_MICROS.items() for x in kv])
+def _unit_ms(unit: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in {"": 1, **UNIT_MS}.items() for x in kv])
+    return F.try_element_at(table, unit)
 
 
 def duration_ms(text: Column) -> Column:
@@ -37,21 +39,23 @@ def duration_ms(text: Column) -> Column:
     Microseconds are cut toward zero; results beyond a 64-bit integer stick to its ends.
     """
     number, unit = _parts(text)
-    micros = F.try_element_at(_unit_table(), F.when(unit == "", "ms").otherwise(unit))
-    # 19 digits times at most 12 digits fit a decimal(38), so the product is exact.
-    total = number.cast("decimal(20,0)") * micros.cast("decimal(14,0)")
-    whole = (total - total % 1000) / 1000
-    low, high = (F.lit(x).cast("decimal(38,0)") for x in (-_MAX - 1, _MAX))
-    held = F.greatest(low, F.least(high, whole.cast("decimal(38,0)"))).cast("bigint")
-    return F.when(number.isNotNull() & micros.isNotNull(), held)
+    factor = _unit_ms(unit).cast("bigint")
+    end = F.when(number < 0, F.lit(_MIN)).otherwise(F.lit(_MAX))
+    return (
+        F.when(number.isNull(), F.lit(None))
+        .when(unit == MICROSECONDS, F.call_function("div", number, F.lit(1000)))
+        .when(factor.isNotNull(), F.coalesce(F.try_multiply(number, factor), end))
+        .cast("bigint")
+    )
 
 
 def duration_error(text: Column) -> Column:
     """Why a time string is invalid, or null."""
     number, unit = _parts(text)
-    known = F.map_contains_key(_unit_table(), unit)
     return (
-        F.when(text.isNull(), F.lit(None))
-        .when(number.isNull(), F.concat(F.lit("Invalid time string: "), text))
-        .when((unit != "") & ~known, F.concat(F.lit('Invalid suffix: "'), unit, F.lit('"')))
+        F.when(number.isNull() & text.isNotNull(), F.concat(F.lit("Invalid time string: "), text))
+        .when(
+            number.isNotNull() & (unit != MICROSECONDS) & _unit_ms(unit).isNull(),
+            F.concat(F.lit('Invalid suffix: "'), unit, F.lit('"')),
+        )
     )

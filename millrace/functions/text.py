@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.binding import let
+
 # How internal frames of the Scala shell are recognised and renamed.
 FRAME_MARKER = "$iwC$$iwC.<init>"
+AT_LINE = r"^[\x00-\x20]*at"
 USER_CLASS = r"(\$iwC\$)*\$iwC"
 USER_CLASS_NAME = "<user code>"
 
@@ -58,8 +61,25 @@ def error_name(text: Column) -> Column:
 
 def error_traceback(text: Column) -> Column:
     """The lines after the first one, each with its newline."""
-    lines = F.split(text, r"(?<=\n)")
-    return F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x != "")
+    lines = F.split(F.substr(text, F.instr(text, "\n") + 1), r"(?<=\n)")
+    return F.when(
+        text.isNotNull(),
+        F.when(text.contains("\n"), F.array_remove(lines, "")).otherwise(_no_lines()),
+    )
+
+
+def _no_lines() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _rest(lines: Column, start: Column) -> Column:
+    """Elements from the 1-based ``start`` on."""
+    return F.slice(lines, start, F.greatest(F.size(lines) - start + 1, F.lit(0)))
+
+
+def _first_match(lines: Column, test) -> Column:
+    """1-based position of the first matching element, 0 if none."""
+    return F.array_position(F.transform(lines, test), True).cast("int")
 
 
 def clean_trace(lines: Column) -> Column:
@@ -69,24 +89,39 @@ def clean_trace(lines: Column) -> Column:
     with ``at``; in the rest the shell's generated class chains are shown as user code. A trace
     without the marker is left as it is.
     """
-    start = F.array_position(F.transform(lines, lambda x: x.contains(FRAME_MARKER)), True)
-    # 1-based index of the first line past the run; 0 when the run reaches the end.
-    end = F.array_position(
-        F.transform(lines, lambda x, i: (i >= start) & ~_trim_control(x).startswith("at")), True
-    )
-    kept = F.filter(lines, lambda x, i: (i + 1 < start) | ((end > 0) & (i + 1 >= end)))
-    cleaned = F.transform(
-        kept, lambda x: F.regexp_replace(x, USER_CLASS, USER_CLASS_NAME)
+
+    def cut(trace: Column, start: Column) -> Column:
+        tail = _rest(trace, start)
+        after = let(
+            tail,
+            lambda t: let(
+                _first_match(t, lambda x: ~x.rlike(AT_LINE)),
+                lambda end: F.when(end > 0, _rest(t, end)).otherwise(_no_lines()),
+            ),
+        )
+        kept = F.concat(F.slice(trace, 1, start - 1), after)
+        return F.transform(kept, lambda x: F.regexp_replace(x, USER_CLASS, USER_CLASS_NAME))
+
+    return let(
+        lines,
+        lambda trace: let(
+            _first_match(trace, lambda x: x.contains(FRAME_MARKER)),
+            lambda start: F.when(start > 0, cut(trace, start)).otherwise(trace),
+        ),
     )
-    return F.when(start > 0, cleaned).otherwise(lines)
 
 
 def clean_python_trace(lines: Column) -> Column:
     """Keep the header line and drop everything up to and with the first top-level shell frame."""
-    top = F.array_position(F.transform(lines, lambda x: x.rlike(PYTHON_TOP_FRAME)), True)
-    return F.when(
-        top > 0, F.filter(lines, lambda x, i: (i == 0) | (i + 1 > top))
-    ).otherwise(lines)
+    return let(
+        lines,
+        lambda trace: let(
+            _first_match(trace, lambda x: x.rlike(PYTHON_TOP_FRAME)),
+            lambda top: F.when(
+                top > 0, F.concat(F.slice(trace, 1, 1), _rest(trace, F.greatest(top, F.lit(1)) + 1))
+            ).otherwise(trace),
+        ),
+    )
 
 
 def strip_ansi(text: Column) -> Column:
@@ -102,29 +137,34 @@ def cell_chunks(code: Column) -> Column:
     known commands, ``empty`` (a bare ``%``) or ``unknown``. Splitting does not depend on whether
     the cell parses as a program; trailing white space is ignored.
     """
-    lines = F.split(F.rtrim(code, F.lit(_SPACES)), "\n")
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(lines) - 1),
-        lambda i: (i == 0)
-        | F.get(lines, i).startswith("%")
-        | F.coalesce(F.get(lines, i - 1).startswith("%"), F.lit(False)),
-    )
-    texts = F.transform(
-        starts,
-        lambda s, n: F.array_join(
-            F.slice(lines, s + 1, F.coalesce(F.get(starts, n + 1), F.size(lines)) - s), "\n"
-        ),
-    )
-    return F.transform(texts, _chunk)
+    return let(F.split(F.rtrim(code, F.lit(_SPACES)), "\n"), _chunks)
+
+
+def _chunks(lines: Column) -> Column:
+    magic = F.transform(lines, lambda x: x.startswith("%"))
+
+    def starts(flags: Column) -> Column:
+        """0-based lines at which a chunk starts: a command, or the line after one."""
+        return F.filter(
+            F.sequence(F.lit(0), F.size(flags) - 1),
+            lambda i: (i == 0) | F.get(flags, i) | F.coalesce(F.get(flags, i - 1), F.lit(False)),
+        )
+
+    def cut(first: Column) -> Column:
+        return F.transform(
+            first,
+            lambda s, n: F.array_join(
+                F.slice(lines, s + 1, F.coalesce(F.get(first, n + 1), F.size(lines)) - s), "\n"
+            ),
+        )
+
+    return F.transform(let(let(magic, starts), cut), _chunk)
 
 
 def _chunk(text: Column) -> Column:
     magic = text.startswith("%")
-    name = F.substring_index(F.substring(text, 2, 2**31 - 1), " ", 1)
-    # A one-line chunk without a space has no argument.
-    argument = F.when(
-        F.instr(text, " ") > 0, F.substr(text, F.instr(text, " ") + 1)
-    )
+    space = F.instr(text, " ")
+    name = F.substring_index(F.substr(text, F.lit(2)), " ", 1)
     kind = (
         F.when(~magic, "code")
         .when(name == "", "empty")
@@ -135,7 +175,7 @@ def _chunk(text: Column) -> Column:
         text.alias("chunk"),
         kind.alias("kind"),
         F.when(magic, name).alias("name"),
-        F.when(magic, argument).alias("argument"),
+        F.when(magic & (space > 0), F.substr(text, space + 1)).alias("argument"),
     )
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.binding import let
+
 PREVIEW_SIZE = 10
 
 # Type tags by the variant type's leading word.
@@ -96,15 +98,25 @@ def is_uniform(value: Column, depth: int = 3) -> Column:
     """Whether all elements of a variant array, or all values of a variant object, have one type
     tag, also in collections inside it; empty collections and scalars are uniform, and a null beside
     a value is not. Null when collections are nested deeper than ``depth``."""
-    kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-    items = F.when(kind == "ARRAY", F.try_variant_get(value, "$", "array<variant>")).when(
-        kind == "OBJECT", F.map_values(F.try_variant_get(value, "$", "map<string,variant>"))
+    items = F.coalesce(
+        F.try_variant_get(value, "$", "array<variant>"),
+        F.map_values(F.try_variant_get(value, "$", "map<string,variant>")),
     )
-    if depth == 0:
-        return F.when(items.isNull(), F.lit(True))
-    same = F.size(F.array_distinct(F.transform(items, type_tag))) <= 1
-    inner = F.forall(items, lambda v: is_uniform(v, depth - 1))
-    return F.coalesce(items.isNull(), F.lit(False)) | (same & inner)
+
+    def same(values: Column) -> Column:
+        return let(
+            F.array_distinct(F.transform(values, type_tag)),
+            lambda tags: F.when(F.size(tags) > 1, False)
+            .when(F.get(tags, F.lit(0)).isin("ARRAY_TYPE", "MAP_TYPE"), inner(values))
+            .otherwise(True),
+        )
+
+    def inner(values: Column) -> Column:
+        if depth == 0:
+            return F.lit(None).cast("boolean")
+        return F.forall(values, lambda v: is_uniform(v, depth - 1))
+
+    return let(items, lambda values: F.when(values.isNull(), True).otherwise(same(values)))
 
 
 def collection_uniformity(df: DataFrame, json_col: str, *keep: str, depth: int = 3) -> DataFrame:

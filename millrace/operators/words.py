@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.words import word_array
+from millrace.functions.text import plot_call
+from millrace.functions.words import split_words
 
 
 def tokenize(df: DataFrame, col: str, *keep: str, name: str = "word") -> DataFrame:
     """One row per word of ``col``, with the columns ``keep``. Null and empty texts give none."""
-    return df.select(*keep, F.explode(word_array(F.col(col))).alias(name))
+    words = df.select(*keep, F.explode(split_words(F.col(col))).alias(name))
+    return words.filter(F.col(name) != "")
 
 
 def word_lengths(df: DataFrame, col: str) -> DataFrame:
@@ -36,8 +38,6 @@ def top_word(words: DataFrame, col: str = "word", n: int = 1) -> DataFrame:
 
 def plot_call_counts(df: DataFrame, col: str) -> DataFrame:
     """How many texts name each plotting function first."""
-    from millrace.functions.text import plot_call
-
     return (
         df.select(plot_call(F.col(col)).alias("plot"))
         .filter(F.col("plot").isNotNull())

@@ -54,20 +54,17 @@ def hot_keys(
     parts = (
         _sampled(df, keys, order, rows_per_chunk)
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_seen"))
-        .withColumn("_parts", F.floor(F.col("_seen") / SAMPLE_PER_CHUNK))
+        .agg(F.floor(F.count(F.lit(1)) / SAMPLE_PER_CHUNK).alias("_parts"))
         .filter(F.col("_parts") > 0)
-        .drop("_seen")
-    )
-    return parts.withColumn("_parts", F.floor(F.col("_parts") / _thinning(parts, "_parts", max_chunks))).filter(
-        F.col("_parts") > 0
     )
+    thinner = _thinning(parts, F.sum("_parts"), max_chunks)
+    return parts.withColumn("_parts", F.floor(F.col("_parts") / thinner)).filter(F.col("_parts") > 0)
 
 
-def _thinning(df: DataFrame, size: str, max_chunks: int) -> Column:
-    """By how much ``size`` must shrink so that its sum over ``df`` is at most ``max_chunks``."""
-    total = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n"))
-    return total.select(F.greatest(F.lit(1), F.ceil(F.col("n") / max_chunks))).scalar()
+def _thinning(df: DataFrame, total: Column, max_chunks: int) -> Column:
+    """By how much an aggregate over ``df`` must shrink to be at most ``max_chunks``."""
+    counted = df.agg(F.coalesce(total, F.lit(0)).alias("n"))
+    return counted.select(F.greatest(F.lit(1), F.ceil(F.col("n") / max_chunks))).scalar()
 
 
 def _on(keys: Sequence[str], left: str, right: str) -> Column:
@@ -95,15 +92,13 @@ def _cut_points(df, keys, order, rows_per_chunk, max_chunks) -> DataFrame:
         _sampled(df, keys, order, rows_per_chunk)
         .withColumn("_rank", rank)
         .filter(F.pmod("_rank", F.lit(SAMPLE_PER_CHUNK)) == 0)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(_POS)).alias("_cuts"))
-        .withColumn("_n", F.size("_cuts"))
     )
+    # Thinned before they are collected, so all arrays together hold at most max_chunks positions.
+    step = _thinning(cuts, F.count(F.lit(1)), max_chunks) * SAMPLE_PER_CHUNK
     return (
-        cuts.withColumn("_step", _thinning(cuts, "_n", max_chunks))
-        .withColumn("_cuts", F.filter("_cuts", lambda c, i: F.pmod(i + 1, F.col("_step")) == 0))
-        .filter(F.size("_cuts") > 0)
-        .select(*keys, "_cuts")
+        cuts.filter(F.pmod("_rank", step) == 0)
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(_POS)).alias("_cuts"))
     )
 
 

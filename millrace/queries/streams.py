@@ -15,11 +15,14 @@ from millrace.streaming.heartbeats import expire_stream
 from millrace.streaming.words import WORD_SCHEMA, filter_stream, ingest_words, run_word_app
 from millrace.tables import table_stream
 
+# Large enough to keep a cluster busy, small enough to repeat.
+FILES_PER_BATCH = 10_000
+
 
 @query("stream_word_ingest", WORD_COUNT_SQL)
 def stream_word_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_path(spark, "ingest")
-    lines = table_stream(spark, sf_dir, "documents")
+    lines = table_stream(spark, sf_dir, "documents", FILES_PER_BATCH)
     ingest_words(lines, "text", f"{work}/words", f"{work}/checkpoint")
     return word_count(json_scan(spark, f"{work}/words", WORD_SCHEMA))
 
@@ -30,14 +33,16 @@ def stream_word_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = scratch_path(spark, "filter")
-    lines = table_stream(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    lines = table_stream(spark, sf_dir, "documents", FILES_PER_BATCH).select(
+        "doc_id", "source", "text"
+    )
     filter_stream(lines, "text", "The", f"{work}/lines", f"{work}/checkpoint")
     return spark.read.schema(lines.schema).parquet(f"{work}/lines")
 
 
 @query("stream_then_top_word", TOP_WORD_SQL)
 def stream_then_top_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table_stream(spark, sf_dir, "documents")
+    lines = table_stream(spark, sf_dir, "documents", FILES_PER_BATCH)
     return run_word_app(spark, lines, "text", scratch_path(spark, "word-app"))
 
 
