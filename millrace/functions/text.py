@@ -43,6 +43,9 @@ PLOT_NAMES = (
     "vioplot",
 )
 
+# Fixed value: a command line of the Scala shell.
+MAGIC_LINE = r"^%(\w+)\W*(.*)"
+
 # Commands a notebook cell may start a line with, after the percent sign.
 MAGICS = ("table", "json", "matplot")
 
@@ -161,6 +164,16 @@ def _chunks(lines: Column) -> Column:
     return F.transform(let(let(magic, starts), cut), _chunk)
 
 
+def magic_line(line: Column) -> Column:
+    """``struct(name, argument)`` of a command line by the Scala shell's rule: the name is a run of
+    word characters and the argument starts at the next one. Null for any other line."""
+    name = F.regexp_extract(line, MAGIC_LINE, 1)
+    argument = F.regexp_extract(line, MAGIC_LINE, 2)
+    return F.when(
+        line.rlike(MAGIC_LINE + r"\z"), F.struct(name.alias("name"), argument.alias("argument"))
+    )
+
+
 def _chunk(text: Column) -> Column:
     magic = text.startswith("%")
     space = F.instr(text, " ")

@@ -139,6 +139,54 @@ def table_rows(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.to_json(F.array(*[_cell(f) for f in fields])).alias("row"))
 
 
+def rendered_table(
+    df: DataFrame, json_col: str, order: list[str], n: int = PREVIEW_SIZE
+) -> DataFrame:
+    """One row: the first ``n`` semi-structured rows as a table document, or why there is none.
+
+    ``document`` is ``{"headers": [{"type", "name"}], "data": [[...]]}``; rows are padded with nulls
+    for names they lack. ``error`` is set instead when a column has two types. Only these ``n`` rows
+    are looked at, as for any display.
+    """
+    # Ranked before the limit: at most n rows reach the expressions below.
+    shown = (
+        df.select(*order, F.col(json_col).alias("_doc"))
+        .orderBy(*order)
+        .limit(n)
+        .agg(F.sort_array(F.collect_list(F.struct(*order, "_doc"))).alias("_docs"))
+        .select(F.posexplode_outer("_docs").alias("_row", "_d"))
+        .select("_row", F.col("_d._doc").alias("_doc"))
+    )
+    by_name = F.struct(F.col("name").try_cast("bigint").alias("n"), "name", "type")
+    headers = inferred_headers(shown, "_doc").agg(
+        F.sort_array(F.collect_list(by_name)).alias("_heads"),
+        F.coalesce(F.max(F.col("type").isNull()), F.lit(False)).alias("_mixed"),
+    )
+    variant = _row_variant(F.col("_doc"))
+    items = F.try_variant_get(variant, "$", "array<variant>")
+    at = F.transform(F.sequence(F.lit(0), F.size(items) - 1), lambda i: i.cast("string"))
+    positional = F.when(F.size(items) > 0, F.map_from_arrays(at, items))
+    cells = F.coalesce(F.try_variant_get(variant, "$", "map<string,variant>"), positional)
+    data = shown.filter(F.col("_doc").isNotNull()).agg(
+        F.sort_array(F.collect_list("_row")).alias("_order"),
+        F.map_from_entries(F.collect_list(F.struct("_row", cells.alias("cells")))).alias("_cells"),
+    )
+    joined = data.withColumn("_heads", headers.select("_heads").scalar()).withColumn(
+        "_mixed", headers.select("_mixed").scalar()
+    )
+    names = F.transform("_heads", lambda h: h["name"])
+    rows = F.transform(
+        "_order",
+        lambda r: F.transform(names, lambda c: F.try_element_at(F.try_element_at("_cells", r), c)),
+    )
+    tags = F.transform("_heads", lambda h: F.struct(h["type"].alias("type"), h["name"].alias("name")))
+    doc = F.to_json(F.struct(tags.alias("headers"), rows.alias("data")))
+    return joined.select(
+        F.when(~F.col("_mixed"), doc).alias("document"),
+        F.when(F.col("_mixed"), ROW_CONFLICT).alias("error"),
+    )
+
+
 def json_rows(df: DataFrame, order: list[str], n: int | None = PREVIEW_SIZE) -> DataFrame:
     """``json``: the first ``n`` rows (all with ``None``) as JSON documents that keep nulls."""
     rows = df if n is None else df.orderBy(*order).limit(n)

@@ -11,6 +11,7 @@ from millrace.operators.render import (
     envelope,
     inferred_headers,
     json_rows,
+    rendered_table,
     table_rows,
     type_conflicts,
 )
@@ -178,6 +179,27 @@ def customer_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_rows(rows, ["c_custkey"])
 
 
+@query(
+    "rendered_table",
+    f"""
+    WITH shown AS (
+        SELECT event_id, user_id, event_type FROM events ORDER BY event_id LIMIT 10)
+    SELECT '{{"headers":[{{"type":"BIGINT_TYPE","name":"id"}},{{"type":"STRING_TYPE","name":"kind"}},'
+        || '{{"type":"' || (CASE WHEN count(user_id) FILTER (event_type <> 'view') > 0
+            THEN 'BIGINT_TYPE' ELSE 'NULL_TYPE' END) || '","name":"user"}}],"data":['
+        || string_agg('[' || event_id || ',"' || event_type || '",'
+            || (CASE WHEN event_type = 'view' THEN 'null' ELSE CAST(user_id AS VARCHAR) END) || ']',
+            ',' ORDER BY event_id) || ']}}' AS document, CAST(NULL AS VARCHAR) AS error
+    FROM shown
+    """,
+)
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.when(F.col("event_type") != "view", F.col("user_id"))
+    doc = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), user.alias("user"))
+    docs = table(spark, sf_dir, "events").select("event_id", F.to_json(doc).alias("doc"))
+    return rendered_table(docs, "doc", ["event_id"])
+
+
 _ERROR_START = '{"status":"error","execution_count":'
 
 

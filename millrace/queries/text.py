@@ -12,6 +12,7 @@ from millrace.functions.text import (
     clean_trace,
     error_name,
     error_traceback,
+    magic_line,
     strip_ansi,
 )
 from millrace.operators.words import plot_call_counts
@@ -181,6 +182,30 @@ def cell_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("conv_id", "turn", "pos", "c.*")
 
 
+@query(
+    "magic_lines",
+    r"""
+    WITH lines AS (
+        SELECT conv_id, turn, (CASE role WHEN 'user' THEN '%table  (' WHEN 'system' THEN '%'
+            ELSE '' END) || string_split(text, chr(10))[1] AS line FROM conversations)
+    SELECT conv_id, turn,
+        CASE WHEN regexp_matches(line, '^%[0-9A-Za-z_]') THEN regexp_extract(line, '^%([0-9A-Za-z_]+)', 1) END AS name,
+        CASE WHEN regexp_matches(line, '^%[0-9A-Za-z_]') THEN
+            regexp_extract(line, '^%[0-9A-Za-z_]+[^0-9A-Za-z_]*(.*)', 1) END AS argument
+    FROM lines
+    """,
+)
+def magic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.col("role")
+    prefix = F.when(role == "user", "%table  (").when(role == "system", "%").otherwise("")
+    line = F.concat(prefix, F.substring_index("text", "\n", 1))
+    return (
+        table(spark, sf_dir, "conversations")
+        .select("conv_id", "turn", magic_line(line).alias("m"))
+        .select("conv_id", "turn", "m.*")
+    )
+
+
 @query(
     "plot_calls",
     r"""

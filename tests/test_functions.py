@@ -168,3 +168,11 @@ def test_plot_calls(spark):
     assert apply(spark, tx.plot_call, code) == [
         "pie", "scatterplot", "hist", "plot", "scatterplot", None, None,
     ]
+
+
+def test_magic_lines(spark):
+    lines = ["%table df", "%json  (x, y)", "%json", "%", "x %table", "%a b\nc", None]
+    got = apply(spark, tx.magic_line, lines)
+    assert [g and tuple(g) for g in got] == [
+        ("table", "df"), ("json", "x, y)"), ("json", ""), None, None, None, None,
+    ]

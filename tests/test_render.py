@@ -9,6 +9,7 @@ from millrace.operators.render import (
     envelope,
     inferred_headers,
     json_rows,
+    rendered_table,
     table_rows,
     type_conflicts,
 )
@@ -100,3 +101,28 @@ def test_envelopes(spark):
         {**error, "execution_count": 2, "evalue": "incomplete statement"},
         {**error, "execution_count": 3, "evalue": "Interpreter died:\nboom"},
     ]
+
+
+def rendered(spark, *rows, n=10):
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "i int, doc string")
+    got = rendered_table(df.repartition(3), "doc", ["i"], n).first()
+    return json.loads(got.document) if got.error is None else got.error
+
+
+def test_rendered_table(spark):
+    bigint, string = "BIGINT_TYPE", "STRING_TYPE"
+    assert rendered(spark, [1, "a"], [3, "b"]) == {
+        "headers": [{"type": bigint, "name": "0"}, {"type": string, "name": "1"}],
+        "data": [[1, "a"], [3, "b"]],
+    }
+    assert rendered(spark, {"b": "1", "a": None}, {"b": "2", "a": 2, "c": [1]}) == {
+        "headers": [
+            {"type": bigint, "name": "a"}, {"type": string, "name": "b"}, {"type": "ARRAY_TYPE", "name": "c"},
+        ],
+        "data": [[None, "1", None], [2, "2", [1]]],
+    }
+    assert rendered(spark, 1, 2)["data"] == [[1], [2]]
+    assert rendered(spark, *[{"k": i} for i in range(30)])["data"] == [[i] for i in range(10)]
+    assert rendered(spark, {"a": 1}, {"a": "x"}) == "table rows have different types"
+    assert rendered(spark, {"a": 1}, {"a": "x"}, n=1)["data"] == [[1]]
+    assert rendered(spark, {}, []) == {"headers": [], "data": [[], []]}
