@@ -25,9 +25,14 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 1_000_000
-MAX_CHUNKS = 100_000
+MAX_CHUNKS = 50_000
+# Enough halvings to search max_chunks cut points.
+_CHUNK_BITS = 16
 SAMPLE_PER_CHUNK = 16
 
+# Up to this many rows per key and map task are shuffled for a slice without cutting hot keys.
+SMALL_SLICE = 100
+
 CHUNK = "_chunk"
 _HOT = "_hot"
 _POS = "_pos"
@@ -86,30 +91,51 @@ def _lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "le
 
 
 def _cut_points(df, keys, order, rows_per_chunk, max_chunks) -> DataFrame:
-    """``keys, _cuts``: the sorted positions at which each hot key is cut."""
+    """``keys, _pos``: the positions at which hot keys are cut, at most ``max_chunks`` rows."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(_POS))
     cuts = (
         _sampled(df, keys, order, rows_per_chunk)
         .withColumn("_rank", rank)
         .filter(F.pmod("_rank", F.lit(SAMPLE_PER_CHUNK)) == 0)
     )
-    # Thinned before they are collected, so all arrays together hold at most max_chunks positions.
     step = _thinning(cuts, F.count(F.lit(1)), max_chunks) * SAMPLE_PER_CHUNK
-    return (
-        cuts.filter(F.pmod("_rank", step) == 0)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(_POS)).alias("_cuts"))
-    )
+    return cuts.filter(F.pmod("_rank", step) == 0).select(*keys, _POS)
 
 
-def _cuts_at_or_before(cuts: Column, pos: Column) -> Column:
-    """Binary search: how many entries of the sorted array ``cuts`` are <= ``pos``."""
-    steps = F.array(*[F.lit(1 << b) for b in range(18, -1, -1)])
+def _with_chunk(df: DataFrame, cuts: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``_chunk``: how many of the key's cut points are at or before the row.
 
-    def step(found: Column, jump: Column) -> Column:
-        return F.when(F.get(cuts, found + jump - 1) <= pos, found + jump).otherwise(found)
+    ``df`` has the columns ``_from`` and ``_till``, the part of the sorted list of all cut points
+    that belongs to the row's key (both null for a cold key, whose chunk is 0). The list is a scalar
+    subquery, so it is held once per task and never copied into rows.
 
-    return F.aggregate(steps, F.lit(0), step)
+    The search halves the part, one projection per halving. Each result is used more than once by
+    the next, so Spark keeps the projections apart and compiles them into one loop body; the same
+    search by lambda functions would be interpreted, and takes five times as long. The result is
+    never null.
+    """
+    at = cuts.agg(F.array_sort(F.collect_list(F.col("_cut"))).alias("at")).scalar()
+    rows = df.withColumns({"_at": at, _POS: F.struct(*order), CHUNK: F.lit(0)})
+    for bit in range(_CHUNK_BITS - 1, -1, -1):
+        jump = F.col(CHUNK) + (1 << bit)
+        probe = F.col("_from") + jump
+        further = (probe <= F.col("_till")) & (F.get("_at", probe - 1)["pos"] <= F.col(_POS))
+        rows = rows.withColumn(CHUNK, F.when(further, jump).otherwise(F.col(CHUNK)))
+    # Generated, so that the optimizer does not follow the column back through the projections when it
+    # looks for filters to derive from joins on it; that would write the search out in full.
+    kept = [c for c in rows.columns if c not in ("_at", "_from", "_till", _POS, CHUNK)]
+    return rows.select(*kept, F.explode(F.array(CHUNK)).alias(CHUNK))
+
+
+def _numbered(cuts: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The cut points as ``_cut`` structs that sort by key, then position; and per key its part
+    ``_from, _till`` of that sorted list."""
+    cut = F.struct(*keys, F.col(_POS).alias("pos"))
+    per_key = cuts.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    # One row per hot key passes this window.
+    before = F.sum("_n").over(Window.orderBy(*keys)).cast("int")
+    parts = per_key.withColumn("_till", before).withColumn("_from", F.col("_till") - F.col("_n"))
+    return cuts.select(cut.alias("_cut")), parts.drop("_n")
 
 
 def chunked(
@@ -123,14 +149,9 @@ def chunked(
 
     ``order`` must end in a unique column.
     """
-    cuts = _cut_points(df, keys, order, rows_per_chunk, max_chunks)
-    found = _cuts_at_or_before(F.col("_cuts"), F.struct(*order))
-    return (
-        _lookup(df, cuts, keys)
-        .withColumn(CHUNK, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(found))
-        .withColumn(_HOT, F.col("_cuts").isNotNull())
-        .drop("_cuts")
-    )
+    cuts, parts = _numbered(_cut_points(df, keys, order, rows_per_chunk, max_chunks), keys)
+    rows = _lookup(df, parts, keys).withColumn(_HOT, F.col("_till").isNotNull())
+    return _with_chunk(rows, cuts, order)
 
 
 def chunk_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -225,9 +246,28 @@ def key_slice(
     """Rows at positions ``[start, start + size)`` of each key, counted from its first row, or from
     its last row (0 = newest) with ``from_end``. ``name`` holds that position.
 
-    Chunks that cannot reach the slice are dropped by a broadcast lookup before the shuffle, and the
-    rank filter lets Spark keep only the best rows of each map task.
+    Spark keeps only the best ``start + size`` rows per key of each map task. For slices up to
+    ``SMALL_SLICE`` that alone bounds what a hot key sends. For larger ones, chunks that cannot reach
+    the slice are dropped by a broadcast lookup before.
     """
+    if start + size <= SMALL_SLICE:
+        near = df.withColumn("_skipped", F.lit(0))
+    else:
+        near = _near_chunks(df, keys, order, size, start, from_end, layout)
+    by = [F.col(c).desc() if from_end else F.col(c).asc() for c in order]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    return (
+        near.withColumn("_rank", rank)
+        .filter(F.col("_rank") <= start + size)
+        .withColumn(name, (F.col("_rank") - 1 + F.col("_skipped")).cast("bigint"))
+        .filter((F.col(name) >= start) & (F.col(name) < start + size))
+        .drop("_rank", "_skipped")
+    )
+
+
+def _near_chunks(df, keys, order, size, start, from_end, layout) -> DataFrame:
+    """The rows of cold keys, and of the chunks of hot keys that hold a part of the slice, with
+    ``_skipped``: how many rows of the key lie in the chunks dropped ahead of them."""
     rows = chunked(df, keys, order, **layout)
     direction = F.col(CHUNK).desc() if from_end else F.col(CHUNK).asc()
     passed = Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
@@ -239,21 +279,12 @@ def key_slice(
     # Chunks are skipped whole, so rank restarts after the rows that the skipped chunks held.
     skipped = ahead.groupBy(*keys).agg(F.min("_ahead").alias("_skipped"))
     wanted = ahead.select(*keys, CHUNK, F.lit(True).alias("_wanted"))
-    near = (
+    return (
         _lookup(_lookup(rows, wanted, [*keys, CHUNK]), skipped, keys)
         .filter(~F.col(_HOT) | F.col("_wanted"))
         .drop("_wanted", CHUNK, _HOT)
         .withColumn("_skipped", F.coalesce("_skipped", F.lit(0)))
     )
-    by = [F.col(c).desc() if from_end else F.col(c).asc() for c in order]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
-    return (
-        near.withColumn("_rank", rank)
-        .filter(F.col("_rank") <= start + size)
-        .withColumn(name, F.col("_rank") - 1 + F.col("_skipped"))
-        .filter((F.col(name) >= start) & (F.col(name) < start + size))
-        .drop("_rank", "_skipped")
-    )
 
 
 def spread_join(
@@ -299,13 +330,9 @@ def global_slice(
     """
     whole = df.withColumn("_all", F.lit(0))
     cuts = _cut_points(whole, ["_all"], order, rows_per_chunk, max_chunks)
-    # A scalar subquery: null when the set is too small to be cut, then no cut is at or before a row.
-    found = _cuts_at_or_before(F.col("_cuts"), F.struct(*order))
-    rows = (
-        df.withColumn("_cuts", cuts.agg(F.first("_cuts")).scalar())
-        .withColumn(CHUNK, found)
-        .drop("_cuts")
-    )
+    cuts = cuts.select(F.struct(F.col(_POS).alias("pos")).alias("_cut"))
+    everything = {"_from": F.lit(0), "_till": F.lit(max_chunks)}
+    rows = _with_chunk(df.withColumns(everything), cuts, order)
     # One row per chunk: at most max_chunks + 1 rows pass this window and are broadcast.
     ahead = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     reach = (

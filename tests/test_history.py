@@ -25,7 +25,7 @@ from millrace.operators.history import (
 )
 
 ORDER = ["id"]
-FEW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+FEW = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 NOW = dt.datetime(2024, 1, 2)
 
 

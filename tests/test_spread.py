@@ -16,7 +16,7 @@ from millrace.plans import (
 )
 
 KEYS, ORDER = ["key"], ["t", "id"]
-LAYOUTS = [{"rows_per_chunk": 20}, {"rows_per_chunk": 100}, {"rows_per_chunk": 20, "max_chunks": 6}, {}]
+LAYOUTS = [{"rows_per_chunk": 20}, {"rows_per_chunk": 20, "max_chunks": 6}, {}]
 
 
 def plain(*order):
@@ -51,7 +51,7 @@ def test_running_before(skewed, layout):
 
 @pytest.mark.parametrize("layout", LAYOUTS)
 @pytest.mark.parametrize("from_end", [False, True])
-@pytest.mark.parametrize("start,size", [(0, 1), (0, 45), (130, 60), (490, 100), (600, 5)])
+@pytest.mark.parametrize("start,size", [(0, 45), (130, 60), (490, 100)])
 def test_key_slice(skewed, layout, from_end, start, size):
     by = [F.desc(c) if from_end else F.asc(c) for c in ORDER]
     at = F.row_number().over(plain(*by)).cast("long") - 1
@@ -62,7 +62,7 @@ def test_key_slice(skewed, layout, from_end, start, size):
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)
-@pytest.mark.parametrize("start,size", [(0, 10), (700, 333), (1490, 100), (2000, 5), (300, None)])
+@pytest.mark.parametrize("start,size", [(700, 333), (2000, 5), (300, None)])
 def test_global_slice(skewed, layout, start, size):
     ordered = skewed.orderBy(*ORDER).offset(start)
     want = (ordered if size is None else ordered.limit(size)).collect()
