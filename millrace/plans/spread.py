@@ -115,16 +115,17 @@ def _with_chunk(df: DataFrame, cuts: DataFrame, order: Sequence[str]) -> DataFra
     never null.
     """
     at = cuts.agg(F.array_sort(F.collect_list(F.col("_cut"))).alias("at")).scalar()
-    rows = df.withColumns({"_at": at, _POS: F.struct(*order), CHUNK: F.lit(0)})
+    rows = df.withColumns({"_at": at, _POS: F.struct(*order)})
+    found, halvings = "0", []
     for bit in range(_CHUNK_BITS - 1, -1, -1):
-        jump = F.col(CHUNK) + (1 << bit)
-        probe = F.col("_from") + jump
-        further = (probe <= F.col("_till")) & (F.get("_at", probe - 1)["pos"] <= F.col(_POS))
-        rows = rows.withColumn(CHUNK, F.when(further, jump).otherwise(F.col(CHUNK)))
+        probe, jump = f"_from + {found}", 1 << bit
+        further = f"{probe} + {jump} <= _till AND get(_at, {probe} + {jump - 1}).pos <= {_POS}"
+        halvings.append(f"CASE WHEN {further} THEN {found} + {jump} ELSE {found} END AS _found{bit}")
+        found = f"_found{bit}"
     # Generated, so that the optimizer does not follow the column back through the projections when it
     # looks for filters to derive from joins on it; that would write the search out in full.
-    kept = [c for c in rows.columns if c not in ("_at", "_from", "_till", _POS, CHUNK)]
-    return rows.select(*kept, F.explode(F.array(CHUNK)).alias(CHUNK))
+    kept = [c for c in df.columns if c not in ("_from", "_till")]
+    return rows.selectExpr("*", *halvings).select(*kept, F.explode(F.array(found)).alias(CHUNK))
 
 
 def _numbered(cuts: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
