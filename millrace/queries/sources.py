@@ -110,7 +110,7 @@ def broadcast_file_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shipped_file_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = os.path.dirname(os.path.abspath(word_codes.__file__))
-    name = ship_file(spark, f"{folder}/factor.txt")
+    name = ship_file(spark, f"{folder}/sample_factor.txt")
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return scale_by_shipped_file(rows, "l_quantity", name, "scaled").drop("l_quantity")
 

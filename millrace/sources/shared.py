@@ -24,7 +24,8 @@ def scale_by_file(df: DataFrame, col: str, path: str, name: str) -> DataFrame:
 
 
 def ship_file(spark: SparkSession, path: str) -> str:
-    """Send a file to every executor; returns the name to look it up by."""
+    """Send a file to every executor; returns the name to look it up by. Names are unique per
+    session: a second file of the same name with other content is refused."""
     spark.sparkContext.addFile(path)
     return os.path.basename(path)
 

@@ -54,7 +54,7 @@ def test_pairs(spark, tmp_path):
 
 
 def test_scaling_by_a_file(spark, tmp_path):
-    path = tmp_path / "factor.txt"
+    path = tmp_path / "hundredfold.txt"
     path.write_text("100\n")
     df = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "n int")
     want = [100.0, 200.0, 300.0, 400.0]
