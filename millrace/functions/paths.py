@@ -14,6 +14,12 @@ _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 
 
+def _decoded_path(ref: Column) -> Column:
+    """Path of a reference with percent codes decoded (a plus sign stays one)."""
+    raw = F.regexp_extract(ref, _PATH, 1)
+    return F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
+
+
 def resolve_path(path: Column, default_fs: str, allowed: Sequence[str]) -> Column:
     """``struct(resolved, error)`` for a path or URI.
 
@@ -22,16 +28,18 @@ def resolve_path(path: Column, default_fs: str, allowed: Sequence[str]) -> Colum
     one of the ``allowed`` directories. Others pass unchanged.
     """
     base = default_fs.removesuffix("/")
-    own_path = F.regexp_extract(path, _PATH, 1)
+    own_path = _decoded_path(path)
     has_scheme = path.rlike(_SCHEME)
     full = F.when(has_scheme, path).otherwise(F.concat(F.lit(base), own_path))
-    full_path = F.regexp_extract(full, _PATH, 1)
+    full_path = _decoded_path(full)
     local = F.regexp_extract(full, _SCHEME, 1) == "file"
     inside = F.lit(False)
     for folder in allowed:
         inside = inside | full_path.startswith(folder.rstrip("/") + "/")
+    # A bare path is decoded before it is put under the default, so it must be legal after that too.
+    illegal = path.rlike(_ILLEGAL) | (~has_scheme & own_path.rlike(_ILLEGAL))
     error = (
-        F.when(path.rlike(_ILLEGAL), F.concat(F.lit("Illegal character in path: "), path))
+        F.when(illegal, F.concat(F.lit("Illegal character in path: "), path))
         .when(
             ~has_scheme & ~own_path.startswith("/"),
             F.concat(F.lit("Path '"), own_path, F.lit("' is not absolute.")),

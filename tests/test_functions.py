@@ -82,6 +82,16 @@ def test_paths(spark):
     assert [g.resolved for g in got] == ["file:///allowed/file", "file:///also_allowed/file", None, None]
 
 
+def test_encoded_paths(spark):
+    paths = ["file:/%61llowed/x", "file:/a%20llowed/x", "/a%2Bb+c", "/a%20b", "/a?q#f", "file:rel"]
+    got = apply(spark, lambda c: resolve_path(c, "dummy:///", ["/allowed"]), paths)
+    assert [g.resolved for g in got] == [
+        "file:/%61llowed/x", None, "dummy:///a+b+c", None, "dummy:///a", None,
+    ]
+    assert got[1].error == "Local path /a llowed/x cannot be added to user sessions."
+    assert got[3].error.startswith("Illegal character")
+
+
 def test_merged_lists_put_the_users_first(spark):
     df = spark.createDataFrame(
         [(["/file2.txt"], "/file1.txt"), ([], "a, b,,c"), (None, None), (["x", ""], None)],
