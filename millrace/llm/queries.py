@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.factorization import fit_machine, learnable, quality_scores, score_digest
 from millrace.llm.license_scan import license_digest, license_scan, license_sql
+from millrace.llm.quality_rules import fit_rules, quality_rules
+from millrace.llm.secret_scan import infer_formats, secret_digest, secret_scan
 from millrace.tables import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -30,3 +33,22 @@ def _query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
 @_query("op10_license_scan", license_sql())
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(license_scan(table(spark, sf_dir, "documents")))
+
+
+@_query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
+@_query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_digest(secret_scan(docs, infer_formats(docs)))
+
+
+@_query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = fit_machine(docs, table(spark, sf_dir, "labels"), learnable())
+    return score_digest(quality_scores(docs, machine))
