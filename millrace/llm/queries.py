@@ -10,6 +10,7 @@ from millrace.llm.factorization import fit_machine, learnable, quality_scores, s
 from millrace.llm.license_scan import license_digest, license_scan, license_sql
 from millrace.llm.quality_rules import fit_rules, quality_rules
 from millrace.llm.secret_scan import infer_formats, secret_digest, secret_scan
+from millrace.llm.signature_join import similar_documents
 from millrace.tables import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +53,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = fit_machine(docs, table(spark, sf_dir, "labels"), learnable())
     return score_digest(quality_scores(docs, machine))
+
+
+@_query("op9_ngram_jaccard_join")
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
