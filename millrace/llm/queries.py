@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.decontaminate import CONTAMINATED_SQL, contaminated
 from millrace.llm.factorization import fit_machine, learnable, quality_scores, score_digest
 from millrace.llm.license_scan import license_digest, license_scan, license_sql
 from millrace.llm.quality_rules import fit_rules, quality_rules
@@ -58,3 +59,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_ngram_jaccard_join")
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+@_query("op1_benchmark_decontamination", CONTAMINATED_SQL)
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
