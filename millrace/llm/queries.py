@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.decontaminate import CONTAMINATED_SQL, contaminated
 from millrace.llm.factorization import fit_machine, learnable, quality_scores, score_digest
 from millrace.llm.html_extract import extract_text
+from millrace.llm.interpolation import text_scores
 from millrace.llm.license_scan import license_digest, license_scan, license_sql
 from millrace.llm.quality_rules import fit_rules, quality_rules
 from millrace.llm.secret_scan import infer_formats, secret_digest, secret_scan
@@ -70,3 +71,8 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 @_query("op6_html_extraction")
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@_query("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_scores(table(spark, sf_dir, "documents"))
