@@ -11,9 +11,11 @@ from millrace.llm.factorization import fit_machine, learnable, quality_scores, s
 from millrace.llm.html_extract import extract_text
 from millrace.llm.interpolation import text_scores
 from millrace.llm.license_scan import license_digest, license_scan, license_sql
+from millrace.llm.packing import pack
 from millrace.llm.quality_rules import fit_rules, quality_rules
 from millrace.llm.secret_scan import infer_formats, secret_digest, secret_scan
 from millrace.llm.signature_join import similar_documents
+from millrace.llm.token_counts import token_counts
 from millrace.tables import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +78,13 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_lm_scoring")
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_scores(table(spark, sf_dir, "documents"))
+
+
+@_query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@_query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))

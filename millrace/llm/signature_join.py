@@ -17,7 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import ROWS, WordHashes, add_columns, mixed, raw_text, rolling
@@ -304,18 +304,14 @@ def tree_search(met: DataFrame, sets: DataFrame, connected: DataFrame) -> DataFr
     )
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row of ``docs``: its id, ``n_shingles``, and ``component_id``, the smallest id that it is linked
-    with directly or over others, itself included.
+def _copy(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-    A null or empty text has no shingles and no links. A null id counts as larger than all others, so it names a
-    component only if no other id is in it (as null). Repeated rows are each returned, with one component; rows of
-    one id with different texts are compared as different documents. An empty table gives no rows. Whole texts are
-    read however long; other columns are ignored, whatever their names.
-    """
-    spark = docs.sparkSession
+
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """For each row: id, a hash of the text (copy), the set's size (n) and component_id."""
     each = written(
-        add_columns(docs, {"id": F.col(id_col)}, [raw_text(text_col)], _make_sets, "n bigint, set bigint"),
+        add_columns(docs, {"id": F.col(id_col), "copy": _copy(text_col)}, [raw_text(text_col)], _make_sets, "n bigint, set bigint"),
         "documents",
     )
     total = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -351,11 +347,47 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = written(
         classes.join(groups, "set", "left").select("set", F.coalesce("component_id", "least").alias("component_id")), "named"
     )
+    return each.join(named, "set", "left").select(
+        "id", "copy", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+    )
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row of ``docs``: its id, ``n_shingles``, and ``component_id``, the smallest id that it is linked
+    with directly or over others, itself included.
+
+    A null or empty text has no shingles and no links. A null id counts as larger than all others, so it names a
+    component only if no other id is in it (as null). Repeated rows are each returned, with one component; rows of
+    one id with different texts are compared as different documents. An empty table gives no rows. Whole texts are
+    read however long; other columns are ignored, whatever their names.
+    """
+    return _linked(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, in all their columns, without near duplicates: of the documents linked with one another
+    the one with the smallest id stays (of two texts under that id, the one with the smaller hash), once. Texts
+    without words are linked with nothing; each id keeps its own. Other cases as in :func:`similar_documents`."""
+    rows = _linked(docs, id_col, text_col)
+    first = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("id"), F.col("copy").alias("copy"))
+    staying = written(
+        rows.filter("n > 0")
+        .groupBy("component_id")
+        .agg(F.min(first).alias("first"))
+        .select("first.id", "first.copy")
+        .union(rows.filter("n = 0").select("id", "copy").distinct()),
+        "staying",
+    )
+    names = docs.columns
+    kept = docs.select(
+        *[F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(names)],
+        F.col(id_col).alias("own"),
+        _copy(text_col).alias("own_copy"),
+    )
+    both = kept.join(staying, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_copy") == F.col("copy")))
+    once = Window.partitionBy("own", "own_copy").orderBy(F.lit(0))
     return (
-        each.join(named, "set", "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-        )
+        both.withColumn("place", F.row_number().over(once))
+        .filter("place = 1")
+        .select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
     )
