@@ -121,11 +121,12 @@ def fit_machine(
 
         return inputs
 
-    chosen = labelled_sample(docs, labels, "quality", sample, only, id_col)
+    texts = docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw"), _length(length_col).alias("length"))
+    chosen = labelled_sample(texts, labels, "quality", sample, only, id_col)
     rows = add_columns(
         chosen,
-        {"id": F.col(id_col), "y": F.col("y")},
-        [raw_text(text_col), _length(length_col)],
+        {"id": F.col("id"), "y": F.col("y")},
+        [F.col("raw"), F.col("length")],
         make,
         "held binary, weights binary, more array<double>",
     ).collect()

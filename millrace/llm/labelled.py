@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, rows: int, only: Column | None = None, id_col: str = "doc_id"
-) -> DataFrame:
-    """At most ``rows`` documents with their 0/1 ``label`` as column ``y``: those whose hashed ids are smallest.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, only: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+    """At most ``rows`` rows of ``docs``, which has a column ``id``, with their 0/1 ``label`` as column ``y``: those
+    whose hashed ids are smallest.
 
     ``only`` filters the labels. Rows without id or label are left out; of several labels for one id the
     smallest counts. The sample's ids are few by construction, so they are broadcast and no text is shuffled.
@@ -18,9 +17,9 @@ def labelled_sample(
     if only is not None:
         known = known.filter(only)
     chosen = (
-        known.groupBy(F.col(id_col).alias("of"))
+        known.groupBy(F.col(id_col).alias("id"))
         .agg(F.min(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("of"), "of")
+        .orderBy(F.xxhash64("id"), "id")
         .limit(rows)
     )
-    return docs.alias("d").join(F.broadcast(chosen.alias("c")), F.col(f"d.{id_col}") == F.col("c.of")).select("d.*", "c.y")
+    return docs.join(F.broadcast(chosen), "id")

@@ -39,8 +39,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col:
     def make():
         return lambda texts: [_features(texts)[1].tolist()]
 
-    chosen = labelled_sample(docs, labels, "quality", sample, id_col=id_col)
-    rows = add_columns(chosen, {"id": F.col(id_col), "y": F.col("y")}, [raw_text(text_col)], make, "x array<double>").collect()
+    texts = docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw"))
+    chosen = labelled_sample(texts, labels, "quality", sample, id_col=id_col)
+    rows = add_columns(chosen, {"id": F.col("id"), "y": F.col("y")}, [F.col("raw")], make, "x array<double>").collect()
     rows.sort(key=lambda r: (r.id, r.y, r.x))
     x = np.array([r.x for r in rows]).reshape(len(rows), len(SHARES))
     return boosting.fit(x, np.array([r.y for r in rows], float), {SHARES.index(f): -1 for f in FALLING})
