@@ -68,7 +68,6 @@ STATEMENT_PREDECESSORS = {
     "cancelling": ("running",),
     "cancelled": ("waiting", "cancelling"),
 }
-STATEMENT_TERMINAL = ("cancelled", "available")
 
 
 def map_codes(code: Column, mapping: Mapping[str, object]) -> Column:

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
+# Start of the message of a record that cannot be read, and the field of the stored counter.
+RECOVERY_MESSAGE = "Error getting session "
+COUNTER_FIELD = "nextSessionId"
+# Spark adds the task's number to a seed, so seeds of independent draws lie further apart than tasks can.
+_APART = 1 << 40
 
 
 def count_where(df: DataFrame, predicate: Column) -> DataFrame:
@@ -62,7 +67,7 @@ def estimate_pi(
     """
     if variant not in ("quadrant", "square", "square_inclusive"):
         raise ValueError(f"unknown variant: {variant}")
-    x, y = F.rand(seed), F.rand(seed + 1)
+    x, y = F.rand(seed), F.rand(seed + _APART)
     if variant != "quadrant":
         x, y = x * 2 - 1, y * 2 - 1
     points = spark.range(0, samples, 1, slices).select(x.alias("x"), y.alias("y"))
@@ -117,10 +122,10 @@ def latest_by(df: DataFrame, key: str, order: Sequence[str], *values: str) -> Da
 def recover(df: DataFrame, key: str, doc: str, schema: T.StructType) -> DataFrame:
     """Read stored records without failing on bad ones: ``id, record, error``.
 
-    Keys that are not integers are ignored and keys without a document are dropped. A document that
+    Keys that are not 64-bit integers are ignored and keys without a document are dropped. A document that
     does not parse gives a null record and an error.
     """
-    numeric = F.when(F.col(key).rlike(r"^[+-]?[0-9]+\z"), F.col(key)).try_cast("int")
+    numeric = F.when(F.col(key).rlike(r"^[+-]?[0-9]+\z"), F.col(key)).try_cast("bigint")
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(doc, with_corrupt, {"columnNameOfCorruptRecord": CORRUPT})
     failed = F.col(f"_doc.{CORRUPT}").isNotNull() | F.col("_doc").isNull()
@@ -130,15 +135,15 @@ def recover(df: DataFrame, key: str, doc: str, schema: T.StructType) -> DataFram
         .select(
             "id",
             F.when(~failed, F.struct(*[F.col(f"_doc.{f.name}") for f in schema.fields])).alias("record"),
-            F.when(failed, F.concat(F.lit("Error getting session "), F.col("id"))).alias("error"),
+            F.when(failed, F.concat(F.lit(RECOVERY_MESSAGE), F.col("id"))).alias("error"),
         )
     )
 
 
 def next_id(counter: DataFrame, doc: str) -> DataFrame:
     """One row ``next_id``: the stored counter, or 0 when none is stored. A corrupt counter fails."""
-    value = F.from_json(doc, "nextSessionId int", {"mode": "FAILFAST"}).getField("nextSessionId")
-    return counter.agg(F.coalesce(F.max(value), F.lit(0)).alias("next_id"))
+    value = F.from_json(doc, f"{COUNTER_FIELD} bigint", {"mode": "FAILFAST"}).getField(COUNTER_FIELD)
+    return counter.agg(F.coalesce(F.max(value), F.lit(0).cast("bigint")).alias("next_id"))
 
 
 def recovery_summary(recovered: DataFrame) -> DataFrame:

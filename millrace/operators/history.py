@@ -20,7 +20,7 @@ from millrace.functions.codes import (
     is_active,
     job_ordinal,
 )
-from millrace.plans import chunked, positions, previous, running_before, spread_join
+from millrace.plans import chunked, latest_before, positions, previous, spread_join
 
 IDLE_TIMEOUT_S = 3600
 STATE_RETAIN_S = 600
@@ -41,9 +41,12 @@ def illegal_transitions(
 ) -> DataFrame:
     """State changes that the table of predecessors does not allow, with the state before.
 
-    A key's first row is no change. A state without predecessors may only be a first row.
+    A row without a state changes nothing and is left out. A key's first row with one is no change. A state
+    without predecessors may only be the first; any change to or from a state that the table does not know is
+    not allowed.
     """
-    before = previous(chunked(df, [key], order, **layout), [key], order, state, "from_state")
+    known = df.filter(F.col(state).isNotNull())
+    before = previous(chunked(known, [key], order, **layout), [key], order, state, "from_state")
     pairs = [(p, s) for s, earlier in predecessors.items() for p in earlier]
     allowed = F.struct("from_state", state).isin(
         [F.struct(F.lit(p), F.lit(s)) for p, s in pairs]
@@ -87,16 +90,17 @@ def accepted_session_states(
     **layout,
 ) -> DataFrame:
     """The state changes a session takes: no change to the same state, and none from an inactive to
-    an active state."""
-    rows = chunked(df, keys, order, **layout).withColumn(
-        "_inactive", F.when(is_active(F.col(state)), 0).otherwise(1)
-    )
-    ended = running_before(rows, keys, order, "_inactive", "_ended")
-    candidates = ended.filter(
-        (F.col("_inactive") == 1) | (F.coalesce("_ended", F.lit(0)) == 0)
-    )
-    seen = previous(candidates, keys, order, state, "_before")
-    return seen.filter(F.col(state) != F.coalesce("_before", F.lit(initial))).select(*df.columns)
+    an active state. Rows without a state, or with one that sessions do not have, change nothing and are left out.
+
+    Until a session has ended, the state before a row is that of the row before it; later it is the last inactive
+    one, since no active state is taken any more. So one pass over the rows before gives all that is needed.
+    """
+    known = df.withColumn("_active", is_active(F.col(state))).filter(F.col("_active").isNotNull())
+    rows = chunked(known, keys, order, **layout).withColumn("_end", F.when(~F.col("_active"), F.col(state)))
+    seen = latest_before(rows, keys, order, {"_before": state, "_ended": "_end"})
+    taken = ~F.col("_active") | F.col("_ended").isNull()
+    current = F.coalesce("_ended", "_before", F.lit(initial))
+    return seen.filter(taken & (F.col(state) != current)).select(*df.columns)
 
 
 def effective_state(server: DataFrame, repl: DataFrame, key: str) -> DataFrame:
@@ -145,7 +149,8 @@ def live_spans(df: DataFrame, key: str, ts: str, timeout_s: int) -> DataFrame:
     """Spans during which a key was alive: ``key, first_beat, expires_at, beats``.
 
     A beat extends the span until ``timeout_s`` later; a beat at that very moment still counts. With
-    timeout 0 a key never expires: one span per key without an end.
+    timeout 0 a key never expires: one span per key without an end. A key that has never beaten (only null
+    times) never expires either: it has one span without beats, start or end.
 
     Beats are first combined per key and tumbling window of the timeout's length, in the map tasks:
     two beats of one window are never further apart than the timeout, so no span is cut. The window
@@ -158,9 +163,13 @@ def live_spans(df: DataFrame, key: str, ts: str, timeout_s: int) -> DataFrame:
             F.count(ts).alias("beats"),
         )
     timeout = F.make_dt_interval(secs=F.lit(timeout_s))
-    slots = df.groupBy(key, F.window(ts, f"{timeout_s} seconds").alias("_slot")).agg(
+    # A window drops rows without a time; with a stand-in, they are their key's first slot.
+    at = F.coalesce(F.col(ts), F.lit("1970-01-01").cast(df.schema[ts].dataType))
+    slots = df.groupBy(key, F.window(at, f"{timeout_s} seconds").alias("_slot"), F.col(ts).isNull().alias("_none")).agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(ts).alias("_beats")
     )
+    beating = F.max(~F.col("_none")).over(Window.partitionBy(key))
+    slots = slots.withColumn("_beating", beating).filter(~F.col("_none") | ~F.col("_beating"))
     w = Window.partitionBy(key).orderBy("_first")
     silence = F.col("_first") - F.lag("_last").over(w)
     marked = slots.withColumn("_new", F.when(silence > timeout, 1).otherwise(0))

@@ -54,17 +54,21 @@ def effective_settings(
     group: Sequence[str],
     forced: Mapping[str, str],
     lists: DataFrame,
+    default_fs: str,
+    allowed: Sequence[str] = (),
 ) -> DataFrame:
-    """``group, key, value`` after all layers: the user's settings, then the forced ones, then the
+    """``group, key, value, error`` after all layers: the user's settings, then the forced ones, then the
     merged file lists.
 
     ``settings`` has one row ``(group, key, value)`` per setting; ``lists`` has rows
     ``(group, key, files array<string>)`` with the files a user named for a list setting. A list
-    setting becomes the user's files followed by the configured ones; empty lists are dropped.
-    Every group of ``settings`` gets the forced settings.
+    setting becomes the user's files followed by the configured ones, both put under ``default_fs`` and checked
+    against the ``allowed`` local folders; empty lists are dropped. A list with a path that cannot be used has no
+    value but an error, which rejects its group. Every group of ``settings`` gets the forced settings.
     """
-    cols = [*group, "key", "value", "_layer"]
-    user = settings.withColumn("_layer", F.lit(0)).select(cols)
+    cols = [*group, "key", "value", "error", "_layer"]
+    fine = F.lit(None).cast("string")
+    user = settings.withColumns({"_layer": F.lit(0), "error": fine}).select(cols)
     server = (
         settings.select(*group)
         .distinct()
@@ -72,17 +76,19 @@ def effective_settings(
             "_kv",
             F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in forced.items()])),
         )
-        .select(*group, "_kv.*", F.lit(1).alias("_layer"))
+        .select(*group, "_kv.*", fine.alias("error"), F.lit(1).alias("_layer"))
     )
     list_keys = lists.select(*group, "key", "files")
     merged = (
         list_keys.join(settings.select(*group, "key", "value"), [*group, "key"], "left")
-        .withColumn("value", merge_lists(F.col("files"), F.col("value")))
-        .filter(F.col("value").isNotNull())
-        .withColumn("_layer", F.lit(2))
+        .withColumn("_list", merge_lists(F.col("files"), F.col("value"), default_fs, allowed))
+        .withColumns({"value": F.col("_list.value"), "error": F.col("_list.error"), "_layer": F.lit(2)})
+        .filter(F.col("value").isNotNull() | F.col("error").isNotNull())
         .select(cols)
     )
-    return merge_layers(user.unionByName(server).unionByName(merged), group, "key", "value", ["_layer"])
+    every = user.unionByName(server).unionByName(merged)
+    held = every.select(*group, "key", F.struct("value", "error").alias("_held"), "_layer")
+    return merge_layers(held, group, "key", "_held", ["_layer"]).select(*group, "key", "_held.*")
 
 
 def reconcile(

@@ -87,7 +87,12 @@ def log_tail(
     part = key_slice(
         df, [key], [line_no], size, start=max(start, 0), from_end=tail, name="line", **layout
     )
-    joined = part.join(totals, key)
+    # Null-safe: the stream without a name has lines like any other.
+    joined = (
+        part.alias("l")
+        .join(totals.alias("r"), F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")))
+        .select("l.*", "r.total")
+    )
     return joined.withColumn("line", F.col("total") - 1 - F.col("line")) if tail else joined
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.binding import let
-
 PREVIEW_SIZE = 10
 
 # Type tags by the variant type's leading word.
@@ -25,14 +24,14 @@ TAGS = {
 # Messages of the renderer.
 ROW_CONFLICT = "table rows have different types"
 CELL_CONFLICT = "value has inconsistent types"
-JSON_MIME = "application/json"
 TEXT_MIME = "text/plain"
 
 
 def type_tag(value: Column) -> Column:
     """Type tag of a variant. JSON integers are BIGINT_TYPE, all fractions DOUBLE_TYPE."""
     table = F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv])
-    word = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    # The type's leading word; what follows it in brackets is that of the elements.
+    word = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
     return F.coalesce(F.try_element_at(table, word), F.lit("STRING_TYPE"))
 
 
@@ -67,7 +66,7 @@ def _column_tags(df: DataFrame, json_col: str) -> DataFrame:
 
 
 def inferred_headers(df: DataFrame, json_col: str) -> DataFrame:
-    """``position, name, type``: the header of the table. A null yields to any other tag; a column
+    """``name, type``: the header of the table. A null yields to any other tag; a column
     with two other tags has no type (see :func:`type_conflicts`). Names are sorted, positions of
     array rows by number."""
     tags = _column_tags(df, json_col)
@@ -83,45 +82,56 @@ def inferred_headers(df: DataFrame, json_col: str) -> DataFrame:
 
 
 def type_conflicts(df: DataFrame, json_col: str, strict: bool = False) -> DataFrame:
-    """``name, error`` for columns whose rows differ in type. With ``strict`` a null is a type."""
+    """``name, error`` for columns whose rows differ in type, and for columns with a collection whose elements do.
+    With ``strict`` a null is a type."""
     differs = F.col("low") != F.col("high")
     if strict:
         differs = differs | (F.col("nulls") & F.col("low").isNotNull())
-    return (
-        _column_tags(df, json_col)
-        .filter(differs)
-        .select("name", F.lit(ROW_CONFLICT).alias("error"))
-    )
+    rows = _column_tags(df, json_col).filter(differs).select("name", F.lit(ROW_CONFLICT).alias("error"))
+    return rows.unionByName(mixed_cells(df, json_col).select("name", F.lit(CELL_CONFLICT).alias("error")).distinct())
 
 
-def is_uniform(value: Column, depth: int = 3) -> Column:
-    """Whether all elements of a variant array, or all values of a variant object, have one type
-    tag, also in collections inside it; empty collections and scalars are uniform, and a null beside
-    a value is not. Null when collections are nested deeper than ``depth``."""
-    items = F.coalesce(
-        F.try_variant_get(value, "$", "array<variant>"),
-        F.map_values(F.try_variant_get(value, "$", "map<string,variant>")),
-    )
+def mixed_cells(df: DataFrame, json_col: str, *keep: str) -> DataFrame:
+    """``keep..., name`` of cells that hold an array or object whose elements differ in type."""
+    cells = json_cells(df, json_col, *keep).withColumn("_text", F.to_json("cell"))
+    nested = cells.filter(F.col("_text").rlike(r"^[\[{]"))
+    return nested.filter(~is_uniform(F.col("_text"))).select(*keep, "name")
 
-    def same(values: Column) -> Column:
-        return let(
-            F.array_distinct(F.transform(values, type_tag)),
-            lambda tags: F.when(F.size(tags) > 1, False)
-            .when(F.get(tags, F.lit(0)).isin("ARRAY_TYPE", "MAP_TYPE"), inner(values))
-            .otherwise(True),
-        )
 
-    def inner(values: Column) -> Column:
-        if depth == 0:
-            return F.lit(None).cast("boolean")
-        return F.forall(values, lambda v: is_uniform(v, depth - 1))
+def is_uniform(json_text: Column) -> Column:
+    """Whether all elements of a JSON array, or all values of an object, have one type tag, also in collections
+    inside it, however deep; empty collections, scalars and null are uniform, and a null beside a value is not.
+
+    Expressions have a fixed depth, so the texts go to a batch function that walks them with a stack of its own.
+    """
+
+    @F.pandas_udf("boolean")
+    def uniform(texts: pd.Series) -> pd.Series:
+        import json
+
+        def whole(digits: str) -> int | float:
+            number = int(digits)
+            return number if -(2**63) <= number < 2**63 else float(digits)
 
-    return let(items, lambda values: F.when(values.isNull(), True).otherwise(same(values)))
+        def one_type(text: str) -> bool:
+            todo = [json.loads(text, parse_int=whole)]
+            while todo:
+                value = todo.pop()
+                items = value if type(value) is list else list(value.values()) if type(value) is dict else ()
+                if len(set(map(type, items))) > 1:
+                    return False
+                if items and type(items[0]) in (list, dict):
+                    todo += items
+            return True
 
+        return texts.map(lambda text: text is None or one_type(text)).astype(bool)
 
-def collection_uniformity(df: DataFrame, json_col: str, *keep: str, depth: int = 3) -> DataFrame:
+    return uniform(json_text)
+
+
+def collection_uniformity(df: DataFrame, json_col: str, *keep: str) -> DataFrame:
     """``keep..., uniform`` for a column of JSON values."""
-    return df.select(*keep, is_uniform(F.parse_json(F.col(json_col)), depth).alias("uniform"))
+    return df.select(*keep, is_uniform(F.col(json_col)).alias("uniform"))
 
 
 def _cell(field: T.StructField) -> Column:
@@ -140,13 +150,14 @@ def table_rows(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def rendered_table(
-    df: DataFrame, json_col: str, order: list[str], n: int = PREVIEW_SIZE
+    df: DataFrame, json_col: str, order: list[str], n: int = PREVIEW_SIZE, strict: bool = False
 ) -> DataFrame:
     """One row: the first ``n`` semi-structured rows as a table document, or why there is none.
 
     ``document`` is ``{"headers": [{"type", "name"}], "data": [[...]]}``; rows are padded with nulls
-    for names they lack. ``error`` is set instead when a column has two types. Only these ``n`` rows
-    are looked at, as for any display.
+    for names they lack. ``error`` is set instead when a cell holds a collection of mixed types, or when a
+    column has two types; with ``strict`` a null beside a value is one too. Only these ``n`` rows are looked at,
+    as for any display.
     """
     # Ranked before the limit: at most n rows reach the expressions below.
     shown = (
@@ -171,8 +182,15 @@ def rendered_table(
         F.sort_array(F.collect_list("_row")).alias("_order"),
         F.map_from_entries(F.collect_list(F.struct("_row", cells.alias("cells")))).alias("_cells"),
     )
-    joined = data.withColumn("_heads", headers.select("_heads").scalar()).withColumn(
-        "_mixed", headers.select("_mixed").scalar()
+    mixed = headers.select("_mixed")
+    if strict:
+        mixed = type_conflicts(shown, "_doc", strict=True).filter(F.col("error") == ROW_CONFLICT).agg(F.count("*") > 0)
+    joined = data.withColumns(
+        {
+            "_heads": headers.select("_heads").scalar(),
+            "_mixed": mixed.scalar(),
+            "_cell": mixed_cells(shown.filter(F.col("_doc").isNotNull()), "_doc").agg(F.count("*") > 0).scalar(),
+        }
     )
     names = F.transform("_heads", lambda h: h["name"])
     rows = F.transform(
@@ -182,8 +200,8 @@ def rendered_table(
     tags = F.transform("_heads", lambda h: F.struct(h["type"].alias("type"), h["name"].alias("name")))
     doc = F.to_json(F.struct(tags.alias("headers"), rows.alias("data")))
     return joined.select(
-        F.when(~F.col("_mixed"), doc).alias("document"),
-        F.when(F.col("_mixed"), ROW_CONFLICT).alias("error"),
+        F.when(~F.col("_mixed") & ~F.col("_cell"), doc).alias("document"),
+        F.when(F.col("_cell"), CELL_CONFLICT).when(F.col("_mixed"), ROW_CONFLICT).alias("error"),
     )
 
 

@@ -5,6 +5,7 @@ from millrace.plans.spread import (
     global_slice,
     hot_keys,
     key_slice,
+    latest_before,
     positions,
     previous,
     running_before,

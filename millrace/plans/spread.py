@@ -19,19 +19,18 @@ table broadcast here has at most one row per hot key or per chunk of a hot key,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 50_000
-# Enough halvings to search max_chunks cut points.
-_CHUNK_BITS = 16
 SAMPLE_PER_CHUNK = 16
 
-# Up to this many rows per key and map task are shuffled for a slice without cutting hot keys.
-SMALL_SLICE = 100
+# Rows per chunk for slices: a hot key sends the rows of the chunks that hold the slice, however many map tasks
+# there are, so small chunks keep the one task that ranks them small.
+SLICE_ROWS_PER_CHUNK = 65_536
 
 CHUNK = "_chunk"
 _HOT = "_hot"
@@ -39,11 +38,13 @@ _POS = "_pos"
 
 
 def _sampled(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int, least_rate: Column | None = None
 ) -> DataFrame:
-    rate = max(1, rows_per_chunk // SAMPLE_PER_CHUNK)
+    rate = F.lit(max(1, rows_per_chunk // SAMPLE_PER_CHUNK)).cast("long")
+    if least_rate is not None:
+        rate = F.greatest(rate, least_rate)
     rows = df.select(*keys, F.struct(*order).alias(_POS))
-    return rows.filter(F.pmod(F.xxhash64(_POS), F.lit(rate)) == 0)
+    return rows.filter(F.pmod(F.xxhash64(_POS), rate) == 0)
 
 
 def hot_keys(
@@ -90,11 +91,11 @@ def _lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "le
     )
 
 
-def _cut_points(df, keys, order, rows_per_chunk, max_chunks) -> DataFrame:
+def _cut_points(df, keys, order, rows_per_chunk, max_chunks, least_rate: Column | None = None) -> DataFrame:
     """``keys, _pos``: the positions at which hot keys are cut, at most ``max_chunks`` rows."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(_POS))
     cuts = (
-        _sampled(df, keys, order, rows_per_chunk)
+        _sampled(df, keys, order, rows_per_chunk, least_rate)
         .withColumn("_rank", rank)
         .filter(F.pmod("_rank", F.lit(SAMPLE_PER_CHUNK)) == 0)
     )
@@ -102,7 +103,7 @@ def _cut_points(df, keys, order, rows_per_chunk, max_chunks) -> DataFrame:
     return cuts.filter(F.pmod("_rank", step) == 0).select(*keys, _POS)
 
 
-def _with_chunk(df: DataFrame, cuts: DataFrame, order: Sequence[str]) -> DataFrame:
+def _with_chunk(df: DataFrame, cuts: DataFrame, order: Sequence[str], max_chunks: int) -> DataFrame:
     """Add ``_chunk``: how many of the key's cut points are at or before the row.
 
     ``df`` has the columns ``_from`` and ``_till``, the part of the sorted list of all cut points
@@ -117,7 +118,8 @@ def _with_chunk(df: DataFrame, cuts: DataFrame, order: Sequence[str]) -> DataFra
     at = cuts.agg(F.array_sort(F.collect_list(F.col("_cut"))).alias("at")).scalar()
     rows = df.withColumns({"_at": at, _POS: F.struct(*order)})
     found, halvings = "0", []
-    for bit in range(_CHUNK_BITS - 1, -1, -1):
+    # Enough halvings to search max_chunks cut points.
+    for bit in range(max(1, max_chunks.bit_length()) - 1, -1, -1):
         probe, jump = f"_from + {found}", 1 << bit
         further = f"{probe} + {jump} <= _till AND get(_at, {probe} + {jump - 1}).pos <= {_POS}"
         halvings.append(f"CASE WHEN {further} THEN {found} + {jump} ELSE {found} END AS _found{bit}")
@@ -152,7 +154,7 @@ def chunked(
     """
     cuts, parts = _numbered(_cut_points(df, keys, order, rows_per_chunk, max_chunks), keys)
     rows = _lookup(df, parts, keys).withColumn(_HOT, F.col("_till").isNotNull())
-    return _with_chunk(rows, cuts, order)
+    return _with_chunk(rows, cuts, order, max_chunks)
 
 
 def chunk_window(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -212,6 +214,29 @@ def previous(
     )
 
 
+def latest_before(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str]
+) -> DataFrame:
+    """Add, for each ``name: value`` of ``columns``, the last non-null ``value`` of the rows before this one within
+    its key (null if there is none). One window, and one summary row per chunk, whatever the number of columns.
+
+    ``rows`` comes from :func:`chunked`, possibly filtered; its ``_chunk`` columns are kept.
+    """
+    at = F.struct(*order)
+    last = {f"_last_{n}": F.max_by(v, F.when(F.col(v).isNotNull(), at)) for n, v in columns.items()}
+    before = _earlier(keys)
+    carry = _per_chunk(rows, keys, **last).select(
+        *keys, CHUNK, *[F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_carry_{n}") for n in columns]
+    )
+    w = chunk_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({n: F.last(v, ignorenulls=True).over(w) for n, v in columns.items()})
+    return (
+        _lookup(local, carry, [*keys, CHUNK])
+        .withColumns({n: F.coalesce(n, f"_carry_{n}") for n in columns})
+        .drop(*[f"_carry_{n}" for n in columns])
+    )
+
+
 def running_before(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str
 ) -> DataFrame:
@@ -247,14 +272,12 @@ def key_slice(
     """Rows at positions ``[start, start + size)`` of each key, counted from its first row, or from
     its last row (0 = newest) with ``from_end``. ``name`` holds that position.
 
-    Spark keeps only the best ``start + size`` rows per key of each map task. For slices up to
-    ``SMALL_SLICE`` that alone bounds what a hot key sends. For larger ones, chunks that cannot reach
-    the slice are dropped by a broadcast lookup before.
+    Chunks of hot keys that cannot reach the slice are dropped by a broadcast lookup before the shuffle, so the
+    task that ranks a hot key gets about the slice and two chunks at most. Of these, Spark keeps only the best
+    ``start + size`` rows per key of each map task.
     """
-    if start + size <= SMALL_SLICE:
-        near = df.withColumn("_skipped", F.lit(0))
-    else:
-        near = _near_chunks(df, keys, order, size, start, from_end, layout)
+    layout = {"rows_per_chunk": SLICE_ROWS_PER_CHUNK, **layout}
+    near = _near_chunks(df, keys, order, size, start, from_end, layout)
     by = [F.col(c).desc() if from_end else F.col(c).asc() for c in order]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
     return (
@@ -327,13 +350,19 @@ def global_slice(
     """Rows at positions ``[start, start + size)`` of the whole set (to the end with ``None``).
 
     The set is cut into chunks along ``order`` and the chunks are counted; only chunks that hold a
-    part of the slice are read on and sorted, each in a task of its own.
+    part of the slice are read on and sorted, each in a task of its own. For all rows from a position on, the row
+    there is found in this way, and those from it on are sorted; each is moved once.
     """
+    if size is None:
+        first = global_slice(df, order, start, 1, rows_per_chunk, max_chunks).select(F.struct(*order).alias("at"))
+        return df.filter(F.struct(*order) >= first.scalar()).orderBy(*order)
     whole = df.withColumn("_all", F.lit(0))
-    cuts = _cut_points(whole, ["_all"], order, rows_per_chunk, max_chunks)
+    # The rate follows the number of rows, so that the sample sorted in one task has a size of its own.
+    rate = F.ceil(F.count(F.lit(1)) / (max_chunks * SAMPLE_PER_CHUNK)).cast("long")
+    cuts = _cut_points(whole, ["_all"], order, rows_per_chunk, max_chunks, df.agg(rate.alias("rate")).scalar())
     cuts = cuts.select(F.struct(F.col(_POS).alias("pos")).alias("_cut"))
     everything = {"_from": F.lit(0), "_till": F.lit(max_chunks)}
-    rows = _with_chunk(df.withColumns(everything), cuts, order)
+    rows = _with_chunk(df.withColumns(everything), cuts, order, max_chunks)
     # One row per chunk: at most max_chunks + 1 rows pass this window and are broadcast.
     ahead = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     reach = (
@@ -342,10 +371,8 @@ def global_slice(
         .withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
         .filter(F.col("_ahead") + F.col("_n") > start)
     )
-    inside = F.col("_position") >= start
-    if size is not None:
-        reach = reach.filter(F.col("_ahead") < start + size)
-        inside = inside & (F.col("_position") < start + size)
+    reach = reach.filter(F.col("_ahead") < start + size)
+    inside = (F.col("_position") >= start) & (F.col("_position") < start + size)
     rank = F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order))
     return (
         rows.join(F.broadcast(reach.drop("_n")), CHUNK)

@@ -127,17 +127,18 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_by(events, "user_id", ["ts", "event_id"], "event_type", "event_id")
 
 
-# Stored records: some keys are no numbers, some have no document, some documents are cut short.
+# Stored records: some keys are no numbers, some lie beyond 32 bits, some have no document, some documents are
+# cut short.
 _STORE_SQL = """
     SELECT CASE WHEN event_type = 'signup' AND value < 20 THEN 'x' ELSE '' END
-            || CAST(event_id AS VARCHAR) AS key,
+            || CAST(event_id + CASE WHEN event_type = 'purchase' THEN 3000000000 ELSE 0 END AS VARCHAR) AS key,
         CASE WHEN event_type = 'view' AND value < 20 THEN NULL
             WHEN event_type = 'click' AND value < 20 THEN substr(props, 1, 5)
             ELSE props END AS doc
     FROM events
 """
 _RECOVERED_SQL = f"""
-    SELECT CAST(key AS INTEGER) AS id,
+    SELECT CAST(key AS BIGINT) AS id,
         CASE WHEN ends_with(doc, '}}') THEN CAST(json_extract_string(doc, '$.k') AS BIGINT) END AS k,
         CASE WHEN NOT ends_with(doc, '}}') THEN 'Error getting session ' || key END AS error
     FROM ({_STORE_SQL}) WHERE doc IS NOT NULL AND NOT starts_with(key, 'x')
@@ -146,7 +147,8 @@ _RECOVERED_SQL = f"""
 
 def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, few = F.col("event_type"), F.col("value") < 20
-    key = F.concat(F.when((kind == "signup") & few, "x").otherwise(""), F.col("event_id").cast("string"))
+    number = F.col("event_id") + F.when(kind == "purchase", 3_000_000_000).otherwise(0)
+    key = F.concat(F.when((kind == "signup") & few, "x").otherwise(""), number.cast("string"))
     doc = (
         F.when((kind == "view") & few, F.lit(None))
         .when((kind == "click") & few, F.substring("props", 1, 5))
@@ -171,8 +173,8 @@ def recovery_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "next_session_id",
-    "SELECT CAST(max(event_id) + 1 AS INTEGER) AS next_id FROM events",
+    "SELECT CAST(max(event_id) + 3000000000 AS BIGINT) AS next_id FROM events",
 )
 def next_session_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = table(spark, sf_dir, "events").agg((F.max("event_id") + 1).alias("nextSessionId"))
+    used = table(spark, sf_dir, "events").agg((F.max("event_id") + 3_000_000_000).alias("nextSessionId"))
     return next_id(used.select(F.to_json(F.struct("nextSessionId")).alias("doc")), "doc")

@@ -24,7 +24,8 @@ from millrace.tables import table
 
 ORDER = ["ts", "event_id"]
 
-# Test mappings from event types to states.
+# Test mappings from event types to states. A share of the session and statement rows has no state, and one type
+# of event has a state that sessions and statements do not know.
 SESSION = {"signup": "starting", "view": "idle", "click": "busy", "purchase": "success", "error": "error"}
 STATEMENT = {
     "signup": "waiting",
@@ -37,11 +38,24 @@ JOB = {"signup": "SENT", "view": "QUEUED", "click": "STARTED", "error": "FAILED"
 SERVER = {"signup": "starting", "view": "running", "click": "running", "purchase": "success", "error": "error"}
 
 
+ODD_SESSION = {**SESSION, "signup": "hibernating"}
+ODD_STATEMENT = {**STATEMENT, "signup": "lost"}
+
+
 def _case(mapping: Mapping[str, str]) -> str:
     whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
     return f"CASE event_type {whens} END"
 
 
+def _odd_case(mapping: Mapping[str, str]) -> str:
+    return f"CASE WHEN event_id % 7 <> 3 THEN {_case(mapping)} END"
+
+
+def odd_states(spark: SparkSession, sf_dir: str, mapping: Mapping[str, str]) -> DataFrame:
+    known = F.when(F.col("event_id") % 7 != 3, F.col("state"))
+    return states(spark, sf_dir, mapping).withColumn("state", known)
+
+
 def states(spark: SparkSession, sf_dir: str, mapping: Mapping[str, str]) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", map_codes(F.col("event_type"), mapping).alias("state")
@@ -61,9 +75,10 @@ def statement_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     "transition_check",
     f"""
     WITH h AS (
-        SELECT event_id, user_id, {_case(STATEMENT)} AS state, ts FROM events),
+        SELECT event_id, user_id, {_odd_case(ODD_STATEMENT)} AS state, ts FROM events),
     steps AS (
-        SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state FROM h)
+        SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state FROM h
+        WHERE state IS NOT NULL)
     SELECT event_id, user_id, from_state, state FROM steps
     WHERE from_state IS NOT NULL AND NOT (
         (from_state = 'waiting' AND state IN ('running', 'cancelled'))
@@ -72,7 +87,7 @@ def statement_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def transition_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return illegal_transitions(states(spark, sf_dir, STATEMENT), "user_id", ORDER).drop("ts")
+    return illegal_transitions(odd_states(spark, sf_dir, ODD_STATEMENT), "user_id", ORDER).drop("ts")
 
 
 @query(
@@ -97,7 +112,8 @@ def job_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     "session_state_fold",
     f"""
     WITH h AS (
-        SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day, {_case(SESSION)} AS state FROM events),
+        SELECT * FROM (SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day, {_odd_case(ODD_SESSION)} AS state
+            FROM events) WHERE state IN ('idle', 'busy', 'success', 'error')),
     e AS (
         SELECT *, coalesce(max(CASE WHEN state = 'success' THEN 1 ELSE 0 END)
             OVER (PARTITION BY user_id, day ORDER BY ts, event_id
@@ -109,7 +125,7 @@ def job_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def session_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = states(spark, sf_dir, SESSION).withColumn("day", F.to_date("ts"))
+    days = odd_states(spark, sf_dir, ODD_SESSION).withColumn("day", F.to_date("ts"))
     return accepted_session_states(days, ["user_id", "day"], ORDER).drop("ts")
 
 
@@ -171,9 +187,26 @@ SPANS_SQL = """
 """
 
 
-@query("heartbeat_spans", SPANS_SQL)
+# Some users never beat, and a share of the others' rows has no time either.
+_SILENT_SQL = """
+    WITH beats AS (
+        SELECT user_id, CASE WHEN user_id % 10 <> 4 AND event_id % 7 <> 3 THEN ts END AS ts, event_id FROM events)
+    SELECT * FROM (
+"""
+
+
+@query(
+    "heartbeat_spans",
+    _SILENT_SQL
+    + SPANS_SQL.replace("FROM events", "FROM (SELECT * FROM beats WHERE ts IS NOT NULL)")
+    + """) UNION ALL
+    SELECT user_id, NULL, NULL, 0 FROM beats GROUP BY user_id HAVING count(ts) = 0
+    """,
+)
 def heartbeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live_spans(table(spark, sf_dir, "events"), "user_id", "ts", 1800)
+    beating = (F.col("user_id") % 10 != 4) & (F.col("event_id") % 7 != 3)
+    beats = table(spark, sf_dir, "events").select("user_id", F.when(beating, F.col("ts")).alias("ts"))
+    return live_spans(beats, "user_id", "ts", 1800)
 
 
 @query(

@@ -79,32 +79,45 @@ def layered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH settings AS (
         SELECT p_partkey, unnest(['spark.files', 'spark.master', 'label']) AS key,
-            unnest([p_name, 'mine', p_brand]) AS value FROM part),
+            unnest(['/' || replace(p_name, ' ', ', /'), 'mine', p_brand]) AS value FROM part),
     files AS (
-        SELECT p_partkey, CASE WHEN p_size > 25 THEN p_type || ',' ELSE '' END
-            || replace(p_name, ' ', ',') AS value FROM part)
-    SELECT s.p_partkey, s.key, CASE s.key WHEN 'spark.master' THEN 'yarn'
-        WHEN 'spark.files' THEN f.value ELSE s.value END AS value
+        SELECT p_partkey, 'dummy:///' || replace(p_name, ' ', ',dummy:///') AS conf,
+            CASE WHEN p_size % 3 = 0 THEN 'Path ' || chr(39) || p_type || chr(39) || ' is not absolute.'
+                WHEN p_size % 7 = 0 THEN 'Local path /etc/' || p_type || ' cannot be added to user sessions.' END AS error,
+            CASE WHEN p_size % 5 = 0 THEN 'file:/open/' || p_type
+                WHEN p_size % 2 = 0 THEN 'dummy:///' || p_type END AS own FROM part)
+    SELECT s.p_partkey, s.key, CASE s.key WHEN 'spark.master' THEN 'yarn' WHEN 'spark.files' THEN
+            CASE WHEN f.error IS NULL THEN coalesce(f.own || ',', '') || f.conf END ELSE s.value END AS value,
+        CASE WHEN s.key = 'spark.files' THEN f.error END AS error
     FROM settings s JOIN files f USING (p_partkey)
     UNION ALL
-    SELECT p_partkey, 'spark.submit.deployMode', 'cluster' FROM part
+    SELECT p_partkey, 'spark.submit.deployMode', 'cluster', NULL FROM part
     UNION ALL
-    SELECT p_partkey, 'spark.jars', p_type FROM part WHERE p_size > 25
+    SELECT p_partkey, 'spark.jars', CASE WHEN error IS NULL THEN own END, error FROM files
+    WHERE error IS NOT NULL OR own IS NOT NULL
     """,
 )
 def effective_settings_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    own = {"spark.files": F.col("p_name"), "spark.master": F.lit("mine"), "label": F.col("p_brand")}
+    # Raw paths in the settings; the user's files are relative, local and forbidden, local, raw, or none.
+    conf = F.concat(F.lit("/"), F.replace("p_name", F.lit(" "), F.lit(", /")))
+    own = {"spark.files": conf, "spark.master": F.lit("mine"), "label": F.col("p_brand")}
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in own.items()])
     settings = part.select("p_partkey", F.explode(pairs).alias("kv")).select("p_partkey", "kv.*")
-    named = F.when(F.col("p_size") > 25, F.array("p_type"))
+    size, path = F.col("p_size"), F.col("p_type")
+    named = (
+        F.when(size % 3 == 0, F.array(path))
+        .when(size % 7 == 0, F.array(F.concat(F.lit("file:/etc/"), path)))
+        .when(size % 5 == 0, F.array(F.concat(F.lit("file:/open/"), path)))
+        .when(size % 2 == 0, F.array(F.concat(F.lit("/"), path)))
+    )
     lists = part.select(
         "p_partkey",
         F.explode(F.array(F.lit("spark.files"), F.lit("spark.jars"))).alias("key"),
         named.alias("files"),
     )
     forced = {"spark.master": "yarn", "spark.submit.deployMode": "cluster"}
-    return effective_settings(settings, ["p_partkey"], forced, lists)
+    return effective_settings(settings, ["p_partkey"], forced, lists, "dummy:///", ["/open/"])
 
 
 @query(
@@ -153,5 +166,7 @@ def log_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(
         "conv_id", F.col("turn").alias("line_no"), F.col("text").alias("line"), "role"
     )
-    parts = [turns.filter(F.col("role") == r).drop("role") for r in ("assistant", "user", "system")]
+    # Turns of any other role, or of none, count as diagnostics.
+    role = F.when(F.col("role").isin("assistant", "user"), F.col("role")).otherwise("other")
+    parts = [turns.filter(role == r).drop("role") for r in ("assistant", "user", "other")]
     return concat_logs(*parts, key="conv_id")

@@ -26,7 +26,7 @@ _DOC_SQL = """
         || ',"half":' || user_id || '.5,"none":null,"ok":'
         || (CASE WHEN value < 20 THEN 'true' ELSE 'false' END)
         || ',"mixed":' || (CASE WHEN event_type = 'click' THEN '"x"' ELSE '1' END)
-        || ',"list":[1,2],"props":' || props || '}' AS doc
+        || ',"list":[1,' || (CASE WHEN event_type = 'error' THEN '"x"' ELSE '2' END) || '],"props":' || props || '}' AS doc
     FROM events
 """
 
@@ -39,7 +39,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',"half":'), user, F.lit('.5,"none":null,"ok":'),
         F.when(F.col("value") < 20, "true").otherwise("false"),
         F.lit(',"mixed":'), F.when(kind == "click", '"x"').otherwise("1"),
-        F.lit(',"list":[1,2],"props":'), F.col("props"), F.lit("}"),
+        F.lit(',"list":[1,'), F.when(kind == "error", '"x"').otherwise("2"), F.lit('],"props":'), F.col("props"), F.lit("}"),
     )
     return table(spark, sf_dir, "events").select(doc.alias("doc"))
 
@@ -75,6 +75,7 @@ def event_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     "type_conflicts",
     f"""{_TAGS_SQL}
     SELECT name, 'table rows have different types' AS error FROM tags WHERE low <> high
+    UNION ALL SELECT 'list', 'value has inconsistent types' FROM events WHERE event_type = 'error' GROUP BY 1
     """,
 )
 def event_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,7 @@ def event_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{_TAGS_SQL}
     SELECT name, 'table rows have different types' AS error FROM tags
     WHERE low <> high OR (nulls AND low IS NOT NULL)
+    UNION ALL SELECT 'list', 'value has inconsistent types' FROM events WHERE event_type = 'error' GROUP BY 1
     """,
 )
 def event_conflicts_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,14 +97,15 @@ def event_conflicts_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 # JSON collections: arrays of numbers, numbers beside a string or a null, nested arrays that are
 # uniform or not, an empty one, and an object.
 _COLLECTION_SQL = """
-    SELECT l_orderkey, l_linenumber, CASE l_linenumber
+    SELECT l_orderkey, l_linenumber, l_linestatus, CASE l_linenumber
         WHEN 1 THEN '[' || l_partkey || ',' || l_suppkey || ']'
         WHEN 2 THEN '[' || l_partkey || ',"' || l_returnflag || '"]'
         WHEN 3 THEN (CASE WHEN l_linestatus = 'F' THEN '[]' ELSE '[null,' || l_partkey || ']' END)
         WHEN 4 THEN '[[' || l_partkey || '],["' || l_returnflag || '"]]'
         WHEN 5 THEN '[[' || l_partkey || ',"' || l_returnflag || '"],[1]]'
         WHEN 6 THEN '{"a":' || l_partkey || ',"b":' || l_suppkey || '}'
-        ELSE '{"a":' || l_partkey || ',"b":"' || l_returnflag || '"}' END AS doc
+        ELSE '{"a":{"b":[{"c":[[' || l_partkey || (CASE WHEN l_linestatus = 'F' THEN ',"x"' ELSE ',1' END)
+            || ']]}]}}' END AS doc
     FROM lineitem
 """
 
@@ -112,14 +115,15 @@ _COLLECTION_SQL = """
     f"""
     WITH docs AS ({_COLLECTION_SQL}),
     items AS (
-        SELECT l_orderkey, l_linenumber, CASE WHEN json_type(doc) = 'ARRAY'
+        SELECT l_orderkey, l_linenumber, l_linestatus, CASE WHEN json_type(doc) = 'ARRAY'
                 THEN json_extract(doc, '$[*]') ELSE json_extract(doc, '$.*') END AS vals FROM docs),
     kinds AS (
-        SELECT l_orderkey, l_linenumber, list_transform(vals, lambda v: json_type(v)) AS tops,
+        SELECT l_orderkey, l_linenumber, l_linestatus, list_transform(vals, lambda v: json_type(v)) AS tops,
             flatten(list_transform(vals, lambda v: CASE WHEN json_type(v) = 'ARRAY'
                 AND len(list_distinct(list_transform(json_extract(v, '$[*]'), lambda w: json_type(w)))) > 1
                 THEN ['bad'] ELSE [] END)) AS inner_bad FROM items)
-    SELECT l_orderkey, l_linenumber, len(list_distinct(tops)) <= 1 AND len(inner_bad) = 0 AS uniform
+    SELECT l_orderkey, l_linenumber, len(list_distinct(tops)) <= 1 AND len(inner_bad) = 0
+        AND NOT (l_linenumber = 7 AND l_linestatus = 'F') AS uniform
     FROM kinds
     """,
 )
@@ -135,7 +139,11 @@ def lineitem_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n == "4", F.concat(F.lit("[["), pk, F.lit('],["'), flag, F.lit('"]]')))
         .when(n == "5", F.concat(F.lit("[["), pk, F.lit(',"'), flag, F.lit('"],[1]]')))
         .when(n == "6", F.concat(F.lit('{"a":'), pk, F.lit(',"b":'), sk, F.lit("}")))
-        .otherwise(F.concat(F.lit('{"a":'), pk, F.lit(',"b":"'), flag, F.lit('"}')))
+        .otherwise(
+            F.concat(
+                F.lit('{"a":{"b":[{"c":[['), pk, F.when(F.col("l_linestatus") == "F", ',"x"').otherwise(",1"), F.lit("]]}]}}")
+            )
+        )
     )
     docs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", doc.alias("doc"))
     return collection_uniformity(docs, "doc", "l_orderkey", "l_linenumber")
@@ -200,6 +208,19 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered_table(docs, "doc", ["event_id"])
 
 
+@query(
+    "rendered_table_mixed",
+    """
+    SELECT CAST(NULL AS VARCHAR) AS document, 'value has inconsistent types' AS error
+    FROM (SELECT max(event_id) FROM events)
+    """,
+)
+def mixed_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = F.array(F.col("event_id").cast("variant"), F.col("event_type").cast("variant"))
+    docs = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(pair.alias("pair"))).alias("doc"))
+    return rendered_table(docs, "doc", ["event_id"])
+
+
 _ERROR_START = '{"status":"error","execution_count":'
 
 

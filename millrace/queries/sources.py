@@ -68,12 +68,18 @@ def nested_json_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "text_pair_sink",
-    "SELECT CAST(o_orderkey AS VARCHAR) AS x, CAST(2 * o_orderkey AS VARCHAR) AS y FROM orders",
+    """
+    SELECT o_orderpriority || chr(10) || '\\,' || CAST(o_orderkey AS VARCHAR) AS x,
+        CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderstatus = 'F' THEN '\\N,' || chr(13)
+            ELSE CAST(2 * o_orderkey AS VARCHAR) END AS y FROM orders
+    """,
 )
 def text_pair_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "pairs")
-    keys = F.col("o_orderkey")
-    write_pairs(table(spark, sf_dir, "orders").select(keys.alias("x"), (keys * 2).alias("y")), path)
+    keys, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    doubled = F.when(status == "F", "\\N,\r").when(status != "P", (keys * 2).cast("string"))
+    named = F.concat("o_orderpriority", F.lit("\n\\,"), keys.cast("string"))
+    write_pairs(table(spark, sf_dir, "orders").select(named.alias("x"), doubled.alias("y")), path)
     return read_pairs(spark, path, "x", "y")
 
 

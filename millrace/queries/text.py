@@ -186,23 +186,27 @@ def cell_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     "magic_lines",
     r"""
     WITH lines AS (
-        SELECT conv_id, turn, (CASE role WHEN 'user' THEN '%table  (' WHEN 'system' THEN '%'
-            ELSE '' END) || string_split(text, chr(10))[1] AS line FROM conversations)
-    SELECT conv_id, turn,
+        SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS part, role,
+            CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no FROM conversations),
+    marked AS (
+        SELECT conv_id, turn, line_no, (CASE role WHEN 'user' THEN '%table  (' WHEN 'system' THEN '%'
+            ELSE '' END) || part AS line FROM lines)
+    SELECT conv_id, turn, line_no,
         CASE WHEN regexp_matches(line, '^%[0-9A-Za-z_]') THEN regexp_extract(line, '^%([0-9A-Za-z_]+)', 1) END AS name,
         CASE WHEN regexp_matches(line, '^%[0-9A-Za-z_]') THEN
             regexp_extract(line, '^%[0-9A-Za-z_]+[^0-9A-Za-z_]*(.*)', 1) END AS argument
-    FROM lines
+    FROM marked
     """,
 )
 def magic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.col("role")
     prefix = F.when(role == "user", "%table  (").when(role == "system", "%").otherwise("")
-    line = F.concat(prefix, F.substring_index("text", "\n", 1))
-    return (
-        table(spark, sf_dir, "conversations")
-        .select("conv_id", "turn", magic_line(line).alias("m"))
-        .select("conv_id", "turn", "m.*")
+    lines = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", prefix.alias("prefix"), F.posexplode(F.split("text", "\n")).alias("line_no", "part")
+    )
+    line = F.concat("prefix", "part")
+    return lines.select("conv_id", "turn", "line_no", magic_line(line).alias("m")).select(
+        "conv_id", "turn", "line_no", "m.*"
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from millrace.streaming.runner import StreamRunner, append_to
 
@@ -36,12 +37,19 @@ def expire_stream(
     spans, not beats.
     """
     spark = beats.sparkSession
-    before = spark.conf.get(LOCAL_MERGE, "false")
-    spark.conf.set(LOCAL_MERGE, "true")
+    runner = StreamRunner(spark).create()
+    begin = append_to(expirations(beats, key, ts, timeout_s, delay_s), "parquet", out, checkpoint)
+
+    def start(trigger: dict) -> StreamingQuery:
+        # A query keeps the settings it starts with, so others do not see this one while it runs.
+        before = spark.conf.get(LOCAL_MERGE, "false")
+        spark.conf.set(LOCAL_MERGE, "true")
+        try:
+            return begin(trigger)
+        finally:
+            spark.conf.set(LOCAL_MERGE, before)
+
     try:
-        runner = StreamRunner(spark).create()
-        spans = expirations(beats, key, ts, timeout_s, delay_s)
-        runner.run(append_to(spans, "parquet", out, checkpoint))
-        runner.stop()
+        runner.run(start)
     finally:
-        spark.conf.set(LOCAL_MERGE, before)
+        runner.stop()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,11 +49,16 @@ class StreamRunner:
             self._query.awaitTermination(timeout_s)
         return self._query
 
-    def stop(self) -> None:
-        """Stop the query after the batch it is in; the next one resumes from its checkpoint."""
+    def stop(self, patience_s: float = 600) -> None:
+        """Stop the query once the batch it is in has ended, or after ``patience_s`` in any case; the next one
+        resumes from its checkpoint."""
         _ = self.trigger
-        if self._query is not None and self._query.isActive:
-            self._query.stop()
+        query = self._query
+        if query is not None and query.isActive:
+            until = time.monotonic() + patience_s
+            while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
+                query.awaitTermination(0.05)
+            query.stop()
         self._query = self._trigger = None
 
 

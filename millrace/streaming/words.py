@@ -8,10 +8,6 @@ from millrace.operators.words import lines_with, tokenize, top_word
 from millrace.sources.json import json_scan
 from millrace.streaming.runner import StreamRunner, append_to
 
-# Batch interval and run time of the word example, in milliseconds.
-INTERVAL_MS = 15_000
-RUN_MS = 12_000
-
 WORD_SCHEMA = "word string"
 
 

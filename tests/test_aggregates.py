@@ -22,6 +22,17 @@ from millrace.operators.words import lines_with, tokenize, top_word, word_count,
 NINE = "the quick brown fox jumped over the lazy dog"
 
 
+def test_drawn_points_are_independent(spark):
+    from pyspark.sql import functions as f
+
+    from millrace.operators.aggregates import _APART
+
+    points = spark.range(0, 400, 1, 8).select(f.spark_partition_id().alias("p"), f.rand(3).alias("x"), f.rand(3 + _APART).alias("y"))
+    rows = points.collect()
+    assert not {r.x for r in rows} & {r.y for r in rows}
+    assert abs(estimate_pi(spark, 200_000, 8, seed=3).first()[0] - 3.1416) < 0.03
+
+
 def test_doubled_sum(spark):
     assert sum_mapped(spark.range(100), F.col("id") * 2).first()[0] == 9900
 
@@ -94,15 +105,15 @@ def test_recovery(spark):
     rows = [
         ("0", '{"id":0,"owner":"a"}'), ("5", None), ("77", '{"id":77,"owner":null}'), ("7", "{bad"),
         ("11212", '{"id":"x"}'), ("notes", '{"id":1}'), ("1.5", '{"id":1}'), (" 8", '{"id":1}'),
-        ("99999999999", '{"id":1}'), (None, '{"id":1}'),
+        ("99999999999", '{"id":1}'), ("99999999999999999999", '{"id":1}'), (None, '{"id":1}'),
     ]
     got = recover(spark.createDataFrame(rows, "key string, doc string"), "key", "doc", STORE)
     by_id = {r.id: r for r in got.collect()}
-    assert set(by_id) == {0, 77, 7, 11212}
+    assert set(by_id) == {0, 77, 7, 11212, 99999999999}
     assert by_id[0].record.owner == "a" and by_id[77].record.owner is None and by_id[77].error is None
     assert by_id[7].record is None and by_id[7].error == "Error getting session 7"
     assert by_id[11212].record is None
-    assert tuple(recovery_summary(got).first()) == (2, 2)
+    assert tuple(recovery_summary(got).first()) == (3, 2)
     assert tuple(recovery_summary(got.filter("id < 0")).first()) == (0, 0)
 
 
@@ -112,5 +123,6 @@ def test_next_id(spark):
 
     assert one([]) == 0
     assert one([('{"nextSessionId":100}',)]) == 100
+    assert one([('{"nextSessionId":5000000000}',)]) == 5_000_000_000
     with pytest.raises(Exception, match="[Mm]alformed"):
         one([("{bad",)])

@@ -94,11 +94,18 @@ def test_encoded_paths(spark):
 
 def test_merged_lists_put_the_users_first(spark):
     df = spark.createDataFrame(
-        [(["/file2.txt"], "/file1.txt"), ([], "a, b,,c"), (None, None), (["x", ""], None)],
+        [
+            (["/file2.txt"], "/file1.txt"), ([], "/a, /b,,hdfs:/c"), (None, None), (["file:/ok/x", ""], None),
+            (["/a", "b"], "c"), (["/a"], "file:/no"),
+        ],
         "files array<string>, conf string",
     )
-    got = [r[0] for r in df.select(merge_lists(F.col("files"), F.col("conf"))).collect()]
-    assert got == ["/file2.txt,/file1.txt", "a,b,c", None, "x"]
+    merged = merge_lists(F.col("files"), F.col("conf"), "dummy:///", ["/ok/"])
+    assert [tuple(r) for r in df.select(merged.alias("m")).select("m.*").collect()] == [
+        ("dummy:///file2.txt,dummy:///file1.txt", None), ("dummy:///a,dummy:///b,hdfs:/c", None), (None, None),
+        ("file:/ok/x", None), (None, "Path 'b' is not absolute."),
+        (None, "Local path /no cannot be added to user sessions."),
+    ]
 
 
 COMPILE_ERROR = """<console>:27: error: type mismatch;

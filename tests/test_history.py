@@ -64,10 +64,10 @@ def test_job_fold(spark, seqs):
 
 
 @FEW
-@given(histories(list(SESSION_ACTIVE)), st.sampled_from([4, 1000]))
+@given(histories([*SESSION_ACTIVE, "weird", None]), st.sampled_from([4, 1000]))
 def test_session_fold(spark, seqs, chunk):
     def step(old, new):
-        return old != new and not (not SESSION_ACTIVE[old] and SESSION_ACTIVE[new])
+        return new in SESSION_ACTIVE and old != new and not (not SESSION_ACTIVE[old] and SESSION_ACTIVE[new])
 
     got = accepted_session_states(frame(spark, seqs), ["key"], ORDER, rows_per_chunk=chunk)
     assert rows_of(got) == fold(seqs, "starting", step)
@@ -81,13 +81,14 @@ def test_session_fold_of_a_hot_key(skewed):
 
 
 @FEW
-@given(histories(list(STATEMENT_PREDECESSORS)), st.sampled_from([4, 1000]))
+@given(histories([*STATEMENT_PREDECESSORS, "weird", None]), st.sampled_from([4, 1000]))
 def test_illegal_transitions(spark, seqs, chunk):
+    known = [[(i, s) for i, s in enumerate(seq) if s is not None] for seq in seqs]
     want = sorted(
-        (k, i * 10 + k, s, seq[i - 1])
-        for k, seq in enumerate(seqs)
-        for i, s in enumerate(seq)
-        if i > 0 and seq[i - 1] not in STATEMENT_PREDECESSORS[s]
+        (k, i * 10 + k, s, before)
+        for k, seq in enumerate(known)
+        for (_, before), (i, s) in zip(seq, seq[1:])
+        if before not in STATEMENT_PREDECESSORS.get(s, ())
     )
     got = illegal_transitions(frame(spark, seqs), "key", ORDER, rows_per_chunk=chunk)
     assert sorted(tuple(r) for r in got.select("key", "id", "state", "from_state").collect()) == want
@@ -149,6 +150,14 @@ def test_live_spans(spark, timeout):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_a_key_that_never_beat_never_expires(spark):
+    rows = [(1, None), (1, None), (2, None), (2, NOW)]
+    df = spark.createDataFrame(rows, "key int, ts timestamp_ntz")
+    got = {tuple(r) for r in live_spans(df, "key", "ts", 60).select("key", "first_beat", "expires_at", "beats").collect()}
+    assert got == {(1, None, None, 0), (2, NOW, NOW + dt.timedelta(seconds=60), 1)}
+    assert {r.key for r in live_spans(df, "key", "ts", 0).collect()} == {1, 2}
+
+
 def test_timeout_zero_never_expires(spark):
     df = spark.createDataFrame([(1, NOW), (1, NOW + dt.timedelta(days=9))], "key int, ts timestamp_ntz")
     assert [tuple(r) for r in live_spans(df, "key", "ts", 0).collect()] == [(1, NOW, None, 2)]

@@ -31,20 +31,26 @@ def test_later_layer_wins(spark):
 
 def test_settings(spark):
     settings = spark.createDataFrame(
-        [(1, "spark.master", "mine"), (1, "spark.jars", "dummy:///file1.txt"), (2, "x", "y")],
+        [(1, "spark.master", "mine"), (1, "spark.jars", "/file1.txt"), (2, "x", "y"), (3, "spark.jars", "/ok, far/away")],
         "id int, key string, value string",
     )
     lists = spark.createDataFrame(
-        [(1, "spark.jars", ["dummy:///file2.txt"]), (1, "spark.files", []), (2, "spark.files", ["f"])],
+        [
+            (1, "spark.jars", ["/file2.txt"]), (1, "spark.files", []), (2, "spark.files", ["file:/allowed/f", ""]),
+            (3, "spark.jars", None), (3, "spark.files", ["file:/tmp/../etc/passwd"]),
+        ],
         "id int, key string, files array<string>",
     )
-    got = effective_settings(settings, ["id"], {"spark.master": "local"}, lists)
-    assert {tuple(r) for r in got.select("id", "key", "value").collect()} == {
-        (1, "spark.master", "local"),
-        (1, "spark.jars", "dummy:///file2.txt,dummy:///file1.txt"),
-        (2, "x", "y"),
-        (2, "spark.master", "local"),
-        (2, "spark.files", "f"),
+    got = effective_settings(settings, ["id"], {"spark.master": "local"}, lists, "dummy:///", ["/allowed/"])
+    assert {tuple(r) for r in got.select("id", "key", "value", "error").collect()} == {
+        (1, "spark.master", "local", None),
+        (1, "spark.jars", "dummy:///file2.txt,dummy:///file1.txt", None),
+        (2, "x", "y", None),
+        (2, "spark.master", "local", None),
+        (2, "spark.files", "file:/allowed/f", None),
+        (3, "spark.master", "local", None),
+        (3, "spark.jars", None, "Path 'far/away' is not absolute."),
+        (3, "spark.files", None, "Local path /tmp/../etc/passwd cannot be added to user sessions."),
     }
 
 

@@ -56,6 +56,9 @@ def test_log_tail(spark, layout):
     assert lines(log_tail(logs, "k", "no", size=10, **layout)) == {1: list(range(140, 150)), 2: [0]}
     assert lines(log_tail(logs, "k", "no", 0, 3, **layout)) == {1: [0, 1, 2], 2: [0]}
     assert lines(log_tail(logs, "k", "no", 149, 9, **layout)) == {1: [149], 2: []}
+    unnamed = logs.union(spark.createDataFrame([(None, 3), (None, 5)], "k int, no int"))
+    kept = log_tail(unnamed, "k", "no", size=1, **layout).filter("k IS NULL").collect()
+    assert [(r.no, r.line, r.total) for r in kept] == [(5, 1, 2)]
     tail = log_tail(logs, "k", "no", size=1, **layout).collect()
     assert {(r.k, r.no, r.total) for r in tail} == {(1, 298, 150), (2, 7, 1)}
 

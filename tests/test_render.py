@@ -55,17 +55,21 @@ def test_conflicts(spark):
     assert {r.name for r in type_conflicts(df, "doc", strict=True).collect()} == {"a", "b"}
 
 
+def test_mixed_cells_conflict(spark):
+    df = docs(spark, {"a": [1], "b": [1, "x"]}, {"a": [2], "b": [2]}, {"a": ["y"], "b": [{"c": [1, None]}]})
+    assert [tuple(r) for r in type_conflicts(df, "doc").collect()] == [("b", "value has inconsistent types")]
+
+
 def test_uniformity(spark):
     cases = [
         ("[1,2]", True), ('[1,"a"]', False), ("[]", True), ("[null,1]", False), ("[1,1.5]", False),
         ('[[1],["a"]]', True), ('[[1,"a"],[2]]', False), ('{"a":1,"b":2}', True), ('{"a":1,"b":null}', False),
-        ("5", True), ("null", True), ('{"a":[1],"b":[null,2]}', False), ("{}", True), ("[[[[[1]]]]]", None),
+        ("5", True), ("null", True), ('{"a":[1],"b":[null,2]}', False), ("{}", True), ("[[[[[1]]]]]", True), ('[[[[[[1,"a"]]]]]]', False), ('{"a":{"b":{"c":{"d":{"e":{"f":[1,null]}}}}}}', False),
+        ("[1,99999999999999999999]", False), (None, True),
     ]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, doc string")
     got = {r.i: r.uniform for r in collection_uniformity(df, "doc", "i").collect()}
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
-    deep = collection_uniformity(df.filter("i = 13"), "doc", depth=5)
-    assert deep.first().uniform is True
 
 
 def test_table_rows(spark):
@@ -103,9 +107,9 @@ def test_envelopes(spark):
     ]
 
 
-def rendered(spark, *rows, n=10):
+def rendered(spark, *rows, n=10, strict=False):
     df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "i int, doc string")
-    got = rendered_table(df.repartition(3), "doc", ["i"], n).first()
+    got = rendered_table(df.repartition(3), "doc", ["i"], n, strict).first()
     return json.loads(got.document) if got.error is None else got.error
 
 
@@ -124,5 +128,10 @@ def test_rendered_table(spark):
     assert rendered(spark, 1, 2)["data"] == [[1], [2]]
     assert rendered(spark, *[{"k": i} for i in range(30)])["data"] == [[i] for i in range(10)]
     assert rendered(spark, {"a": 1}, {"a": "x"}) == "table rows have different types"
+    assert rendered(spark, {"a": [1, "x"]}, {"a": [2]}) == "value has inconsistent types"
+    assert rendered(spark, {"a": {"b": [[1], [None, 2]]}}) == "value has inconsistent types"
+    assert rendered(spark, {"a": [1]}, {"a": [1, "x"]}, n=1)["data"] == [[[1]]]
+    assert rendered(spark, {"a": 1}, {"a": None}, strict=True) == "table rows have different types"
+    assert rendered(spark, {"a": None}, {"a": None}, strict=True)["data"] == [[None], [None]]
     assert rendered(spark, {"a": 1}, {"a": "x"}, n=1)["data"] == [[1]]
     assert rendered(spark, {}, []) == {"headers": [], "data": [[], []]}

@@ -53,6 +53,14 @@ def test_pairs(spark, tmp_path):
     }
 
 
+def test_odd_pairs(spark, tmp_path):
+    odd = [None, "", "\\N", "a,b", "x\ny", "\r", "\\", "\\n", "\\\n", "\\c", ",\\,", "(a,b)", "\\\\c,"]
+    rows = [(x, y) for x in odd for y in odd]
+    path = str(tmp_path / "pairs")
+    write_pairs(spark.createDataFrame(rows, "x string, y string"), path)
+    assert sorted(map(tuple, read_pairs(spark, path).collect()), key=repr) == sorted(rows, key=repr)
+
+
 def test_scaling_by_a_file(spark, tmp_path):
     path = tmp_path / "hundredfold.txt"
     path.write_text("100\n")

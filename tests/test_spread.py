@@ -1,5 +1,7 @@
 """Chunked windows and salted joins against plain ones, on skewed keys."""
 
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from millrace.plans import (
     global_slice,
     hot_keys,
     key_slice,
+    latest_before,
     positions,
     previous,
     running_before,
@@ -41,6 +44,45 @@ def test_previous(skewed, layout):
     assert same(got, want)
 
 
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_latest_before(skewed, layout):
+    rows = skewed.withColumn("rare", F.when(F.col("id") % 11 == 0, F.col("state")))
+    w = plain().rowsBetween(Window.unboundedPreceding, -1)
+    want = rows.withColumns({"a": F.last("rare", True).over(w), "b": F.last("value", True).over(w)})
+    got = latest_before(chunked(rows, KEYS, ORDER, **layout), KEYS, ORDER, {"a": "rare", "b": "value"})
+    assert same(got, want)
+
+
+def rows_shuffled_by_key(df):
+    """The most rows that a shuffle by the key alone moves while a query runs."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        if name == "Exchange" and re.search(r"hashpartitioning\(key#\d+L?, \d+\)", node.toString().split("\n")[0]):
+            total = max(total, node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_a_small_slice_of_a_hot_key_does_not_grow_with_the_tasks(spark):
+    def sent(tasks):
+        df = spark.range(0, 60_000, 1, tasks).select((F.col("id") % 1).alias("key"), (F.col("id") * 7919 % 60_000).alias("t"), "id")
+        got = key_slice(df, KEYS, ORDER, 20, from_end=True, rows_per_chunk=1000)
+        rows = rows_shuffled_by_key(got)
+        assert sorted(r.t for r in got.collect()) == list(range(59_980, 60_000))
+        return rows
+
+    assert 20 <= sent(20) <= 2500
+    assert 20 <= sent(200) <= 2500
+
+
 @pytest.mark.parametrize("layout", LAYOUTS)
 def test_running_before(skewed, layout):
     w = plain().rowsBetween(Window.unboundedPreceding, -1)

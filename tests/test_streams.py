@@ -45,6 +45,25 @@ def test_interval_and_timeout(spark, lines, tmp_path):
     assert top_word(json_scan(spark, out, WORD_SCHEMA)).first().word == "the"
 
 
+def test_stop_lets_the_running_batch_end(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.range(40).repartition(8).write.parquet(src)
+    stream = spark.readStream.schema("id long").parquet(src)
+
+    @F.udf("long")
+    def slowly(x):
+        time.sleep(0.4)
+        return x
+
+    runner = StreamRunner(spark).create(interval_ms=50)
+    query = runner.run(append_to(stream.select(slowly("id").alias("id")), "parquet", out, str(tmp_path / "checkpoint")), 0.5)
+    while not query.status["isTriggerActive"]:
+        time.sleep(0.05)
+    runner.stop()
+    assert not query.isActive and query.exception() is None
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(40))
+
+
 def test_filter(spark, lines, tmp_path):
     out = str(tmp_path / "out")
     filter_stream(lines, "line", "fox", out, str(tmp_path / "checkpoint"))
