@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.binding import let
+
 # Accepted units and their length in milliseconds; microseconds are divided instead.
 UNIT_MS = {
     "ms": 1,
@@ -18,44 +20,54 @@ MICROSECONDS = "us"
 # Fixed value: the shape of a time string, matched on its lowercase form.
 _SHAPE = r"^(-?[0-9]+)([a-z]+)?\z"
 
-_MIN, _MAX = -(2**63), 2**63 - 1
-
+# Messages about invalid time strings.
+INVALID_TIME = "Invalid time string: "
+INVALID_SUFFIX = ('Invalid suffix: "', '"')
 
-def _parts(text: Column) -> tuple[Column, Column]:
-    lowered = F.lower(text)
-    # One match for both parts: where it fails the digits are empty, and the number is null.
-    digits = F.regexp_extract(lowered, _SHAPE, 1)
-    return digits.try_cast("bigint"), F.substr(lowered, F.length(digits) + 1)
+_MIN, _MAX = -(2**63), 2**63 - 1
 
 
 def _unit_ms(unit: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in {"": 1, **UNIT_MS}.items() for x in kv])
-    return F.try_element_at(table, unit)
+    return F.try_element_at(table, unit).cast("bigint")
 
 
-def duration_ms(text: Column) -> Column:
-    """Milliseconds of a time string, or null if it is invalid. No unit means milliseconds.
+def duration(text: Column) -> Column:
+    """``struct(ms, error)`` of a time string, from one match: milliseconds, or why the string is invalid. No unit
+    means milliseconds; both are null for a null.
 
     Microseconds are cut toward zero; results beyond a 64-bit integer stick to its ends.
     """
-    number, unit = _parts(text)
-    factor = _unit_ms(unit).cast("bigint")
-    end = F.when(number < 0, F.lit(_MIN)).otherwise(F.lit(_MAX))
-    return (
-        F.when(number.isNull(), F.lit(None))
-        .when(unit == MICROSECONDS, F.call_function("div", number, F.lit(1000)))
-        .when(factor.isNotNull(), F.coalesce(F.try_multiply(number, factor), end))
-        .cast("bigint")
-    )
+    lowered = F.lower(text)
+
+    def parts(digits: Column) -> Column:
+        # Where the match fails the digits are empty, and the number is null.
+        unit = F.substr(lowered, F.length(digits) + 1)
+        return F.struct(digits.try_cast("bigint").alias("number"), unit.alias("unit"), _unit_ms(unit).alias("factor"))
+
+    def outcome(part: Column) -> Column:
+        number, unit, factor = part["number"], part["unit"], part["factor"]
+        end = F.when(number < 0, F.lit(_MIN)).otherwise(F.lit(_MAX))
+        ms = (
+            F.when(number.isNull(), F.lit(None))
+            .when(unit == MICROSECONDS, F.call_function("div", number, F.lit(1000)))
+            .when(factor.isNotNull(), F.coalesce(F.try_multiply(number, factor), end))
+            .cast("bigint")
+        )
+        error = F.when(number.isNull() & text.isNotNull(), F.concat(F.lit(INVALID_TIME), text)).when(
+            number.isNotNull() & (unit != MICROSECONDS) & factor.isNull(),
+            F.concat(F.lit(INVALID_SUFFIX[0]), unit, F.lit(INVALID_SUFFIX[1])),
+        )
+        return F.struct(ms.alias("ms"), error.alias("error"))
+
+    return let(let(F.regexp_extract(lowered, _SHAPE, 1), parts), outcome)
+
+
+def duration_ms(text: Column) -> Column:
+    """Milliseconds of a time string, or null if it is invalid."""
+    return duration(text)["ms"]
 
 
 def duration_error(text: Column) -> Column:
     """Why a time string is invalid, or null."""
-    number, unit = _parts(text)
-    return (
-        F.when(number.isNull() & text.isNotNull(), F.concat(F.lit("Invalid time string: "), text))
-        .when(
-            number.isNotNull() & (unit != MICROSECONDS) & _unit_ms(unit).isNull(),
-            F.concat(F.lit('Invalid suffix: "'), unit, F.lit('"')),
-        )
-    )
+    return duration(text)["error"]
