@@ -11,23 +11,24 @@ import xxhash
 # Elements without an end tag, elements whose content is no markup, and elements that stand inside
 # a line of text and end no block.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|textarea|title|noscript|template|iframe|svg|math"
+RAW = "script|style|textarea|title|noscript|template|iframe|svg"
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q ruby s samp small span strike "
     "strong sub sup time tt u var".split()
 )
 # Elements, and words in a class, id or role, that hold no main text.
 ASIDE_TAGS = set(
-    "head nav header footer aside form menu button select option input dialog fieldset figure object audio video "
-    "canvas map del".split()
+    "head nav header footer aside form menu button select option input dialog object audio video canvas".split()
 ) | set(RAW.split("|"))
 ASIDE_WORDS = set(
     "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent "
     "notice alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar side widget footer "
     "foot header masthead topbar toolbar comment comments reply replies disqus share sharing social related "
-    "recommended newsletter subscribe signup login search pagination pager copyright legal hidden".split()
+    "recommended newsletter subscribe signup login search pagination pager copyright legal hidden contentinfo complementary".split()
 )
 MAIN_TAGS = {"article", "main"}
+# Elements whose names tell about the whole page, such as a body "with-sidebar".
+_WHOLE = MAIN_TAGS | {"html", "body"}
 # Elements that a new one of the same kind, or any block in the case of p, closes.
 _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
@@ -103,7 +104,7 @@ def page_tokens(page: str) -> list[Token]:
         names = _names(attributes)
         path = f"{path}/{name}" + "".join(f".{n}" for n in names)
         words = {w for n in names for w in _WORD.findall(n.lower())}
-        aside = aside or name in ASIDE_TAGS or bool(words & ASIDE_WORDS)
+        aside = aside or name in ASIDE_TAGS or (name not in _WHOLE and bool(words & ASIDE_WORDS))
         main = main or name in MAIN_TAGS
         out.append(Token(_hash(path, "tag"), _hash(path), None, aside, main, True))
         if name not in VOID:
