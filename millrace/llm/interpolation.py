@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.llm.batches import ROWS, WordHashes, id_remainder, mixed, raw_text
+from millrace.llm.batches import ROWS, WordHashes, id_remainder, mixed, packed, raw_text, unpacked
 from millrace.llm.graph import written
 
 #: Remainders of crc32(doc_id as text) modulo 7: never learnt from, and the fold that the weights are learnt on.
@@ -38,17 +38,6 @@ _END, _START = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers, byte by byte of equal weight, compressed: small ones and small steps take little room."""
-    planes = np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.uint64)
-
-
 def _packing(id_type: pa.DataType, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as units; those of the fold apart from the others."""
     task, made = TaskContext.get().partitionId(), 0
@@ -132,8 +121,8 @@ def _requests(n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                         pa.array([2 * int(bucket[s]) + kind for s, _ in spans], pa.int64()),
                         pa.array([unit] * len(spans), pa.int64()),
                         pa.array([fold] * len(spans), pa.bool_()),
-                        pa.array([_packed(x) for x in steps], pa.binary()),
-                        pa.array([_packed(counts[s:e]) for s, e in spans], pa.binary()),
+                        pa.array([packed(x) for x in steps], pa.binary()),
+                        pa.array([packed(counts[s:e]) for s, e in spans], pa.binary()),
                     ],
                     names=["bucket", "unit", "fold", "grams", "counts"],
                 )
@@ -158,8 +147,8 @@ def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([bucket] * len(units), pa.int64()),
                 pa.array(units, pa.int64()),
                 pa.array(folds, pa.bool_()),
-                pa.array([_packed(p) for p in np.split(totals[place], cuts)], pa.binary()),
-                pa.array([_packed(p) if f else None for p, f in zip(np.split(of_fold[place], cuts), folds)], pa.binary()),
+                pa.array([packed(p) for p in np.split(totals[place], cuts)], pa.binary()),
+                pa.array([packed(p) if f else None for p, f in zip(np.split(of_fold[place], cuts), folds)], pa.binary()),
                 pa.array(first((totals > 0).sum()), pa.int64()),
                 pa.array(first(totals.sum()), pa.int64()),
                 pa.array(first(of_fold.sum()), pa.int64()),
@@ -174,7 +163,7 @@ def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield answer(at, *rows)
                 rows = ([], [], [], [])
             at = bucket
-            for held, value in zip(rows, (unit, fold, np.cumsum(_unpacked(grams), dtype=np.uint64), _unpacked(counts))):
+            for held, value in zip(rows, (unit, fold, np.cumsum(unpacked(grams), dtype=np.uint64), unpacked(counts))):
                 held.append(value)
     if rows[0]:
         yield answer(at, *rows)
@@ -192,7 +181,7 @@ class Corpus:
 def _counts(replies: list, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Counts of a unit's distinct words and pairs, from its replies in the order of their buckets."""
     ordered = sorted(replies, key=lambda r: r["bucket"])
-    both = [[_unpacked(r[name]).astype(np.int64) for r in ordered if r["bucket"] % 2 == kind] for kind in (WORDS, PAIRS)]
+    both = [[unpacked(r[name]).astype(np.int64) for r in ordered if r["bucket"] % 2 == kind] for kind in (WORDS, PAIRS)]
     return np.concatenate(both[0]), np.concatenate(both[1])
 
 

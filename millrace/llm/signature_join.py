@@ -1,13 +1,14 @@
 """Near-duplicate documents: every pair of word-shingle sets with a Jaccard similarity of 80 % or more.
 
 Equal sets are one class. Classes meet by keys that lose no pair: a set's shingles are dealt by their hashes into
-parts, and two similar sets differ in so few shingles that some part must be equal in both. Within a key, a
-signature tree is searched against itself: nodes hold the OR of their sets' bitmaps and the range of their sizes,
-and pairs of nodes, then of sets, go on only if their largest possible overlap is enough. What is left is checked
-on the sets themselves.
-
-A large group of near copies would meet in all its pairs. So classes are first linked with the smallest and the
-largest class of their keys, checked like any other pair; the search then leaves out pairs already connected.
+parts, and two similar sets differ in so few shingles that enough parts must be equal in both. Classes with the same
+first key lie in one block, split where there are many, and two blocks are compared if they share enough keys.
+
+In a task, each block is a signature tree: nodes hold the OR of their sets' bitmaps and the range of their sizes. Two
+trees are searched against each other, and pairs of nodes, then of sets, go on only if their largest possible overlap
+is enough. What is left is checked on the sets themselves, unless the two are connected already; so a task tells a
+forest of links, not all pairs of a large group. Blocks are first compared with themselves and with one neighbour; of
+the other pairs of blocks, those that are connected by then are left out.
 """
 
 from __future__ import annotations
@@ -19,16 +20,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.batches import ROWS, WordHashes, add_columns, mixed, raw_text, rolling
+from millrace.llm.batches import ROWS, WordHashes, add_columns, mixed, packed, raw_text, rolling, unpacked
 from millrace.llm.graph import components, written
 
 #: Words in a shingle.
 WIDTH = 5
 #: 64-bit words of a bitmap.
 SIGNATURE = 16
-#: Sets in a node of the tree, about.
-NODE = 64
+#: Sets in a leaf node of a tree, and nodes in a node above.
+LEAF, FAN = 64, 8
+#: Sets in a block, and bytes of their shingles, about.
+BLOCK, BLOCK_BYTES = 1024, 4_000_000
 #: Keys that a task gathers before it sends them on.
 GATHERED = 1_500_000
 #: Sets of one key that a task sends where the key is counted; it has found the key shared already, so the rest
@@ -62,43 +66,47 @@ def size_groups(largest: int) -> list[int]:
     return bounds
 
 
+def spare(upper: int) -> int:
+    """Keys that similar sets of a size group share besides the first."""
+    return (2 * upper // 9 + 1) // 5
+
+
 def part_keys(grams: np.ndarray) -> np.ndarray:
-    """Keys of a set such that any two sets of similarity 0.8 or more share one.
+    """Keys of a set such that any two sets of similarity 0.8 or more share ``1 + spare`` of their size group.
 
     Similar sets of sizes a <= b have b <= a / 0.8 and differ in at most (a + b) / 9 shingles. The pair's group is
     that of b. There both deal their shingles into the same number of parts, and each gives, in the order of the
-    parts, one non-empty part more than it can differ in. Up to the part where the first of the two ends, more
-    parts are equal than are empty in that set. A set that runs out of parts also gives the prefix of its sorted
-    hashes, which meets those of other such sets.
+    parts, 1 + spare more non-empty parts than it can differ in. Up to the part where the first of the two ends, so
+    many parts more are equal than are empty in that set. A set that runs out of parts also gives the prefix of its
+    sorted hashes, which meets one of other such sets. A key's last six bits tell its group, plus 32 for a prefix.
     """
     n = len(grams)
     if not n:
         return np.empty(0, np.uint64)
     longest = n * 10 // 8
     out = []
-    bounds = size_groups(longest)
-    for g, upper in enumerate(bounds):
+    for g, upper in enumerate(size_groups(longest)):
         if upper < n:
             continue
-        differ = (n + min(upper, longest)) // 9
-        n_parts = 2 * upper // 9 + 1
-        n_parts += n_parts // 10
+        wanted = (n + min(upper, longest)) // 9 + 1 + spare(upper)
+        n_parts = (2 * upper // 9 + 1 + spare(upper)) * 9 // 8
         part = (grams >> np.uint64(20)) % np.uint64(n_parts)
         order = np.argsort(part, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0)))
         held = part[order][starts]
         sums = np.add.reduceat(mixed(grams[order] + np.uint64(g + 1)), starts)
-        keys = mixed(sums ^ mixed(held + np.uint64((g + 1) << 40)))
-        out.append(keys[: differ + 1])
-        if len(keys) < differ + 1:
-            out.append(mixed(grams[: n - (8 * n + 9) // 10 + 1] ^ np.uint64((g + 1) << 50)))
+        keys = mixed(sums ^ mixed(held + np.uint64((g + 1) << 40)))[:wanted]
+        out.append(keys << np.uint64(6) | np.uint64(min(g, 31)))
+        if len(keys) < wanted:
+            prefix = mixed(grams[: n - (8 * n + 9) // 10 + 1] ^ np.uint64((g + 1) << 50))
+            out.append(prefix << np.uint64(6) | np.uint64(32 + min(g, 31)))
     return np.concatenate(out)
 
 
-def _signature(grams: np.ndarray) -> list[int]:
-    bits = np.zeros(64 * SIGNATURE, np.uint8)
-    bits[(grams >> np.uint64(7)) % np.uint64(64 * SIGNATURE)] = 1
-    return np.packbits(bits).view(np.int64).tolist()
+def _enough(key: str) -> Column:
+    """Keys of the group of ``key`` that similar sets share at least."""
+    least = [1 + spare(2**g) for g in range(32)] + [1] * 32
+    return F.element_at(F.array(*[F.lit(x) for x in least]), (F.col(key).bitwiseAND(F.lit(63)) + 1).cast("int"))
 
 
 def _make_sets():
@@ -116,18 +124,14 @@ def _make_full_sets():
 
     def sets(texts: list[bytes]) -> list:
         grams = [shingles(raw, hashes) for raw in texts]
-        return [
-            [len(g) for g in grams],
-            [fingerprint(g) for g in grams],
-            [_signature(g) for g in grams],
-            [g.tobytes() for g in grams],
-        ]
+        return [[len(g) for g in grams], [fingerprint(g) for g in grams], [g.tobytes() for g in grams]]
 
     return sets
 
 
 def _send_keys(n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (bucket, keys, sets): sorted keys and the fingerprints beside them, as bytes."""
+    """Rows of (bucket, keys, sets, places): sorted keys by their steps, and the set beside each by its place in
+    the list of sets, all as bytes."""
     hashes, keys, sets, held, seen = WordHashes(), [], [], 0, set()
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -140,18 +144,20 @@ def _send_keys(n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         more = rank >= SENT
         # Known to be shared: dealt by set to buckets of their own.
         bucket[more] = n_buckets + (mixed(of[more].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((key, bucket))
         key, of, bucket = key[order], of[order], bucket[order]
         cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         for i in range(0, len(cuts) - 1, 512):
             spans = list(zip(cuts[i : i + 512], cuts[i + 1 : i + 513]))
+            known = [np.unique(of[s:e], return_inverse=True) for s, e in spans]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([bucket[s] for s, _ in spans], pa.int64()),
-                    pa.array([key[s:e].tobytes() for s, e in spans], pa.binary()),
-                    pa.array([of[s:e].tobytes() for s, e in spans], pa.binary()),
+                    pa.array([packed(np.diff(key[s:e], prepend=np.uint64(0))) for s, e in spans], pa.binary()),
+                    pa.array([distinct.tobytes() for distinct, _ in known], pa.binary()),
+                    pa.array([packed(places) for _, places in known], pa.binary()),
                 ],
-                names=["bucket", "keys", "sets"],
+                names=["bucket", "keys", "sets", "places"],
             )
 
     for batch in batches:
@@ -192,116 +198,179 @@ def _meet(n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
     at, keys, sets = None, [], []
     for batch in batches:
-        for bucket, key, of in zip(*[c.to_pylist() for c in batch.columns]):
+        for bucket, key, of, places in zip(*[c.to_pylist() for c in batch.columns]):
             if bucket != at and keys:
                 yield shared(np.concatenate(keys), np.concatenate(sets), at >= n_buckets)
                 keys, sets = [], []
             at = bucket
-            keys.append(np.frombuffer(key, np.uint64))
-            sets.append(np.frombuffer(of, np.int64))
+            keys.append(np.cumsum(unpacked(key), dtype=np.uint64))
+            sets.append(np.frombuffer(of, np.int64)[unpacked(places).astype(np.int64)])
     if keys:
         yield shared(np.concatenate(keys), np.concatenate(sets), at >= n_buckets)
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Tree:
+    """Sets with their bitmaps, and levels of nodes above them: bitmaps combined by OR, the sizes' range, and by how
+    many shingles a set can exceed its bits. Sets lie by component and size, so that nodes hold alike ones."""
+
+    def __init__(self, members: list[dict]):
+        members = sorted(members, key=lambda m: (m["component"], len(m["grams"]), m["set"]))
+        self.names = [m["set"] for m in members]
+        self.components = [m["component"] for m in members]
+        self.grams = [np.frombuffer(m["grams"], np.uint64) for m in members]
+        self.sizes = np.array([len(g) for g in self.grams])
+        bits = np.zeros((len(members), 64 * SIGNATURE), np.uint8)
+        for row, grams in zip(bits, self.grams):
+            row[(grams >> np.uint64(7)) % np.uint64(64 * SIGNATURE)] = 1
+        self.bits = np.packbits(bits, axis=1).view(np.uint64)
+        level = (self.bits, self.sizes, self.sizes, self.sizes - np.bitwise_count(self.bits).sum(axis=1).astype(np.int64))
+        self.levels = []
+        step = LEAF
+        while not self.levels or len(self.levels[-1][1]) > 1:
+            starts = np.arange(0, len(level[1]), step)
+            level = (
+                np.bitwise_or.reduceat(level[0], starts, axis=0),
+                np.minimum.reduceat(level[1], starts),
+                np.maximum.reduceat(level[2], starts),
+                np.maximum.reduceat(level[3], starts),
+            )
+            self.levels.append(level)
+            step = FAN
+
+
+def _needed(a, b):
+    """The least overlap of similar sets of these sizes: 9 * overlap >= 4 * (sum of sizes)."""
+    return -(-4 * (a + b) // 9)
+
+
+def leaf_pairs(x: Tree, y: Tree) -> Iterator[tuple[int, int]]:
+    """Pairs of leaf nodes that may hold a similar pair. A tree with itself gives each pair once."""
+    same = x is y
+    todo = [(len(x.levels) - 1, 0, len(y.levels) - 1, 0)]
+    while todo:
+        i, m, j, n = todo.pop()
+        (x_bits, x_least, x_most, x_beyond), (y_bits, y_least, y_most, y_beyond) = x.levels[i], y.levels[j]
+        if 10 * x_most[m] < 8 * y_least[n] or 10 * y_most[n] < 8 * x_least[m]:
+            continue
+        # A set's overlap is at most its common bits and the shingles that share a bit with another one.
+        common = int(np.bitwise_count(x_bits[m] & y_bits[n]).sum())
+        if common + min(x_beyond[m], y_beyond[n]) < _needed(x_least[m], y_least[n]):
+            continue
+        if i == j == 0:
+            yield m, n
+            continue
+        below_x = [m] if i < j else range(m * FAN, min((m + 1) * FAN, len(x.levels[i - 1][1])))
+        below_y = [n] if j < i else range(n * FAN, min((n + 1) * FAN, len(y.levels[j - 1][1])))
+        todo += [(i - (i >= j), a, j - (j >= i), b) for a in below_x for b in below_y if not same or a <= b]
+
+
+def search(x: Tree, y: Tree) -> list[tuple[int, int]]:
+    """Links between sets of the two trees (or of one with itself) that connect all that is similar and not
+    connected yet: each joins two components."""
+    offset = 0 if x is y else len(x.names)
+    _, root = np.unique(x.components if x is y else x.components + y.components, return_inverse=True)
+    links = []
+    for m, n in leaf_pairs(x, y):
+        a = np.arange(m * LEAF, min((m + 1) * LEAF, len(x.names)))
+        b = np.arange(n * LEAF, min((n + 1) * LEAF, len(y.names)))
+        apart = root[a][:, None] != root[offset + b][None, :]
+        if x is y and m == n:
+            apart &= a[:, None] < b[None, :]
+        if not apart.any():
+            continue
+        left, right = x.bits[a][:, None, :], y.bits[b][None, :, :]
+        most = np.minimum(
+            x.sizes[a][:, None] - np.bitwise_count(left & ~right).sum(axis=2, dtype=np.int64),
+            y.sizes[b][None, :] - np.bitwise_count(right & ~left).sum(axis=2, dtype=np.int64),
+        )
+        over = most - _needed(x.sizes[a][:, None], y.sizes[b][None, :])
+        found = np.argwhere(apart & (over >= 0))
+        # The likeliest first: once a pair is linked, many others need no check.
+        for i, j in found[np.argsort(-over[found[:, 0], found[:, 1]], kind="stable")]:
+            p, q = a[i], b[j]
+            if root[p] == root[offset + q]:
+                continue
+            both = len(np.intersect1d(x.grams[p], y.grams[q], assume_unique=True))
+            if 100 * both >= 80 * (x.sizes[p] + y.sizes[q] - both):
+                links.append((x.names[p], y.names[q]))
+                root[root == root[offset + q]] = root[p]
+    return links
+
+
+def _searching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each row's block of members, with the others where there are some, or with itself."""
     for batch in batches:
-        kept = []
         for i in range(batch.num_rows):
-            x = np.frombuffer(batch.column(2)[i].as_py(), np.uint64)
-            y = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            kept.append(100 * both >= 80 * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs of classes whose sets are similar, on the sets themselves."""
-    of = lambda name: sets.select(F.col("set").alias(name), F.col("grams").alias(f"grams_{name}"))
-    both = written(pairs, "pairs").join(of("a"), "a").join(of("b"), "b").select("a", "b", "grams_a", "grams_b")
-    return both.mapInArrow(_similar, "a bigint, b bigint")
-
-
-def _first_links(met: DataFrame) -> DataFrame:
-    """Each class with the smallest, and with the largest, class that it shares most keys with."""
-    # A written side is a plain one, so that Spark may split the join of a key with very many sets.
-    ends = written(met.groupBy("key").agg(F.min("set").alias("lo"), F.max("set").alias("hi")), "ends")
-    beside = met.join(ends, "key")
-    out = None
-    for end in ("lo", "hi"):
-        shares = beside.filter(F.col("set") != F.col(end)).groupBy("set", end).agg(F.count("*").alias("n"))
-        best = shares.groupBy("set").agg(F.max(F.struct("n", end)).alias("best")).select("set", F.col(f"best.{end}").alias("to"))
-        out = best if out is None else out.union(best)
-    return out.select(F.least("set", "to").alias("a"), F.greatest("set", "to").alias("b")).distinct()
-
-
-def _needed(n_a: Column, n_b: Column) -> Column:
-    """The least overlap of similar sets of these sizes: 9 * overlap >= 4 * (sum of sizes)."""
-    return F.ceil((F.lit(4) * (n_a + n_b)) / F.lit(9))
+            blocks = [Tree(c[i].as_py()) for c in batch.columns]
+            links = search(blocks[0], blocks[-1])
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def tree_search(met: DataFrame, sets: DataFrame, connected: DataFrame) -> DataFrame:
-    """Pairs of classes that share a key, aren't connected, and whose signatures allow enough overlap.
+def _group(key: str) -> Column:
+    return F.col(key).bitwiseAND(F.lit(63))
 
-    ``connected`` has a component for some of the classes; each other one is its own. The tree of a key has nodes
-    of about ``NODE`` sets. Sets of one large component share nodes; the rest lie by size, so ranges stay narrow.
-    """
-    names = [f"s{i}" for i in range(SIGNATURE)]
-    own = met.join(connected.select(F.col("node").alias("set"), "component"), "set", "left").withColumn(
-        "component", F.coalesce("component", "set")
-    )
-    split = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    signed = sets.select("set", "n", *[F.col("signature")[i].alias(s) for i, s in enumerate(names)])
-    leaves = written(own.join(split, "key", "left_semi").join(signed, "set"), "leaves")
-
-    crowd = leaves.groupBy("key", "component").agg(F.count("*").alias("crowd"))
-    placed = (
-        leaves.join(crowd, ["key", "component"])
-        .withColumn("large", F.col("crowd") >= NODE)
-        .withColumn("of", F.when(F.col("large"), F.col("component")).otherwise(F.floor(F.log2("n") * 4)))
+
+def _homes(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """``set, block``: sets with the same first key are in one block, or in several if they are many."""
+    first = met.groupBy("set").agg(F.min("key").alias("first")).join(sets.select("set", "n"), "set")
+    room = first.groupBy("first").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("n") / BLOCK_BYTES)).alias("slots")
     )
-    room = placed.groupBy("key", "large", "of").agg(F.ceil(F.count("*") / NODE).alias("slots"))
-    placed = placed.join(room, ["key", "large", "of"]).withColumn(
-        "node", F.xxhash64("large", "of", F.pmod(F.xxhash64("set"), F.col("slots")))
+    slot = F.pmod(F.xxhash64("set"), F.col("slots"))
+    return first.join(room, "first").select("set", F.xxhash64("first", slot).alias("block"))
+
+
+def _neighbours(met: DataFrame, homes: DataFrame) -> DataFrame:
+    """``x, y`` (x < y) of blocks that share at least as many keys as any similar pair of sets."""
+    spots = written(met.join(homes, "set").select("key", "block").distinct(), "spots")
+    x, y = spots.withColumnRenamed("block", "x"), spots.withColumnRenamed("block", "y")
+    return (
+        x.join(y, "key")
+        .filter("x < y")
+        .groupBy("x", "y", _group("key").alias("group"))
+        .agg(F.count("*").alias("shared"), F.max(_enough("key")).alias("enough"))
+        .filter("shared >= enough")
+        .select("x", "y")
+        .distinct()
     )
-    held = sum((F.bit_count(s) for s in names[1:]), F.bit_count(names[0]))
-    nodes = placed.groupBy("key", "node").agg(
-        F.min("n").alias("least"),
-        F.max("n").alias("most"),
-        F.min("component").alias("lo"),
-        F.max("component").alias("hi"),
-        F.max(F.col("n") - held).alias("beyond"),
-        *[F.bit_or(s).alias(s) for s in names],
+
+
+def _links(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` of similar sets that connect all that is similar."""
+    homes = written(_homes(met, sets), "homes")
+    near = written(_neighbours(met, homes), "near")
+
+    def contents(known: DataFrame) -> DataFrame:
+        member = F.struct("set", "component", "grams")
+        return known.join(sets.select("set", "grams"), "set").groupBy("block").agg(F.collect_list(member).alias("members"))
+
+    def compared(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+        x, y = blocks.toDF("x", "members"), blocks.toDF("y", "others")
+        return pairs.join(x, "x").join(y, "y").select("members", "others").mapInArrow(_searching, "a bigint, b bigint")
+
+    alone = written(contents(homes.withColumn("component", F.col("set"))), "blocks")
+    hubs = written(near.groupBy("y").agg(F.min("x").alias("x")), "hubs")
+    within = alone.filter(F.size("members") > 1).select("members").mapInArrow(_searching, "a bigint, b bigint")
+    first = written(within.union(compared(hubs, alone)), "links")
+    known = homes.join(components(first).withColumnRenamed("node", "set"), "set", "left").withColumn(
+        "component", F.coalesce("component", "set")
     )
-    side = lambda df, mark: df.select([F.col(c).alias(c if c == "key" else f"{mark}_{c}") for c in df.columns])
-    common = sum((F.bit_count(F.col(f"x_{s}").bitwiseAND(F.col(f"y_{s}"))) for s in names[1:]), F.bit_count(F.col("x_s0").bitwiseAND(F.col("y_s0"))))
+    known = written(known, "known")
+    ends = known.groupBy("block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     apart = (F.col("x_lo") != F.col("x_hi")) | (F.col("y_lo") != F.col("y_hi")) | (F.col("x_lo") != F.col("y_lo"))
-    # A set's overlap is at most its common bits and the shingles that share a bit with another one.
-    node_pairs = (
-        side(nodes, "x")
-        .join(side(nodes, "y"), "key")
-        .filter(
-            (F.col("x_node") <= F.col("y_node"))
-            & apart
-            & (10 * F.col("x_most") >= 8 * F.col("y_least"))
-            & (10 * F.col("y_most") >= 8 * F.col("x_least"))
-            & (common + F.least("x_beyond", "y_beyond") >= _needed(F.col("x_least"), F.col("y_least")))
-        )
-        .select("key", "x_node", "y_node")
-    )
-    sets_of = placed.select("key", "node", "set", "component", "n", *names)
-    missing = lambda p, q: sum(
-        (F.bit_count(F.col(f"{p}_{s}").bitwiseAND(F.bitwise_not(F.col(f"{q}_{s}")))) for s in names[1:]),
-        F.bit_count(F.col(f"{p}_s0").bitwiseAND(F.bitwise_not(F.col(f"{q}_s0")))),
-    )
-    most = F.least(F.col("x_n") - missing("x", "y"), F.col("y_n") - missing("y", "x"))
-    return (
-        node_pairs.join(side(sets_of, "x"), ["key", "x_node"])
-        .join(side(sets_of, "y"), ["key", "y_node"])
-        .filter((F.col("x_component") != F.col("y_component")) & ((F.col("x_node") != F.col("y_node")) | (F.col("x_set") < F.col("y_set"))))
-        .filter(most >= _needed(F.col("x_n"), F.col("y_n")))
-        .select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b"))
-        .distinct()
+    rest = written(
+        near.join(hubs, ["x", "y"], "left_anti")
+        .join(ends.toDF("x", "x_lo", "x_hi"), "x")
+        .join(ends.toDF("y", "y_lo", "y_hi"), "y")
+        .filter(apart)
+        .select("x", "y"),
+        "rest",
     )
+    wanted = rest.select(F.col("x").alias("block")).union(rest.select("y")).distinct()
+    blocks = written(contents(known.join(wanted, "block", "left_semi")), "blocks")
+    return first.union(written(compared(rest, blocks), "links"))
 
 
 def _copy(text: str) -> Column:
@@ -310,33 +379,37 @@ def _copy(text: str) -> Column:
 
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """For each row: id, a hash of the text (copy), the set's size (n) and component_id."""
+    of_row = F.xxhash64(F.col(id_col), _copy(text_col))
     each = written(
-        add_columns(docs, {"id": F.col(id_col), "copy": _copy(text_col)}, [raw_text(text_col)], _make_sets, "n bigint, set bigint"),
+        add_columns(
+            docs, {"id": F.col(id_col), "copy": _copy(text_col), "of_row": of_row}, [raw_text(text_col)], _make_sets, "n bigint, set bigint"
+        ),
         "documents",
     )
     total = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_buckets = int(min(65_536, max(16, total // 3 // BUCKET + 1)))
     keys = docs.select(raw_text(text_col).alias("raw")).mapInArrow(
-        partial(_send_keys, n_buckets), "bucket bigint, keys binary, sets binary"
+        partial(_send_keys, n_buckets), "bucket bigint, keys binary, sets binary, places binary"
     )
-    met = written(
-        keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_meet, n_buckets), "key bigint, set bigint"),
-        "met",
+    shared = written(
+        keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_meet, n_buckets), "key bigint, set bigint"), "shared"
     )
-    classes = each.filter("n > 0").groupBy("set").agg(F.min("id").alias("least"))
-    wanted = classes.join(met.select("set").distinct(), "set", "left_semi").select(F.col("set").alias("wanted"), "least")
-    text = docs.select(F.col(id_col).alias("id"), raw_text(text_col).alias("raw"))
-    found = wanted.join(text, F.col("id").eqNullSafe(F.col("least")))
+    # A set with fewer shared keys than any similar pair has is similar to none.
+    shared = shared.withColumn("group", _group("key"))
+    busy = shared.groupBy("set", "group").agg(F.count("*").alias("n"), F.max(_enough("key")).alias("enough")).filter("n >= enough")
+    met = written(shared.join(busy, ["set", "group"], "left_semi").select("key", "set"), "met")
+    classes = each.filter("n > 0").groupBy("set").agg(F.min("id").alias("least"), F.min("of_row").alias("of_row"))
+    wanted = classes.join(met.select("set").distinct(), "set", "left_semi").select(F.col("set").alias("wanted"), "of_row")
+    text = docs.select(of_row.alias("of_row"), raw_text(text_col).alias("raw"))
+    once = Window.partitionBy("of_row").orderBy("wanted")
+    found = wanted.join(text, "of_row").withColumn("place", F.row_number().over(once)).filter("place = 1")
     sets = written(
-        add_columns(found, {"wanted": F.col("wanted")}, [F.col("raw")], _make_full_sets, "n bigint, set bigint, signature array<bigint>, grams binary")
+        add_columns(found, {"wanted": F.col("wanted")}, [F.col("raw")], _make_full_sets, "n bigint, set bigint, grams binary")
         .filter("wanted = set")
-        .drop("wanted")
-        .dropDuplicates(["set"]),
+        .drop("wanted"),
         "sets",
     )
-    first = written(_checked(_first_links(met), sets), "links")
-    more = written(_checked(tree_search(met, sets, components(first)), sets), "links")
-    joined = components(first.union(more))
+    joined = components(_links(met, sets))
     groups = (
         classes.join(joined.withColumnRenamed("node", "set"), "set")
         .groupBy("component")
@@ -370,24 +443,32 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     without words are linked with nothing; each id keeps its own. Other cases as in :func:`similar_documents`."""
     rows = _linked(docs, id_col, text_col)
     first = F.struct(F.col("id").isNull().alias("unnamed"), F.col("id").alias("id"), F.col("copy").alias("copy"))
-    staying = written(
+    stays = (
         rows.filter("n > 0")
         .groupBy("component_id")
         .agg(F.min(first).alias("first"))
-        .select("first.id", "first.copy")
-        .union(rows.filter("n = 0").select("id", "copy").distinct()),
-        "staying",
+        .select("first.id", "first.copy", F.lit(True).alias("stays"))
+    )
+    # One row for each id and text that goes, or that stays but is repeated; most documents have none.
+    each = rows.groupBy("id", "copy", (F.col("n") > 0).alias("worded")).agg(F.count("*").alias("times"))
+    on = F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.copy") == F.col("r.copy"))
+    marked = written(
+        each.alias("l")
+        .join(stays.alias("r"), on, "left")
+        .select("l.id", "l.copy", "times", (~F.col("worded") | F.coalesce("stays", F.lit(False))).alias("stays"))
+        .filter("times > 1 OR NOT stays"),
+        "marked",
     )
     names = docs.columns
     kept = docs.select(
         *[F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(names)],
-        F.col(id_col).alias("own"),
-        _copy(text_col).alias("own_copy"),
-    )
-    both = kept.join(staying, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_copy") == F.col("copy")))
-    once = Window.partitionBy("own", "own_copy").orderBy(F.lit(0))
-    return (
-        both.withColumn("place", F.row_number().over(once))
-        .filter("place = 1")
-        .select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
-    )
+        F.col(id_col).alias("id"),
+        _copy(text_col).alias("copy"),
+    ).alias("l")
+    # Of rows that repeat id and text any may stay; their other columns decide, so that it is always the same.
+    rest = [F.col(f"c{i}").cast("string") for i, f in enumerate(docs.schema.fields) if isinstance(f.dataType, T.AtomicType)]
+    once = Window.partitionBy("id", "copy").orderBy(F.xxhash64(*rest))
+    repeated = kept.join(marked.filter("stays").alias("r"), on, "left_semi")
+    repeated = repeated.withColumn("place", F.row_number().over(once)).filter("place = 1").drop("place")
+    out = kept.join(marked.alias("r"), on, "left_anti").unionByName(repeated)
+    return out.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])

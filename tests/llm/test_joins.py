@@ -5,13 +5,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from oracle import compare, connect
-from pyspark.sql import functions as F
-
 from millrace.llm.batches import WordHashes
 from millrace.llm.decontaminate import CONTAMINATED_SQL, contaminated, sketch_length, without_leaks
 from millrace.llm.graph import components
 from millrace.llm.packing import best_fit, pack
-from millrace.llm.signature_join import one_of_each, part_keys, shingles, similar_documents, spare, tree_search
+from millrace.llm.signature_join import Tree, leaf_pairs, one_of_each, part_keys, search, shingles, similar_documents, spare
 from millrace.tables import table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -74,30 +72,65 @@ def test_similar_sets_share_a_key():
             assert any(k >= 32 or c >= 1 + spare(2**k) for k, c in shared.items())
 
 
-def test_tree_search_finds_all_similar_pairs_of_a_crowded_key(spark):
-    draw = random.Random(2)
-    hashes, rows, sets = WordHashes(), [], {}
-    for family in range(12):
-        base = [f"w{family}x{k}" for k in range(40)]
-        for copy in range(30):
+def random_sets(families, copies, edits, seed):
+    draw = random.Random(seed)
+    hashes, out = WordHashes(), []
+    for family in range(families):
+        base = [f"w{family}x{k}" for k in range(draw.randint(30, 90))]
+        for _ in range(copies):
             words = list(base)
-            words[draw.randrange(40)] = f"v{copy}"
-            g = shingles(" ".join(words).encode(), hashes)
-            sets[family * 100 + copy] = set(g.tolist())
-            bits = np.zeros(1024, np.uint8)
-            bits[(g >> np.uint64(7)) % np.uint64(1024)] = 1
-            rows.append((family * 100 + copy, len(g), np.packbits(bits).view(np.int64).tolist()))
-    signed = spark.createDataFrame(rows, "set bigint, n bigint, signature array<bigint>")
-    met = signed.select(F.lit(1).cast("long").alias("key"), "set")
-    # The first family is connected already, but for one.
-    connected = spark.createDataFrame([(k, 0) for k in range(29)], "node bigint, component bigint")
-    found = {tuple(r) for r in tree_search(met, signed, connected).collect()}
-    similar = {
-        (a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and not b < 29
-    }
-    assert similar <= found
-    assert not any(b < 29 for _, b in found)
-    assert all(a // 100 == b // 100 for a, b in found)
+            for _ in range(draw.randint(0, edits)):
+                words[draw.randrange(len(words))] = f"v{draw.randrange(10**6)}"
+            out.append(shingles(" ".join(words).encode(), hashes))
+    return out
+
+
+def groups(n, links):
+    own = list(range(n))
+    for a, b in links:
+        a, b = own[a], own[b]
+        own = [min(a, b) if x in (a, b) else x for x in own]
+    return own
+
+
+def test_trees_connect_all_that_is_similar():
+    sets = random_sets(8, 60, 4, 2)
+    content = [set(g.tolist()) for g in sets]
+    similar = [
+        (a, b) for a in range(len(sets)) for b in range(a) if 100 * len(content[a] & content[b]) >= 80 * len(content[a] | content[b])
+    ]
+    want = groups(len(sets), similar)
+    member = lambda i, c=None: {"set": i, "component": i if c is None else c, "grams": sets[i].tobytes()}
+    whole = Tree([member(i) for i in range(len(sets))])
+    found = search(whole, whole)
+    assert {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in similar}
+    assert groups(len(sets), found) == want and len(found) == len(sets) - len(set(want))
+    # In two blocks: links within each, then those between them; what is known to be connected is not told again.
+    halves = [[i for i in range(len(sets)) if i % 2 == h] for h in (0, 1)]
+    trees = [Tree([member(i) for i in h]) for h in halves]
+    inner = search(trees[0], trees[0]) + search(trees[1], trees[1])
+    known = groups(len(sets), inner)
+    x, y = (Tree([member(i, known[i]) for i in h]) for h in halves)
+    between = search(x, y)
+    assert groups(len(sets), inner + between) == want and len(between) == len(set(known)) - len(set(want))
+    # Unlike families are told apart above the leaves.
+    assert len(list(leaf_pairs(whole, whole))) < len(whole.levels[0][1]) * (len(whole.levels[0][1]) + 1) / 2
+
+
+def test_links_of_a_large_group_in_many_blocks(spark, monkeypatch):
+    import millrace.llm.signature_join as module
+
+    monkeypatch.setattr(module, "BLOCK", 10)
+    draw = random.Random(4)
+    rows = []
+    base = [f"w{k}" for k in range(80)]
+    for i in range(150):
+        words = list(base)
+        for _ in range(draw.randint(0, 4)):
+            words[draw.randrange(80)] = f"v{draw.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, similar_documents(docs).collect()), key=repr) == brute_components(rows)
 
 
 def test_components_of_chains_and_stars(spark):
