@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import math
-from dataclasses import dataclass, field
 
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +23,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Trie nodes that a task holds before it starts a new trie.
-NODES = 300_000
+NODES = 1_000_000
 #: Pre-tokens of more bytes than this are computed by themselves and held nowhere.
 LONG = 256
 
@@ -42,27 +41,37 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, float]:
     return {token: -math.log(r + 1) - whole for token, r in ranks.items()}
 
 
-@dataclass
-class Trie:
-    """Nodes of bytes: the children of each, the best score of the path down to it, and its number of tokens.
-    Of equally good segmentations the one with fewer tokens counts."""
+def suffix_trie(scores: dict[bytes, float]) -> dict:
+    """The tokens from their last byte to their first, as nested dicts; a token's score is under the key -1."""
+    root: dict = {}
+    for token, score in scores.items():
+        node = root
+        for byte in reversed(token):
+            node = node.setdefault(byte, {})
+        node[-1] = score
+    return root
+
 
-    scores: dict[bytes, float]
-    longest: int = 0
-    children: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    best: list[float] = field(default_factory=lambda: [0.0])
-    tokens: list[int] = field(default_factory=lambda: [0])
+class Trie:
+    """Nodes of bytes: the child of a node for each byte, the best score of the path down to it, and its number of
+    tokens. Of equally good segmentations the one with fewer tokens counts."""
 
-    def __post_init__(self):
-        self.longest = max(map(len, self.scores), default=1)
+    def __init__(self, suffixes: dict):
+        self.suffixes = suffixes
+        self.children: dict[int, int] = {}
+        self.best, self.tokens = [0.0], [0]
 
     def step(self, word: bytes, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
         """The best score and its tokens for the first ``end`` bytes, from those of fewer bytes. A byte that is no
         token itself counts as one, at a score below any token's."""
         top, least = best[end - 1] - 50.0, tokens[end - 1] + 1
-        scores = self.scores
-        for start in range(max(0, end - self.longest), end):
-            score = scores.get(word[start:end])
+        node, start = self.suffixes, end
+        while start:
+            start -= 1
+            node = node.get(word[start])
+            if node is None:
+                break
+            score = node.get(-1)
             if score is not None:
                 score += best[start]
                 if score > top or (score == top and tokens[start] + 1 < least):
@@ -80,14 +89,13 @@ class Trie:
             return tokens[-1]
         node = 0
         for end, byte in enumerate(word, 1):
-            child = self.children[node].get(byte)
-            if child is None:
+            edge = node << 8 | byte
+            node = self.children.get(edge)
+            if node is None:
                 top, n = self.step(word, end, best, tokens)
-                child = self.children[node][byte] = len(self.best)
-                self.children.append({})
+                node = self.children[edge] = len(self.best)
                 self.best.append(top)
                 self.tokens.append(n)
-            node = child
             best.append(self.best[node])
             tokens.append(self.tokens[node])
         return tokens[-1]
@@ -98,12 +106,12 @@ class Counts(dict):
 
     def __init__(self, scores: dict[bytes, float]):
         super().__init__()
-        self.scores, self.trie = scores, Trie(scores)
+        self.trie = Trie(suffix_trie(scores))
 
     def __missing__(self, word: str) -> int:
         if len(self.trie.best) >= NODES:
             self.clear()
-            self.trie = Trie(self.scores)
+            self.trie = Trie(self.trie.suffixes)
         raw = word.encode("utf-8", "surrogatepass")
         n = self.trie.count(raw)
         if len(raw) <= LONG:

@@ -25,7 +25,7 @@ from millrace.llm.secret_scan import (
     secret_spans,
 )
 from millrace.llm.statistics import repeated, text_statistics
-from millrace.llm.token_counts import VOCABULARY, PATTERN, Counts, Trie, read_vocabulary, token_counts
+from millrace.llm.token_counts import VOCABULARY, PATTERN, Counts, Trie, read_vocabulary, suffix_trie, token_counts
 from millrace.tables import table
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -270,7 +270,7 @@ def test_trie_counts_match_a_table_for_each_word():
     words = ["".join(draw.choice("abcz") for _ in range(draw.randint(1, 14))) for _ in range(500)] + ["abc" * 200, "é"]
     for word in words:
         assert counts[word] == best_by_itself(scores, word.encode()), word
-    shared = Trie(scores)
+    shared = Trie(suffix_trie(scores))
     shared.count(b"abcabc")
     nodes = len(shared.best)
     shared.count(b"abca")
