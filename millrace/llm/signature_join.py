@@ -32,9 +32,9 @@ SIGNATURE = 16
 #: Sets in a leaf node of a tree, and nodes in a node above.
 LEAF, FAN = 64, 8
 #: Sets in a block, and bytes of their shingles, about.
-BLOCK, BLOCK_BYTES = 1024, 4_000_000
+BLOCK, BLOCK_BYTES = 1024, 2_000_000
 #: Keys that a task gathers before it sends them on.
-GATHERED = 1_500_000
+GATHERED = 1_000_000
 #: Sets of one key that a task sends where the key is counted; it has found the key shared already, so the rest
 #: go elsewhere and no task gets all sets of a key.
 SENT = 16
