@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.codes import app_state, session_kind, session_state
-from millrace.functions.durations import duration
+from millrace.functions.durations import with_duration
 from millrace.functions.paths import resolve_path
 from millrace.operators.access import visible_rows
 from millrace.operators.aggregates import count_where
@@ -101,12 +101,8 @@ def duration_to_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_tax") == 0.01, ".5").otherwise(""),
         unit,
     )
-    return (
-        table(spark, sf_dir, "lineitem")
-        .select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text"))
-        .withColumn("d", duration(F.col("text")))
-        .select("l_orderkey", "l_linenumber", "l_partkey", "text", "d.ms", "d.error")
-    )
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text"))
+    return with_duration(rows, "text")
 
 
 @query(
