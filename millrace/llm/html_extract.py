@@ -30,7 +30,7 @@ TOKENS = 3
 #: Bytes of all templates, at most, for them to be sent to every task; beyond, they are joined by host.
 SENT_BYTES = 64_000_000
 
-_TOKENS = "tokens array<struct<role:bigint,n:bigint,place:double,v1:bigint,v2:bigint>>, page bigint"
+_TOKENS = "roles array<bigint>, times array<int>, places array<float>, page bigint"
 _TEMPLATE = "array<struct<tokens:array<struct<role:bigint,place:double>>>>"
 
 
@@ -40,39 +40,40 @@ def _host(url: str) -> Column:
 
 def _counted():
     def tokens(pages: list[bytes]) -> list:
-        out, ids = [], []
+        out = [[], [], [], []]
         for raw in pages:
-            key = xxhash.xxh64_intdigest(raw)
-            a, b = key & 0x7FFFFFFF, key >> 33
             found = page_tokens(raw.decode("utf-8", "replace"))
             places = defaultdict(list)
             for i, t in enumerate(found):
                 places[t.role].append(i)
-            out.append([(role, len(at), at[0] / len(found), a * len(at), b * len(at)) for role, at in places.items()])
-            ids.append(key >> 1)
-        return [out, ids]
+            out[0].append(list(places))
+            out[1].append([len(at) for at in places.values()])
+            out[2].append([at[0] / len(found) for at in places.values()])
+            # Pages that differ in attributes, scripts or comments only are copies.
+            out[3].append(xxhash.xxh64_intdigest(b"".join(t.role.to_bytes(8, "little") for t in found)) >> 1)
+        return out
 
     return tokens
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The classes of every host with enough pages: ``host`` and ``template``."""
+    """The classes of every host with enough pages: ``host`` and ``template``. Pages with equal tokens count once."""
     each = add_columns(pages, {"host": _host(url_col)}, [raw_text(html_col)], _counted, _TOKENS)
+    each = each.dropDuplicates(["host", "page"])
     # The page as a whole is a token as well; it tells how many pages the host has.
-    whole = F.struct(F.lit(-1).cast("long").alias("role"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("place"), F.lit(0).cast("long").alias("v1"), F.lit(0).cast("long").alias("v2"))
+    whole = F.struct(F.lit(-1).cast("long").alias("roles"), F.lit(1).alias("times"), F.lit(0.0).cast("float").alias("places"))
     tokens = (
-        each.select("host", "page", F.inline(F.concat("tokens", F.array(whole))))
-        .groupBy("host", "role")
+        each.select("host", "page", F.inline(F.concat(F.arrays_zip("roles", "times", "places"), F.array(whole))))
+        .groupBy("host", F.col("roles").alias("role"))
         .agg(
             F.count("*").alias("support"),
-            F.sum("v1").alias("v1"),
-            F.sum("v2").alias("v2"),
-            F.avg("place").alias("place"),
-            F.approx_count_distinct(F.when(F.col("role") == -1, F.col("page"))).alias("different"),
+            F.sum(F.col("page").bitwiseAND(F.lit(0x7FFFFFFF)) * F.col("times")).alias("v1"),
+            F.sum(F.shiftright("page", 32) * F.col("times")).alias("v2"),
+            F.avg("places").alias("place"),
         )
     )
     tokens = written(tokens.filter("support > 1"), "tokens")
-    hosts = tokens.filter("role = -1").filter(F.col("different") >= PAGES).select("host", F.col("support").alias("pages"))
+    hosts = tokens.filter("role = -1").filter(F.col("support") >= PAGES).select("host", F.col("support").alias("pages"))
     return (
         tokens.filter("role >= 0")
         .join(hosts, "host")

@@ -140,6 +140,15 @@ def test_templates_of_a_host(spark):
     assert extract_text(df.limit(0)).collect() == []
 
 
+def test_copies_beside_other_pages_are_no_template(spark):
+    """Copies that differ in what is no token, such as a script, are one page as well."""
+    copy = page("t", "<p>all alike</p><p>and so on</p>")
+    rows = [(i, "http://a.org/%d" % i, copy.replace("var t", f"var t{i % 50}")) for i in range(300)]
+    rows += [(1000 + i, "http://a.org/%d" % i, page(f"u{i}", f"<p>other {i}</p>", i)) for i in range(12)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: "t\nall alike\nand so on" for i in range(300)} | {1000 + i: f"u{i}\nother {i}" for i in range(12)}
+
+
 def test_tokens_of_broken_markup():
     for text in ("<", "<a", "<a href=\"x>y", "</p></p>", "<p <b>x", "&#0;&bogus;", "<script>never closed <p>x"):
         page_tokens(text)
