@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import xxhash
@@ -41,18 +43,46 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _WORD = re.compile(r"[a-z]+")
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
+class Element:
+    """An open or past element. ``tagged`` says that it lies aside by the name of a tag, ``named`` that its own class,
+    id or role tells so, ``aside`` is what comes of both; ``main`` that it is or lies in an article or main element."""
+
+    name: str
+    path: str
+    parent: Element | None
+    tagged: bool
+    named: bool
+    main: bool
+    aside: bool = False
+
+    def around(self) -> Iterator[Element]:
+        """The elements that hold this one, from the inside out."""
+        at = self.parent
+        while at is not None:
+            yield at
+            at = at.parent
+
+
+@dataclass(slots=True)
 class Token:
-    """A tag or a text. ``role`` is a hash of its path and its content; ``aside`` and ``main`` say where it lies;
-    ``ends`` that a block ends before it."""
+    """A tag or a text. ``role`` is a hash of its path and its content; ``element`` is where it lies; ``ends`` that a
+    block ends before it."""
 
     role: int
     path: int
     text: str | None
-    aside: bool
-    main: bool
+    element: Element
     ends: bool
 
+    @property
+    def aside(self) -> bool:
+        return self.element.aside
+
+    @property
+    def main(self) -> bool:
+        return self.element.main
+
 
 def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x00".join(parts)) >> 1
@@ -66,15 +96,15 @@ def page_tokens(page: str) -> list[Token]:
     """The tokens of a page in order. Scripts, styles and comments are skipped, whatever they contain. Tags that
     aren't closed end with what holds them; end tags without a start are ignored."""
     out: list[Token] = []
-    # Each open element: name, path, whether it or one around it is aside, and is main.
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    stack = [Element("", "", None, False, False, False)]
+    elements = [stack[0]]
     ends = True
 
     def text(piece: str) -> None:
         nonlocal ends
         if piece:
-            _, path, aside, main = stack[-1]
-            out.append(Token(_hash(path, "text", " ".join(piece.split())), _hash(path), html.unescape(piece), aside, main, ends))
+            path = stack[-1].path
+            out.append(Token(_hash(path, "text", " ".join(piece.split())), _hash(path), html.unescape(piece), stack[-1], ends))
             ends = False
 
     at = 0
@@ -93,21 +123,64 @@ def page_tokens(page: str) -> list[Token]:
         ends = True
         if close:
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
+                if stack[depth].name == name:
                     del stack[depth:]
                     break
             continue
         shuts = {"p"} | _CLOSES.get(name, set())
-        while stack[-1][0] in shuts:
+        while stack[-1].name in shuts:
             stack.pop()
-        _, path, aside, main = stack[-1]
+        around = stack[-1]
         names = _names(attributes)
-        path = f"{path}/{name}" + "".join(f".{n}" for n in names)
+        path = f"{around.path}/{name}" + "".join(f".{n}" for n in names)
         words = {w for n in names for w in _WORD.findall(n.lower())}
-        aside = aside or name in ASIDE_TAGS or (name not in _WHOLE and bool(words & ASIDE_WORDS))
-        main = main or name in MAIN_TAGS
-        out.append(Token(_hash(path, "tag"), _hash(path), None, aside, main, True))
+        named = name not in _WHOLE and bool(words & ASIDE_WORDS)
+        element = Element(name, path, around, around.tagged or name in ASIDE_TAGS, named, around.main or name in MAIN_TAGS)
+        elements.append(element)
+        out.append(Token(_hash(path, "tag"), _hash(path), None, element, True))
         if name not in VOID:
-            stack.append((name, path, aside, main))
+            stack.append(element)
     text(page[at:])
+    _settle(elements)
+    _unname_wrappers(elements, out)
     return out
+
+
+def _settle(elements: list[Element]) -> None:
+    for e in elements:
+        e.aside = e.tagged or e.named or (e.parent is not None and e.parent.aside)
+
+
+def _unname_wrappers(elements: list[Element], tokens: list[Token]) -> None:
+    """Names do not set aside what holds the main element or the page's own article. That is the longest one, if it
+    is the only one in what is set aside, or has more text than all that is not. So lists of teasers, or comments
+    that are articles, stay aside."""
+    held = [e for e in elements if e.name in MAIN_TAGS and not e.tagged and any(a.named for a in e.around())]
+    if not held:
+        return
+    for e in held:
+        if e.name == "main":
+            for a in e.around():
+                a.named = False
+    _settle(elements)
+    weight: Counter[int] = Counter()
+    free = free_main = 0
+    for t in tokens:
+        n = 0 if t.text is None or t.element.tagged else len(t.text.strip())
+        if n:
+            if not t.aside:
+                free += n
+                free_main += n if t.main else 0
+            for a in (t.element, *t.element.around()):
+                if a.name == "article":
+                    weight[id(a)] += n
+    articles = [e for e in elements if e.name == "article" and weight[id(e)]]
+    own = max(articles, key=lambda e: weight[id(e)], default=None)
+    if own is None or not own.aside:
+        return
+    wrapper = [a for a in own.around() if a.named][-1]
+    alone = sum(wrapper in e.around() and not any(a.name == "article" for a in e.around()) for e in articles) == 1
+    if weight[id(own)] >= free or (alone and not free_main):
+        for a in own.around():
+            a.named = False
+        _settle(elements)

@@ -120,6 +120,21 @@ def test_main_text_of_single_pages():
     assert main_text("<article><p>a<!-- <p>x</p> -->b<script>1</script>c</p></article>", []) == "abc"
 
 
+def test_names_of_wrappers_set_no_article_aside():
+    story = "<h1>T</h1><p>story</p>"
+    after = "<div class='sidebar'><p>links and more links</p></div>"
+    assert main_text(f'<div class="content-sidebar-wrap"><main>{story}</main>{after}</div>', []) == "T\nstory"
+    assert main_text(f'<div class="content-sidebar-wrap"><article>{story}</article>{after}</div><div>longer text below</div>', []) == "T\nstory"
+    assert main_text(f'<div id="page" class="has-sidebar no-comments"><div class="side-by-side"><article>{story}</article></div></div>', []) == "T\nstory"
+    assert main_text(f'<main><div class="has-widget"><article>{story}</article></div>{after}</main>', []) == "T\nstory"
+    # What holds teasers or comments stays aside, whether the story is an article or not.
+    listed = "<article>one</article><article>two</article>"
+    assert main_text(f"<article>{story}</article><div id='comments'>{listed}</div>", []) == "T\nstory"
+    assert main_text(f"<article>{story}<p>goes on</p></article><div class='related'><article>a teaser</article></div>", []) == "T\nstory\ngoes on"
+    assert main_text(f"<div><p>a story without an article</p></div><div id='comments'>{listed}</div>", []) == "a story without an article"
+    assert main_text(f"<nav class='menu'><article>{story}</article></nav>", []) == ""
+
+
 def test_templates_of_a_host(spark):
     draw = random.Random(3)
     note = "<p>Read more of our stories</p>"
