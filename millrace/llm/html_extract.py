@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.batches import add_columns, raw_text
 from millrace.llm.graph import written
-from millrace.llm.page_tokens import Token, page_tokens
+from millrace.llm.page_tokens import Element, Token, page_tokens
 
 #: Different pages that a host must have for a template to be deduced.
 PAGES = 8
@@ -30,6 +30,12 @@ TOKENS = 3
 #: Bytes of all templates, at most, for them to be sent to every task; beyond, they are joined by host.
 SENT_BYTES = 64_000_000
 
+# Elements that are parts of a text, not containers of one.
+PARTS = set(
+    "p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure "
+    "figcaption details summary address center".split()
+)
+
 _TOKENS = "roles array<bigint>, times array<int>, places array<float>, page bigint"
 _TEMPLATE = "array<struct<tokens:array<struct<role:bigint,place:double>>>>"
 
@@ -131,14 +137,32 @@ def _fits(places: dict[int, list[int]], inner: list[int], outer: list[int]) -> b
     return True
 
 
+def _container(blocks: list[tuple[Element, str]]) -> Element:
+    """The smallest element that holds the paths with most text, and is no part of a text itself."""
+    weight = Counter()
+    for element, text in blocks:
+        weight[element.path] += len(text)
+    most = max(weight.values())
+    held: list[Element] | None = None
+    for element, _ in blocks:
+        if 4 * weight[element.path] >= most:
+            chain = [element, *element.around()][::-1]
+            if held is not None:
+                chain = [a for a, b in zip(held, chain) if a is b]
+            held = chain
+    while held[-1].name in PARTS:
+        held.pop()
+    return held[-1]
+
+
 def main_text(page: str, classes: list[list[int]]) -> str:
     """The article's slots: texts that belong neither to the template nor to a part beside the article. A page
-    without an article or main element gives those of the element path with most text."""
+    without an article or main element gives those of the smallest container of its heaviest text."""
     tokens = page_tokens(page)
     fixed = template_roles(tokens, classes) if classes else set()
     has_main = any(t.main and not t.aside for t in tokens if t.text)
-    blocks: list[list[str]] = []
-    paths: list[int] = []
+    pieces: list[list[str]] = []
+    elements: list[Element] = []
     opened = False
     for t in tokens:
         opened = opened and not t.ends
@@ -148,18 +172,16 @@ def main_text(page: str, classes: list[list[int]]) -> str:
         if t.role in fixed and t.text.strip():
             continue
         if not opened:
-            blocks.append([])
-            paths.append(t.path)
+            pieces.append([])
+            elements.append(t.element)
             opened = True
-        blocks[-1].append(t.text)
-    texts = [" ".join("".join(b).split()) for b in blocks]
-    if not has_main and texts:
-        weight = Counter()
-        for path, text in zip(paths, texts):
-            weight[path] += len(text)
-        best = max(weight, key=lambda p: (weight[p], p))
-        texts = [x for path, x in zip(paths, texts) if path == best or 4 * weight[path] >= weight[best]]
-    return "\n".join(x for x in texts if x)
+        pieces[-1].append(t.text)
+    texts = [" ".join("".join(p).split()) for p in pieces]
+    blocks = [(e, x) for e, x in zip(elements, texts) if x]
+    if not has_main and blocks:
+        box = _container(blocks)
+        blocks = [(e, x) for e, x in blocks if e is box or any(a is box for a in e.around())]
+    return "\n".join(x for _, x in blocks)
 
 
 def _extracting():

@@ -135,6 +135,17 @@ def test_names_of_wrappers_set_no_article_aside():
     assert main_text(f"<nav class='menu'><article>{story}</article></nav>", []) == ""
 
 
+def test_every_block_of_a_container_stays():
+    story = "<h1>T</h1><p>" + "words " * 30 + "</p><h2>U</h2><ul><li>a<li>b</ul><blockquote>q</blockquote><pre>c</pre><table><tr><td>1<td>2</table><div><p>z</p></div>"
+    want = "T\n" + "words " * 29 + "words\nU\na\nb\nq\nc\n1\n2\nz"
+    assert main_text(f"<body><div>top</div><div class=entry>{story}<div class=share>s</div></div><div>low</div></body>", []) == want
+    assert main_text(story, []) == want
+    # Two containers with much text each.
+    both = "<div id=a><h2>A</h2><p>some words here</p></div><div id=b><h2>B</h2><p>some more words</p></div>"
+    assert main_text(f"<body><div>top</div><div>{both}</div></body>", []) == "A\nsome words here\nB\nsome more words"
+    assert main_text("<body><ul><li>only a list</li><li>b</li></ul></body>", []) == "only a list\nb"
+
+
 def test_templates_of_a_host(spark):
     draw = random.Random(3)
     note = "<p>Read more of our stories</p>"
