@@ -1,9 +1,10 @@
 """Main text of web pages, by deducing the template that a host's pages share.
 
 A token is a tag with its path or a text with its path. Over all pages of a host, tokens that occur equally often
-in every page form an equivalence class. Classes that hold on (nearly) all pages are the template, if their tokens
-keep one order; classes that lie between two tokens of another one are nested in it. What the template leaves open
-are slots, and the slots of the article are the main text.
+in every page form an equivalence class. Classes that hold on several different pages are the template of these, if
+their tokens keep one order; classes that lie between two tokens of another one are nested in it. What the template
+leaves open are slots, and the slots of the article are the main text. A class that holds on few pages, or on some of
+a host's pages only, must leave enough of a page's main text, or it is an article that was published again.
 
 Vectors of occurrences are never gathered: two sums over the pages, of hashes times counts, stand for a token's
 vector, so that a host with a third of all pages is summed up in every task.
@@ -21,10 +22,17 @@ from millrace.llm.batches import add_columns, raw_text
 from millrace.llm.graph import written
 from millrace.llm.page_tokens import Element, Token, page_tokens
 
-#: Different pages that a host must have for a template to be deduced.
+#: Different pages that a class must stand on.
+FEW = 3
+#: Share of a host's pages that a class must stand on. It bounds a host's classes to twenty times the tokens of a page,
+#: so that they can be gathered and tried on each of its pages.
+PART = 0.05
+#: Different pages of a host, and the share of them that a class must stand on, to be the template of all of them.
 PAGES = 8
-#: Share of a host's pages that a class must hold on.
 SUPPORT = 0.9
+#: How much of a page's main text a class must leave, as a share of what it takes: one that stands on so many of a
+#: host's few pages; and one of some pages only, which may also be an article published several times with changes.
+LEAVE_FEW, LEAVE_PART = 0.5, 1.0
 #: Tokens that a class must have.
 TOKENS = 3
 #: Bytes of all templates, at most, for them to be sent to every task; beyond, they are joined by host.
@@ -37,7 +45,7 @@ PARTS = set(
 )
 
 _TOKENS = "roles array<bigint>, times array<int>, places array<float>, page bigint"
-_TEMPLATE = "array<struct<tokens:array<struct<role:bigint,place:double>>>>"
+_TEMPLATE = "array<struct<tokens:array<struct<role:bigint,place:double>>,leave:double>>"
 
 
 def _host(url: str) -> Column:
@@ -79,28 +87,29 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         )
     )
     tokens = written(tokens.filter("support > 1"), "tokens")
-    hosts = tokens.filter("role = -1").filter(F.col("support") >= PAGES).select("host", F.col("support").alias("pages"))
+    hosts = tokens.filter("role = -1").filter(F.col("support") >= FEW).select("host", F.col("support").alias("pages"))
+    leave = F.when(F.col("support") < SUPPORT * F.col("pages"), LEAVE_PART).when(F.col("pages") < PAGES, LEAVE_FEW).otherwise(0.0)
     return (
         tokens.filter("role >= 0")
         .join(hosts, "host")
-        .filter(F.col("support") >= SUPPORT * F.col("pages"))
-        .groupBy("host", "v1", "v2", "support")
+        .filter((F.col("support") >= FEW) & (F.col("support") >= PART * F.col("pages")))
+        .groupBy("host", "v1", "v2", "support", "pages")
         .agg(F.array_sort(F.collect_list(F.struct("place", "role"))).alias("members"))
         .filter(F.size("members") >= TOKENS)
-        .select("host", F.struct(F.transform("members", lambda m: F.struct(m["role"].alias("role"), m["place"].alias("place"))).alias("tokens")).alias("class"))
+        .select("host", F.struct(F.transform("members", lambda m: F.struct(m["role"].alias("role"), m["place"].alias("place"))).alias("tokens"), leave.alias("leave")).alias("class"))
         .groupBy("host")
         .agg(F.collect_list("class").cast(_TEMPLATE).alias("template"))
     )
 
 
-def template_roles(tokens: list[Token], classes: list[list[int]]) -> set[int]:
-    """Roles of the classes that are valid on a page: every token there, equally often, in the class's order, and
-    each class either within one gap of another or apart from it."""
+def valid_classes(tokens: list[Token], classes: list[list[int]], leaves: list[float]) -> list[tuple[float, list[int]]]:
+    """The classes that are valid on a page, with their share to leave: every token there, equally often, in the
+    class's order, and each class either within one gap of another or apart from it. Those of all pages come first."""
     places = defaultdict(list)
     for i, t in enumerate(tokens):
         places[t.role].append(i)
-    valid: list[list[int]] = []
-    for roles in sorted(classes, key=len, reverse=True):
+    valid: list[tuple[float, list[int]]] = []
+    for leave, roles in sorted(zip(leaves, classes), key=lambda c: (c[0], -len(c[1]))):
         counts = Counter(len(places.get(r, ())) for r in roles)
         n = max(counts, default=0, key=lambda k: (counts[k], k))
         held = [r for r in roles if n and len(places.get(r, ())) == n]
@@ -116,13 +125,25 @@ def template_roles(tokens: list[Token], classes: list[list[int]]) -> set[int]:
         repeats_apart = all(a[-1] < b[0] for a, b in zip(spans, spans[1:]))
         if not repeats_apart:
             continue
-        valid.append(ordered)
-    nested: list[list[int]] = []
-    for roles in valid:
-        inside = all(_fits(places, roles, outer) for outer in nested)
-        if inside:
-            nested.append(roles)
-    return {r for roles in nested for r in roles}
+        valid.append((leave, ordered))
+    nested: list[tuple[float, list[int]]] = []
+    for leave, roles in valid:
+        if all(_fits(places, roles, outer) for _, outer in nested):
+            nested.append((leave, roles))
+    return nested
+
+
+def template_roles(found: list[tuple[float, list[int]]], amounts: Counter[int]) -> set[int]:
+    """Roles of the classes that are template on a page whose main text has ``amounts`` of characters by role: of
+    classes that must leave some of it, those that take least come first."""
+    fixed = {r for leave, roles in found if not leave for r in roles}
+    left = sum(n for r, n in amounts.items() if r not in fixed)
+    taking = [(sum(amounts[r] for r in roles), leave, roles) for leave, roles in found if leave]
+    for taken, leave, roles in sorted(taking):
+        if left - taken >= leave * taken:
+            fixed.update(roles)
+            left -= taken
+    return fixed
 
 
 def _fits(places: dict[int, list[int]], inner: list[int], outer: list[int]) -> bool:
@@ -155,12 +176,19 @@ def _container(blocks: list[tuple[Element, str]]) -> Element:
     return held[-1]
 
 
-def main_text(page: str, classes: list[list[int]]) -> str:
+def main_text(page: str, classes: list[list[int]], leaves: list[float] | None = None) -> str:
     """The article's slots: texts that belong neither to the template nor to a part beside the article. A page
-    without an article or main element gives those of the smallest container of its heaviest text."""
+    without an article or main element gives those of the smallest container of its heaviest text. ``leaves`` has
+    how much each class must leave, which is nothing if not given."""
     tokens = page_tokens(page)
-    fixed = template_roles(tokens, classes) if classes else set()
     has_main = any(t.main and not t.aside for t in tokens if t.text)
+    fixed: set[int] = set()
+    if classes:
+        amounts = Counter()
+        for t in tokens:
+            if t.text and not t.aside and (t.main or not has_main):
+                amounts[t.role] += len(t.text.strip())
+        fixed = template_roles(valid_classes(tokens, classes, leaves or [0.0] * len(classes)), amounts)
     pieces: list[list[str]] = []
     elements: list[Element] = []
     opened = False
@@ -189,7 +217,7 @@ def _extracting():
         texts = []
         for raw, template in zip(pages, found):
             classes = [[t["role"] for t in c["tokens"]] for c in template or ()]
-            texts.append(main_text(raw.decode("utf-8", "replace"), classes))
+            texts.append(main_text(raw.decode("utf-8", "replace"), classes, [c["leave"] for c in template or ()]))
         return [texts, [len(x) for x in texts]]
 
     return extract
@@ -199,8 +227,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """A row for each row of ``pages``: its id, url, main ``text`` and ``n_chars``.
 
     Blocks are joined by one line break; white space within a block is one space; character references are decoded.
-    A null or empty page has an empty text. A null or odd url belongs to the host "". Hosts with few different pages
-    have no template, and lose only what markup tells to be beside the article. Repeated rows are each returned.
+    A null or empty page has an empty text. A null or odd url belongs to the host "". Hosts with one or two
+    different pages have no template, and lose only what markup tells to be beside the article. Repeated rows are each returned.
     Whole pages are read however long; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     known = written(templates(pages, url_col, html_col), "templates")

@@ -175,6 +175,26 @@ def test_copies_beside_other_pages_are_no_template(spark):
     assert got == {i: "t\nall alike\nand so on" for i in range(300)} | {1000 + i: f"u{i}\nother {i}" for i in range(12)}
 
 
+def test_templates_of_few_pages_and_of_layouts(spark):
+    draw = random.Random(4)
+    body = lambda n: "".join(f"<p>word{draw.random()}</p>" for _ in range(n))
+    note = lambda x: f"<p>Read more of our {x}</p>"
+    rows = [(i, "http://few.org/%d" % i, page(f"t{i}", body(2), i, note("stories"))) for i in range(4)]
+    for i in range(100, 140):
+        kind, wrap = ("news", "<div class=a><div class=b>{}</div></div>") if i % 5 < 3 else ("sport", "<section class=c><div class=d>{}</div></section>")
+        rows.append((i, "http://two.org/%d" % i, page(f"t{i}", wrap.format(body(3) + note(kind)), i)))
+    # One article published again with changes, beside others, and on a host of its own.
+    again = "".join(f"<p>the same words in paragraph {k}</p>" for k in range(4))
+    rows += [(200 + i, "http://again.org/%d" % i, page("same", again + f"<p>changed {i}</p>", i)) for i in range(4)]
+    rows += [(210 + i, "http://again.org/x%d" % i, page(f"t{i}", body(2), i)) for i in range(10)]
+    rows += [(300 + i, "http://own.org/%d" % i, page("same", again + f"<p>changed {i}</p>", i)) for i in range(3)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all("Read more" not in got[i] and got[i].startswith(f"t{i}\nword") for i in [*range(4), *range(100, 140)])
+    assert all(got[i].count("word0") == 3 for i in range(100, 140))
+    assert all(got[k + i].startswith("same\nthe same") and got[k + i].endswith(f"paragraph 3\nchanged {i}") for k, n in ((200, 4), (300, 3)) for i in range(n))
+    assert all(got[210 + i].count("word") == 2 for i in range(10))
+
+
 def test_tokens_of_broken_markup():
     for text in ("<", "<a", "<a href=\"x>y", "</p></p>", "<p <b>x", "&#0;&bogus;", "<script>never closed <p>x"):
         page_tokens(text)
