@@ -39,6 +39,8 @@ COVERAGE = 0.8
 #: Diagonals at most this far apart are merged.
 GAP = 2
 
+#: Words that a notice's run may span, at most.
+_REACH = 90
 # Words are runs of a-z, 0-9 and characters beyond ASCII.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Gram of the row that stands for the text itself; its place is the number of words.
@@ -92,12 +94,15 @@ def license_scan(
     phrases: dict[str, str] | None = None,
     notices: dict[str, str] | None = None,
     coverage: float = COVERAGE,
+    tell_apart: bool = False,
 ) -> DataFrame:
     """The licence notices of each text, as ``spans``: array of (label, exact, start, end, covered), places
     counted in words from 0, end exclusive; with ``n_words``.
 
     ``phrases`` count where their words stand one after the other; ``notices`` where a run of neighbouring
-    diagonals holds ``coverage`` of their pairs and spans at most half as many words again.
+    diagonals holds ``coverage`` of their pairs and spans at most half as many words again. Notices that differ in
+    less than that are both found at one place; with ``tell_apart`` a notice that is not there in full goes if one
+    with another label overlaps it and is covered as well or better. The registered query does without, as its SQL.
 
     One row per id and text: a repeated row counts once, one id with two texts has two rows. A null id is
     an id of its own. A null text is empty; an empty text has no words and no spans. Texts are read whole.
@@ -147,6 +152,18 @@ def license_scan(
     )
     short = F.col("end") - F.col("start") <= 1.5 * (F.col("n_pairs") + 1)
     whole = F.when(F.col("exact"), F.col("held") == F.col("n_pairs")).otherwise((F.col("covered") >= coverage) & short)
+    if tell_apart:
+        near = Window.partitionBy("id", "copy").orderBy("start").rangeBetween(-_REACH, _REACH)
+        found = F.when(~F.col("exact") & whole, F.struct("label", "start", "end", "covered"))
+        beaten = F.exists(
+            "near",
+            lambda r: (r["label"] != F.col("label"))
+            & (r["start"] < F.col("end"))
+            & (r["end"] > F.col("start"))
+            & (r["covered"] >= F.col("covered")),
+        )
+        runs = runs.withColumn("near", F.collect_list(found).over(near))
+        whole = whole & (F.col("exact") | (F.col("held") == F.col("n_pairs")) | ~beaten)
     span = F.struct(
         F.col("start").cast("long").alias("start"),
         F.col("end").cast("long").alias("end"),

@@ -253,6 +253,21 @@ def test_license_notices(spark, odd_docs, no_docs):
     assert license_scan(no_docs).collect() == []
 
 
+def test_versions_of_a_license_are_told_apart(spark):
+    gpl = "licensed under the GNU General Public License, version"
+    texts = {
+        f"{gpl} 3.": "gpl,gpl-3.0",
+        f"{gpl} 2": "gpl,gpl-2.0",
+        gpl: "gpl",
+        f"{gpl} 2 or {gpl} 3": "gpl,gpl-2.0,gpl-3.0",
+        "Licensed under the Apache (tm) License, Version 2.0!": "apache-2.0",
+        "x": "",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in license_digest(license_scan(df, tell_apart=True)).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 def best_by_itself(scores, word):
     best = [(0.0, 0)]
     for end in range(1, len(word) + 1):
