@@ -14,7 +14,7 @@ from millrace.llm.license_scan import license_digest, license_scan, license_sql
 from millrace.llm.packing import pack
 from millrace.llm.quality_rules import fit_rules, quality_rules
 from millrace.llm.secret_scan import infer_formats, secret_digest, secret_scan
-from millrace.llm.signature_join import similar_documents
+from millrace.llm.signature_join import near_clusters, similar_documents
 from millrace.llm.token_counts import token_counts
 from millrace.tables import table
 
@@ -87,4 +87,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, clusters=near_clusters(docs))

@@ -377,9 +377,15 @@ def _copy(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def row_hash(id_col: str, text_col: str) -> Column:
+    """A hash of a row's id and text."""
+    return F.xxhash64(F.col(id_col), _copy(text_col))
+
+
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each row: id, a hash of the text (copy), the set's size (n) and component_id."""
-    of_row = F.xxhash64(F.col(id_col), _copy(text_col))
+    """For each row: id, a hash of the text (copy), of both (of_row), the set's size (n), component_id, and a hash that
+    names the component (component)."""
+    of_row = row_hash(id_col, text_col)
     each = written(
         add_columns(
             docs, {"id": F.col(id_col), "copy": _copy(text_col), "of_row": of_row}, [raw_text(text_col)], _make_sets, "n bigint, set bigint"
@@ -415,14 +421,27 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .groupBy("component")
         .agg(F.min("least").alias("component_id"))
         .join(joined, "component")
-        .select(F.col("node").alias("set"), "component_id")
+        .select(F.col("node").alias("set"), "component_id", "component")
     )
     named = written(
-        classes.join(groups, "set", "left").select("set", F.coalesce("component_id", "least").alias("component_id")), "named"
+        classes.join(groups, "set", "left").select(
+            "set", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "set").alias("component")
+        ),
+        "named",
     )
     return each.join(named, "set", "left").select(
-        "id", "copy", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")
+        "id", "copy", "of_row", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "component"
+    )
+
+
+def near_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``of_row``, the hash of id and text, and ``cluster`` of the documents that have near duplicates: a row for each
+    id and text. Clusters are the components of :func:`similar_documents`."""
+    rows = written(
+        _linked(docs, id_col, text_col).filter("n > 0").groupBy("of_row").agg(F.min("component").alias("cluster")), "clusters"
     )
+    several = rows.groupBy("cluster").agg(F.count("*").alias("held")).filter("held > 1").select("cluster")
+    return rows.join(several, "cluster", "left_semi").select("of_row", "cluster")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,12 +4,13 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 from oracle import compare, connect
 from millrace.llm.batches import WordHashes
 from millrace.llm.decontaminate import CONTAMINATED_SQL, contaminated, sketch_length, without_leaks
 from millrace.llm.graph import components
-from millrace.llm.packing import best_fit, pack
-from millrace.llm.signature_join import Tree, leaf_pairs, one_of_each, part_keys, search, shingles, similar_documents, spare
+from millrace.llm.packing import _bits, best_fit, pack
+from millrace.llm.signature_join import Tree, leaf_pairs, near_clusters, one_of_each, part_keys, search, shingles, similar_documents, spare
 from millrace.tables import table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -226,6 +227,42 @@ def test_best_fit_takes_the_tightest_compatible_bin():
         assert want[0] == (capacity - sizes[0], 0)
 
 
+def test_many_sources_share_no_conflict():
+    """Tightest compatible bins by the ids themselves, with more sources and clusters than bits."""
+    draw = np.random.default_rng(2)
+    n, capacity = 600, 300
+    sizes = np.sort(draw.integers(1, 60, n))[::-1]
+    sources, clusters = draw.integers(0, 150, n), draw.integers(0, 260, n)
+    bits = _bits(pd.Series(sources), 32), _bits(pd.Series(clusters), 32)
+    bins, _ = best_fit(sizes, *bits, capacity, sources, clusters, 32)
+    want, made = naive_best_fit(sizes.tolist(), [1 << int(x) for x in sources], [1 << int(x) for x in clusters], capacity)
+    assert abs(len(set(bins)) - made) <= 0.02 * made
+    for b in set(bins):
+        at = np.flatnonzero(bins == b)
+        assert sizes[at].sum() <= capacity and len(set(sources[at])) == len(set(clusters[at])) == len(at)
+    once = pd.Series(np.arange(200))
+    bins, offsets = best_fit(np.ones(200, np.int64), _bits(once, 32), _bits(once, 32), 1000, np.arange(200), np.arange(200), 32)
+    assert set(bins) == {0} and sorted(offsets) == list(range(200))
+    # Two of each source, so that no bit is left out.
+    twice = pd.Series(np.repeat(np.arange(200), 2))
+    bins, _ = best_fit(np.ones(400, np.int64), _bits(twice, 32), _bits(twice, 32), 1000, twice.to_numpy(), twice.to_numpy(), 32)
+    assert Counter(bins) == {0: 200, 1: 200}
+
+
+def test_near_copies_share_no_bin(spark, odd_docs):
+    draw = random.Random(8)
+    sentence = lambda: [f"w{draw.randrange(10**9)}" for _ in range(60)]
+    base = sentence()
+    rows = [(i, " ".join([*base[:10], f"changed{i}", *base[11:]]), "en", f"s{i}", 0) for i in range(4)]
+    rows += [(10 + i, " ".join(sentence()), "en", f"t{i}", 0) for i in range(4)]
+    docs = spark.createDataFrame(rows, odd_docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    bins = {r.doc_id: r.bin_id for r in pack(docs, capacity=1000, clusters=near_clusters(docs)).collect()}
+    assert len({bins[i] for i in range(4)}) == 4 and len({bins[10 + i] for i in range(4)}) == 1
+    # Repeated rows, null ids and texts without words.
+    some = odd_docs.select("doc_id", "text", "source")
+    assert len(pack(some, capacity=100_000, clusters=near_clusters(some)).collect()) == odd_docs.count()
+
+
 def test_pack_keeps_every_word(odd_docs, no_docs):
     rows = pack(odd_docs, capacity=100, shard=4).collect()
     words = Counter()
