@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import boosting, factorization
 from millrace.llm.automata import classes, infer
+from millrace.llm.labelled import labelled_sample
 from millrace.llm.license_scan import license_digest, license_scan, license_sql
 from millrace.llm.quality_rules import fit_rules, keep_good, quality_rules
 from millrace.llm.secret_scan import (
@@ -201,6 +202,19 @@ def test_automata_learn_formats():
     assert classes("a9Zg-") == "a0Zz-"
 
 
+def test_labelled_sample_has_one_row_of_an_id(spark):
+    rows = [(1, "hot", 3)] * 500 + [(1, "other", 5), (1, "other", None), (1, None, 1), (2, "b", 1), (3, "c", 1), (4, "d", 1), (None, "e", 1)]
+    docs = spark.createDataFrame(rows, "id bigint, raw string, length bigint")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (4, 1), (9, 1)], "doc_id bigint, quality int")
+    got = labelled_sample(docs, labels, "quality", 10).collect()
+    assert sorted((r.id, r.y) for r in got) == [(1, 1), (2, 0), (4, 1)]
+    assert all((r.id, r.raw, r.length) in rows for r in got)
+    # The same one however the rows are dealt.
+    again = labelled_sample(docs.repartition(7), labels, "quality", 10).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got)) and got[0].__fields__ == ["id", "raw", "length", "y"]
+    assert len(labelled_sample(docs, labels, "quality", 2).collect()) <= 2
+
+
 def test_redaction_keeps_documents(spark, odd_docs):
     extra = spark.createDataFrame([(50, "token = abcdefgh1234 é", "en", "a", 3)], odd_docs.schema.simpleString()[7:-1].split(",id:")[0])
     docs = odd_docs.select(extra.columns).union(extra)
