@@ -1,4 +1,5 @@
-"""Near-duplicate documents: every pair of word-shingle sets with a Jaccard similarity of 80 % or more.
+"""Near-duplicate documents: components of word-shingle sets with a Jaccard similarity of 80 % or more. Links tell what
+is connected; they are not all similar pairs.
 
 Equal sets are one class. Classes meet by keys that lose no pair: a set's shingles are dealt by their hashes into
 parts, and two similar sets differ in so few shingles that enough parts must be equal in both. Classes with the same
