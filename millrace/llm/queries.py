@@ -15,6 +15,7 @@ from millrace.llm.packing import pack
 from millrace.llm.quality_rules import fit_rules, quality_rules
 from millrace.llm.secret_scan import infer_formats, secret_digest, secret_scan
 from millrace.llm.signature_join import near_clusters, similar_documents
+from millrace.llm.simhash import near_fingerprints
 from millrace.llm.token_counts import token_counts
 from millrace.tables import table
 
@@ -89,3 +90,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pack(docs, clusters=near_clusters(docs))
+
+
+@_query("op11_simhash_near_dedup")
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_fingerprints(table(spark, sf_dir, "documents"))
