@@ -17,6 +17,7 @@ from millrace.llm.secret_scan import infer_formats, secret_digest, secret_scan
 from millrace.llm.signature_join import near_clusters, similar_documents
 from millrace.llm.simhash import near_fingerprints
 from millrace.llm.token_counts import token_counts
+from millrace.llm.turn_repair import damaged, repair_digest
 from millrace.tables import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +96,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op11_simhash_near_dedup")
 def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@_query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair_digest(damaged(turns), turns)
