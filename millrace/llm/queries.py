@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.collocations import COLLOCATIONS_SQL, collocations
 from millrace.llm.decontaminate import CONTAMINATED_SQL, contaminated
 from millrace.llm.factorization import fit_machine, learnable, quality_scores, score_digest
 from millrace.llm.html_extract import extract_text
@@ -102,3 +103,8 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return repair_digest(damaged(turns), turns)
+
+
+@_query("op13_phrase_collocations", COLLOCATIONS_SQL)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
