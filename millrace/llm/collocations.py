@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.batches import REMEMBERED, mixed, raw_text
+from millrace.llm.batches import REMEMBERED, ROWS, mixed, raw_text
 from millrace.llm.graph import written
 from millrace.plans.spread import spread_join
 
@@ -66,6 +66,14 @@ def word_hash(lang: str, word: bytes, seed: int) -> int:
     return xxhash.xxh64_intdigest(lang.encode() + b"\0" + word, seed) or 1
 
 
+def _some(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[str]]]:
+    """Texts and languages, ``ROWS`` at a time: what a task makes of texts takes several times their room."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            part = batch.slice(start, ROWS)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+
+
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 
@@ -90,8 +98,8 @@ def _counted_words(seed: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[p
             ]
             return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "h", "n"])
 
-        for batch in batches:
-            for raw, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for texts, names in _some(batches):
+            for raw, lang in zip(texts, names):
                 words = counts.setdefault(lang, Counter())
                 words.update(tokens(raw))
                 del words[_BREAK]
@@ -158,11 +166,11 @@ class FrequentHashes(dict):
 
 
 def _streams(batches: Iterable[pa.RecordBatch], seed: int, frequent: Bitmap) -> Iterator[np.ndarray]:
-    """The hashes of a batch of texts one after the other, with a zero where no phrase goes on."""
+    """The hashes of some texts one after the other, with a zero where no phrase goes on."""
     langs: dict[str, FrequentHashes] = {}
-    for batch in batches:
+    for texts, names in _some(batches):
         out = []
-        for raw, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for raw, lang in zip(texts, names):
             if sum(map(len, langs.values())) >= REMEMBERED:
                 langs.clear()
             known = langs.get(lang)
@@ -171,7 +179,7 @@ def _streams(batches: Iterable[pa.RecordBatch], seed: int, frequent: Bitmap) ->
             words = tokens(raw)
             words.append(_BREAK)
             out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        yield np.concatenate(out) if out else np.empty(0, np.uint64)
+        yield np.concatenate(out)
 
 
 def combined(columns: list[np.ndarray], weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
