@@ -26,7 +26,6 @@ from pyspark.sql.window import Window
 
 from millrace.llm.batches import REMEMBERED, ROWS, mixed, raw_text
 from millrace.llm.graph import written
-from millrace.plans.spread import spread_join
 
 LEAST = 30
 DEPTH = 4
@@ -124,7 +123,12 @@ class Bitmap:
     """Which hashes may be members: one bit for each hash's leading bits."""
 
     def __init__(self, bits: np.ndarray, size: int) -> None:
-        self.bits, self.shift = bits, np.uint64(64 - size.bit_length() + 1)
+        self.bits, self.raw = bits, bits.tobytes()
+        self.shift = np.uint64(64 - size.bit_length() + 1)
+
+    def holds_one(self, hashed: int) -> int:
+        at = hashed >> int(self.shift)
+        return self.raw[at >> 3] >> (at & 7) & 1
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes >> self.shift
@@ -156,12 +160,12 @@ class FrequentHashes(dict):
     """Words of one language to their hashes; zero for those that are surely not frequent."""
 
     def __init__(self, lang: str, seed: int, frequent: Bitmap) -> None:
-        self.lang, self.seed, self.frequent = lang, seed, frequent
+        self.lang, self.seed, self.holds = lang, seed, frequent.holds_one
         self[_BREAK] = 0
 
     def __missing__(self, word: bytes) -> int:
         found = word_hash(self.lang, word, self.seed)
-        self[word] = found = found if self.frequent.holds(np.array([found], np.uint64))[0] else 0
+        self[word] = found = found if self.holds(found) else 0
         return found
 
 
@@ -182,15 +186,23 @@ def _streams(batches: Iterable[pa.RecordBatch], seed: int, frequent: Bitmap) ->
         yield np.concatenate(out)
 
 
-def combined(columns: list[np.ndarray], weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows in order of ``columns``, and how often each stands there."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.ones(len(order), bool)
+def runs(columns: list[np.ndarray], weights: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal neighbouring rows as one, with the sum of their weights."""
+    if not len(weights):
+        return columns, weights
+    new = np.ones(len(weights), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
     first = np.nonzero(new)[0]
-    weights = np.ones(len(order), np.int64) if weights is None else weights[order]
-    return [c[first] for c in columns], np.add.reduceat(weights, first) if len(first) else weights[:0]
+    return [c[first] for c in columns], np.add.reduceat(weights, first)
+
+
+def combined(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows and how often each stands there. Sorted by one hash: where two rows share it, one may come back in parts."""
+    hashed = columns[0]
+    for column in columns[1:]:
+        hashed = mixed(hashed * _FACTOR + column)
+    order = np.argsort(hashed)
+    return runs([c[order] for c in columns], np.ones(len(order), np.int64))
 
 
 def _combined_batches(parts: Iterable[list[np.ndarray]], names: list[str], extra=None) -> Iterator[pa.RecordBatch]:
@@ -227,10 +239,16 @@ def count_pairs(texts: DataFrame, seed: int, frequent: Bitmap, least: int) -> Da
                 at = np.nonzero((a[:-1] > 0) & (a[1:] > 0))[0]
                 yield [a[at], a[at + 1]]
 
-        yield from _combined_batches(pairs(), ["h1", "h2", "n", "p"], lambda c: pair_hash(*c).view(np.int64))
+        yield from _combined_batches(pairs(), ["h1", "h2", "n"])
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = _signed(pair_hash(_unsigned(batch.column(0)), _unsigned(batch.column(1))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, p], names=["h1", "h2", "n", "p"])
 
-    rows = texts.mapInArrow(run, "h1 bigint, h2 bigint, n bigint, p bigint")
-    return written(rows.groupBy("h1", "h2", "p").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "pairs")
+    rows = texts.mapInArrow(run, "h1 bigint, h2 bigint, n bigint")
+    often = rows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return written(often.mapInArrow(hashed, "h1 bigint, h2 bigint, n bigint, p bigint"), "pairs")
 
 
 class Groups:
@@ -300,8 +318,8 @@ def _suffixes(texts: DataFrame, seed: int, frequent: Bitmap, pairs: Bitmap, grou
 def subtree_counts(columns: list[np.ndarray], n: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Nodes of three and four words of the subtrees of sorted suffixes, with at least ``least`` places. A node of three
     words sums its leaves, the one that ends there included, whose fourth word is zero."""
-    leaves, leaf = combined(columns, n)
-    inner, total = combined(leaves[:3], leaf)
+    leaves, leaf = runs(columns, n)
+    inner, total = runs(leaves[:3], leaf)
     full = (leaf >= least) & (leaves[3] > 0)
     often = total >= least
     nodes = [np.concatenate((c[full], i[often])) for c, i in zip(leaves, [*inner, np.zeros(len(total), np.uint64)])]
@@ -326,7 +344,7 @@ def _subtrees(least: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
             last = np.logical_and.reduce([c == c[-1] for c in columns[:3]])
             yield nodes([c[~last] for c in columns], count[~last])
             # Equal leaves are added up, so that what waits are distinct fourth words.
-            held, count = combined([c[last] for c in columns], count[last])
+            held, count = runs([c[last] for c in columns], count[last])
         yield nodes(held, count)
 
     return run
@@ -390,8 +408,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     single = words.filter(F.col("n") >= least).select(F.col("h").alias("h1"), *[zero.alias(h) for h in _H[1:]], "n")
     counts = single.unionByName(phrases).select(F.struct(*_H).alias("phrase"), "n")
     cuts = phrases.select(F.struct(*_H).alias("phrase"), F.col("n").alias("a"), F.explode(_cuts()).alias("cut")).select("phrase", "a", "cut.*")
-    cuts = spread_join(cuts, counts.select(F.col("phrase").alias("left"), F.col("n").alias("l")), ["left"], ["phrase"], how="inner")
-    cuts = spread_join(cuts, counts.select(F.col("phrase").alias("right"), F.col("n").alias("r")), ["right"], ["phrase"], how="inner")
+    # These tables hold distinct phrases, not places; a word that very many of them begin or end with is left to adaptive skew joins.
+    cuts = cuts.join(counts.select(F.col("phrase").alias("left"), F.col("n").alias("l")), "left")
+    cuts = cuts.join(counts.select(F.col("phrase").alias("right"), F.col("n").alias("r")), "right")
     exact = "(CAST({0} AS DECIMAL(7,0)) * CAST(a AS DECIMAL(19,0))) DIV (CAST(l AS DECIMAL(19,0)) + CAST(r AS DECIMAL(19,0)))"
     scored = cuts.withColumn("score", F.expr(exact.format(SCALE)).cast("bigint"))
     best = scored.groupBy("phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best")).select("phrase", "a", "best.*")
@@ -402,7 +421,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     first = names.select(F.col("h").alias("h1"), "lang", F.col("word").alias("w1"))
     # Ties with the last place stay until the phrases are spelled out.
     by_score = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc())
-    near = spread_join(kept, first, ["h1"], ["h2", "h3", "h4"], how="inner").withColumn("rank", F.rank().over(by_score)).filter(F.col("rank") <= top)
+    near = kept.join(first, "h1").withColumn("rank", F.rank().over(by_score)).filter(F.col("rank") <= top)
     for i, h in enumerate(_H[1:], 2):
         near = near.join(names.select(F.col("h").alias(h), F.col("word").alias(f"w{i}")), h, "left")
     spelled = near.withColumn("phrase", F.concat_ws(" ", *[f"w{i}" for i in range(1, DEPTH + 1)]))

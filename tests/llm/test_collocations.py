@@ -101,7 +101,8 @@ def test_counts_of_subtrees():
     rows = [tuple(int(x) for x in draw.integers(1, 4, 3)) + (int(draw.integers(0, 3)),) for _ in range(500)]
     columns = [np.array(c, np.uint64) for c in zip(*rows)]
     distinct, n = combined(columns)
-    nodes, total = subtree_counts(distinct, n, 5)
+    order = np.lexsort(distinct[::-1])
+    nodes, total = subtree_counts([c[order] for c in distinct], n[order], 5)
     want = Counter(r for r in rows if r[3]) + Counter((*r[:3], 0) for r in rows)
     assert dict(zip(zip(*[c.tolist() for c in nodes]), total.tolist())) == {k: v for k, v in want.items() if v >= 5}
 
