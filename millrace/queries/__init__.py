@@ -9,6 +9,7 @@ from millrace.queries import (
     scalars,
     sources,
     streams,
+    temporal,
     text,
 )
 from millrace.queries.registry import BUILDS, SQL
@@ -24,5 +25,6 @@ __all__ = [
     "scalars",
     "sources",
     "streams",
+    "temporal",
     "text",
 ]
