@@ -17,9 +17,12 @@ from millrace.operators.aggregates import (
     recovery_summary,
     sum_mapped,
 )
+from millrace.operators.sketches import DISTINCT_ERROR, FREQUENT, QUANTILE_ERROR, estimates, merge_sketches, sketch
 from millrace.operators.words import tokenize, top_word, word_count
 from millrace.queries.registry import query
 from millrace.queries.scalars import DOCUMENT_WORDS
+from millrace.scratch import scratch_path
+from millrace.sources.deltas import Deltas
 from millrace.tables import table
 
 WORD_COUNT_SQL = f"SELECT word, count(*) AS word_count FROM ({DOCUMENT_WORDS}) GROUP BY word"
@@ -178,3 +181,36 @@ def recovery_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def next_session_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = table(spark, sf_dir, "events").agg((F.max("event_id") + 3_000_000_000).alias("nextSessionId"))
     return next_id(used.select(F.to_json(F.struct("nextSessionId")).alias("doc")), "doc")
+
+
+@query(
+    "sketched_types",
+    """
+    SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS users, true AS users_ok, true AS median_ok, true AS frequent_ok
+    FROM events GROUP BY event_type
+    """,
+)
+def sketched_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of two batches, stored and merged, held against exact figures: whether each lies within its stated error (four
+    standard deviations of the distinct count, twice the 99 % bound of the quantile)."""
+    events, keys = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value"), ["event_type"]
+
+    def states(rows: DataFrame) -> DataFrame:
+        return sketch(rows, keys, {"user": "user_id"}, {"value": "value"}, {"user": "user_id"})
+
+    stored = Deltas(spark, scratch_path(spark, "sketches"), states(events).schema, lambda s: merge_sketches(s, keys))
+    for batch in range(2):
+        stored.put(batch, states(events.filter(F.col("event_id") % 2 == batch)))
+    told = estimates(stored.total(), keys, top=1)
+    per_user = events.groupBy(*keys, "user_id").agg(F.count(F.lit(1)).alias("n"))
+    exact = per_user.groupBy(*keys).agg(F.count(F.lit(1)).alias("users"), F.max("n").alias("most"))
+    middle = told.select(*keys, F.col("value_quantiles")[0].alias("middle"))
+    below = events.join(middle, keys).groupBy(*keys).agg(F.avg((F.col("value") <= F.col("middle")).cast("int")).alias("share"))
+    return told.join(exact, keys).join(below, keys).select(
+        *keys,
+        "rows",
+        "users",
+        (F.abs(F.col("user_distinct") - F.col("users")) <= 4 * DISTINCT_ERROR * F.col("users")).alias("users_ok"),
+        (F.abs(F.col("share") - 0.5) <= 2 * QUANTILE_ERROR).alias("median_ok"),
+        (F.abs(F.col("user_frequent")[0]["count"] - F.col("most")) <= F.col("rows") / FREQUENT).alias("frequent_ok"),
+    )
