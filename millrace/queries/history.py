@@ -47,7 +47,7 @@ def _case(mapping: Mapping[str, str]) -> str:
     return f"CASE event_type {whens} END"
 
 
-def _odd_case(mapping: Mapping[str, str]) -> str:
+def odd_case(mapping: Mapping[str, str]) -> str:
     return f"CASE WHEN event_id % 7 <> 3 THEN {_case(mapping)} END"
 
 
@@ -75,7 +75,7 @@ def statement_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     "transition_check",
     f"""
     WITH h AS (
-        SELECT event_id, user_id, {_odd_case(ODD_STATEMENT)} AS state, ts FROM events),
+        SELECT event_id, user_id, {odd_case(ODD_STATEMENT)} AS state, ts FROM events),
     steps AS (
         SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state FROM h
         WHERE state IS NOT NULL)
@@ -112,7 +112,7 @@ def job_state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     "session_state_fold",
     f"""
     WITH h AS (
-        SELECT * FROM (SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day, {_odd_case(ODD_SESSION)} AS state
+        SELECT * FROM (SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day, {odd_case(ODD_SESSION)} AS state
             FROM events) WHERE state IN ('idle', 'busy', 'success', 'error')),
     e AS (
         SELECT *, coalesce(max(CASE WHEN state = 'success' THEN 1 ELSE 0 END)

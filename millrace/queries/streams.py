@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.codes import map_codes
 from millrace.operators.words import word_count
 from millrace.queries.aggregates import TOP_WORD_SQL, WORD_COUNT_SQL
-from millrace.queries.history import SPANS_SQL
+from millrace.queries.history import ODD_SESSION, SPANS_SQL, odd_case
 from millrace.queries.registry import query
 from millrace.scratch import scratch_path
 from millrace.sources.json import json_scan
 from millrace.streaming.heartbeats import expire_stream
+from millrace.streaming.states import run_states, session_states
 from millrace.streaming.windows import LateWindows, run_to_files, running_word_counts, within
 from millrace.streaming.words import WORD_SCHEMA, filter_stream, ingest_words, run_word_app
 from millrace.tables import table, table_stream
@@ -150,3 +152,32 @@ def late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that arrive after all their windows have closed."""
     return _late_windows(spark, sf_dir).late().select("event_id", "event_type", "ts")
+
+
+@query(
+    "stream_session_states",
+    f"""
+    WITH h AS (
+        SELECT * FROM (SELECT event_id, user_id, ts, {odd_case(ODD_SESSION)} AS state FROM events)
+        WHERE state IN ('idle', 'busy', 'success', 'error')),
+    e AS (
+        SELECT *, coalesce(max(CASE WHEN state = 'success' THEN 1 ELSE 0 END)
+            OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM h),
+    c AS (
+        SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'starting') AS before
+        FROM e WHERE state = 'success' OR ended = 0)
+    SELECT user_id, ts, event_id AS id, state, false AS late FROM c WHERE state <> before
+    """,
+)
+def stream_session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session fold as a stream that keeps a state for each user."""
+    work = scratch_path(spark, "states")
+    rows = table_stream(spark, sf_dir, "events").select(
+        "event_id",
+        "user_id",
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("event_id") % 7 != 3, map_codes(F.col("event_type"), ODD_SESSION)).alias("state"),
+    )
+    changes = session_states(rows, "user_id", "ts", "event_id")
+    run_states(changes, f"{work}/changes", f"{work}/checkpoint")
+    return spark.read.schema(changes.schema).parquet(f"{work}/changes").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
