@@ -3,6 +3,7 @@
 from millrace.queries import (
     aggregates,
     history,
+    layouts,
     merge,
     paging,
     render,
@@ -19,6 +20,7 @@ __all__ = [
     "SQL",
     "aggregates",
     "history",
+    "layouts",
     "merge",
     "paging",
     "render",
