@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.automata import Automaton, classes, infer
+from millrace.llm.automata import Automaton, infer
 from millrace.llm.batches import add_columns, raw_text
 
 # Kinds in the order of spans that start together, and their patterns.
@@ -29,8 +30,12 @@ _DIGIT = re.compile(r"[0-9]")
 
 #: Credentials of each kind, and ordinary strings, that the automata are inferred from, at most.
 SAMPLE = 500
+#: Longer strings are not learnt from; they are scored like any others.
+LONGEST = 512
 #: Natural logarithm by which a character must be likelier in a credential than in an ordinary string.
 MARGIN = 0.35
+#: Shares of credentials between which a string is as likely as they are.
+TYPICAL = (0.01, 0.99)
 
 _SPANS = "spans array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
@@ -81,7 +86,7 @@ def infer_formats(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text")
         return strings
 
     found = add_columns(docs, {}, [raw_text(text_col)], make, "strings array<struct<kind:string,value:string>>")
-    each = found.select(F.inline("strings")).filter(F.length("value") <= 256).distinct().withColumn("h", F.xxhash64("value"))
+    each = found.select(F.inline("strings")).filter(F.length("value") <= LONGEST).distinct().withColumn("h", F.xxhash64("value"))
     # First the smallest of each of 64 parts, so that a frequent kind is not sorted in one task.
     for keys in (["kind", F.pmod("h", F.lit(64))], ["kind"]):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "value"))
@@ -90,15 +95,23 @@ def infer_formats(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text")
     for row in each.collect():
         chosen[row.kind].append(row.value)
     plain = chosen.pop("ordinary")
-    return Formats({kind: infer(values) for kind, values in chosen.items() if values}, infer(plain) if plain else None)
+    secret = {kind: infer(values) for kind, values in chosen.items() if values}
+    # Credentials without a name are among the ordinary strings, so those that are as likely as credentials are do not count.
+    for kind, automaton in secret.items():
+        low, high = np.quantile([mean_likelihood(automaton, x) for x in chosen[kind]], TYPICAL)
+        plain = [x for x in plain if not low <= mean_likelihood(automaton, x) <= high]
+    return Formats(secret, infer(plain) if plain else None)
+
+
+def mean_likelihood(automaton: Automaton, value: str) -> float:
+    return automaton.log_likelihood(value) / len(value)
 
 
 def format_score(formats: Formats, value: str) -> float:
     """By how much a character of ``value`` is likelier under the best credential automaton than in ordinary
     strings, as a mean over its characters."""
-    symbols = classes(value)
-    plain = formats.ordinary.log_likelihood(symbols) if formats.ordinary else -2.0 * len(symbols)
-    return max((a.log_likelihood(symbols) - plain) / len(symbols) for a in formats.secret.values())
+    plain = formats.ordinary.log_likelihood(value) if formats.ordinary else -2.0 * len(value)
+    return max((a.log_likelihood(value) - plain) / len(value) for a in formats.secret.values())
 
 
 def secret_spans(text: str, formats: Formats, margin: float = MARGIN) -> list[tuple[str, int, int, float]]:
@@ -145,7 +158,8 @@ def redact_secrets(
     length_col: str = "n_chars",
 ) -> DataFrame:
     """``docs`` with every secret in its text replaced by ``mark`` and the length column set to the new text's
-    code points. Rows without secrets stay as they are, null texts too. One pass, nothing is shuffled."""
+    code points. Rows without secrets stay as they are, null texts too; repeated rows are each cleaned, an empty table gives an
+    empty one, and other columns are carried along whatever their names. One pass, nothing is shuffled."""
 
     def make():
         def clean(texts: list[bytes]) -> list:

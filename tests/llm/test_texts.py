@@ -202,6 +202,67 @@ def test_automata_learn_formats():
     assert classes("a9Zg-") == "a0Zz-"
 
 
+def formats_of(draw):
+    """Well-known shapes of credentials, and ordinary strings of the same lengths, as functions."""
+    some = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    every = small + small.upper() + digits
+    secrets = [
+        lambda: "sk-live-" + some(every, 24),
+        lambda: f"xoxb-{some(digits, 11)}-{some(every, 24)}",
+        lambda: "ghp_" + some(every, 36),
+        lambda: some("0123456789abcdef", 20),
+        lambda: "eyJhbGciOi" + some(every + "-_", 30) + "." + some(every + "-_", draw.randint(60, 90)) + "." + some(every + "-_", 43),
+    ]
+    word = lambda: some(small, draw.randint(2, 9))
+    ordinary = [
+        lambda: f"src/main/{word()}/{word()}{draw.randint(1, 99)}.java",
+        lambda: f"{word()}-{word()}-{draw.randint(0, 20)}.{draw.randint(0, 20)}.{draw.randint(0, 20)}-beta",
+        lambda: f"mail{draw.randint(1, 9)}.{word()}example.com",
+        lambda: some(digits, 16),
+        lambda: f"20{some(digits, 2)}-{some(digits, 2)}-{some(digits, 2)}T{some(digits, 2)}-{some(digits, 2)}-{some(digits, 2)}",
+        lambda: f"{word().title()}{word().title()}{word().title()}Controller{draw.randint(1, 9)}",
+    ]
+    return secrets, ordinary
+
+
+def test_hidden_credentials_are_found_by_their_format(spark):
+    """Formats are learnt where a name stands before them, and found where none does."""
+    draw = random.Random(12)
+    secrets, ordinary = formats_of(draw)
+    rows, want, clean = [], {}, 0
+    for i in range(1200):
+        before = "we wrote "
+        if i % 4 == 0:
+            rows.append((i, f'{before} password = "{draw.choice(secrets)()}" there'))
+        elif i % 4 == 1:
+            value = draw.choice(secrets)()
+            want[i] = f"format:{len(before)}:{len(before) + len(value)}"
+            rows.append((i, f"{before}{value} there"))
+        else:
+            clean += 1
+            rows.append((i, f"{before}{draw.choice(ordinary)()} there"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    formats = infer_formats(docs)
+    assert sum(len(a.steps) for a in formats.secret.values()) > 50 and len(formats.ordinary.steps) > 20
+    got = {r.doc_id: r.spans for r in secret_digest(secret_scan(docs, formats)).collect()}
+    found = sum(got[i] == spans for i, spans in want.items())
+    false = sum("format" in got[i] for i in got if i % 4 > 1)
+    assert found >= 0.9 * len(want) and false <= 0.01 * clean, (found, len(want), false, clean)
+
+
+def test_an_automaton_knows_lengths_and_beginnings():
+    draw = random.Random(3)
+    code = lambda n: "".join(draw.choice("0123456789abcdefghijkXYZ") for _ in range(n))
+    learnt = infer([code(100) for _ in range(300)])
+    assert len(learnt.steps) > 90
+    typical = {n: np.mean([learnt.log_likelihood(code(n)) for _ in range(200)]) for n in (99, 100, 101, 140)}
+    assert all(typical[n] < typical[100] - 3 for n in (99, 101, 140)), typical
+    headed = infer(["tok_" + code(30) for _ in range(100)])
+    assert headed.heads == ["tok_"]
+    assert headed.log_likelihood("tok_" + code(30)) > headed.log_likelihood("tik_" + code(30)) + 3
+
+
 def test_labelled_sample_has_one_row_of_an_id(spark):
     rows = [(1, "hot", 3)] * 500 + [(1, "other", 5), (1, "other", None), (1, None, 1), (2, "b", 1), (3, "c", 1), (4, "d", 1), (None, "e", 1)]
     docs = spark.createDataFrame(rows, "id bigint, raw string, length bigint")
