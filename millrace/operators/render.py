@@ -102,19 +102,32 @@ def is_uniform(json_text: Column) -> Column:
     """Whether all elements of a JSON array, or all values of an object, have one type tag, also in collections
     inside it, however deep; empty collections, scalars and null are uniform, and a null beside a value is not.
 
-    Expressions have a fixed depth, so the texts go to a batch function that walks them with a stack of its own.
+    Text that is no JSON gives null; a null text is uniform. Expressions have a fixed depth, so the
+    texts go to a batch function that walks them with a stack of its own; texts nested deeper than the parser of the
+    standard library goes are read token by token.
     """
 
     @F.pandas_udf("boolean")
     def uniform(texts: pd.Series) -> pd.Series:
         import json
+        import re
+
+        token = re.compile(
+            r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\.)*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null)|([\[\]{}:,]))'
+        )
+        after = {"[": ("value", "]"), "{": ("key", "}")}
 
         def whole(digits: str) -> int | float:
             number = int(digits)
             return number if -(2**63) <= number < 2**63 else float(digits)
 
-        def one_type(text: str) -> bool:
-            todo = [json.loads(text, parse_int=whole)]
+        def one_type(text: str) -> bool | None:
+            try:
+                todo = [json.loads(text, parse_int=whole)]
+            except RecursionError:
+                return by_tokens(text)
+            except ValueError:
+                return None
             while todo:
                 value = todo.pop()
                 items = value if type(value) is list else list(value.values()) if type(value) is dict else ()
@@ -124,13 +137,46 @@ def is_uniform(json_text: Column) -> Column:
                     todo += items
             return True
 
-        return texts.map(lambda text: text is None or one_type(text)).astype(bool)
+        def by_tokens(text: str) -> bool | None:
+            # What may come next, and for each open collection its bracket, its elements' types by key or place, and the key.
+            text = text.rstrip(" \t\n\r")
+            at, wanted, opened, alike = 0, {"value"}, [], True
+            while at < len(text):
+                found = token.match(text, at)
+                if found is None:
+                    return None
+                at = found.end()
+                string, number, word, mark = found.groups()
+                if string is not None and "key" in wanted:
+                    opened[-1][2] = json.loads(string)
+                    wanted = {":"}
+                    continue
+                if mark in (":", ",") and mark in wanted:
+                    wanted = {"value"} if mark == ":" or opened[-1][0] == "[" else {"key"}
+                    continue
+                if mark in ("]", "}") and mark in wanted:
+                    alike &= len(set(opened.pop()[1].values())) <= 1
+                elif "value" not in wanted or mark in ("]", "}", ":", ","):
+                    return None
+                else:
+                    kind = str if string is not None else mark if mark is not None else type(json.loads(word or number, parse_int=whole))
+                    if opened:
+                        held = opened[-1]
+                        held[1][held[2] if held[0] == "{" else len(held[1])] = kind
+                    if mark is not None:
+                        opened.append([mark, {}, None])
+                        wanted = set(after[mark])
+                        continue
+                wanted = {",", after[opened[-1][0]][1]} if opened else set()
+            return None if opened or wanted else alike
+
+        return pd.Series([text is None or one_type(text) for text in texts], dtype="boolean")
 
     return uniform(json_text)
 
 
 def collection_uniformity(df: DataFrame, json_col: str, *keep: str) -> DataFrame:
-    """``keep..., uniform`` for a column of JSON values."""
+    """``keep..., uniform`` for a column of JSON values; null where the text is no JSON."""
     return df.select(*keep, is_uniform(F.col(json_col)).alias("uniform"))
 
 

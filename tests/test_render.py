@@ -135,3 +135,28 @@ def test_rendered_table(spark):
     assert rendered(spark, {"a": None}, {"a": None}, strict=True)["data"] == [[None], [None]]
     assert rendered(spark, {"a": 1}, {"a": "x"}, n=1)["data"] == [[1]]
     assert rendered(spark, {}, []) == {"headers": [], "data": [[], []]}
+
+
+def test_uniformity_of_malformed_and_very_deep_texts(spark):
+    deep = 50_000
+    cases = {
+        "[" * deep + "]" * deep: True,
+        "[" * deep + '1, "a"' + "]" * deep: False,
+        '{"a":' * deep + "1" + "}" * deep: True,
+        '{"a":' * deep + '{"x": 1, "x": true, "y": false}' + "}" * deep: True,
+        '{"a":' * deep + '{"x": 1, "y": 2.5}' + "}" * deep: False,
+        "[" * deep + '"]\\"", ' + '"é"' + "]" * deep + " \n": True,
+        "[" * deep + "123456789012345678901, 1.5" + "]" * deep: True,
+        "[" * deep + "]" * (deep - 1): None,
+        "[" * deep + "]" * (deep + 1): None,
+        "[" * deep + "1 2" + "]" * deep: None,
+        "[" * deep + "1," + "]" * deep: None,
+        "[" * deep + "{1: 2}" + "]" * deep: None,
+        "[1, 2": None,
+        "nonsense": None,
+        "": None,
+        "[1, 2]": True,
+    }
+    rows = spark.createDataFrame([(i, text) for i, text in enumerate(cases)] + [(99, None)], "i int, text string")
+    got = dict(map(tuple, collection_uniformity(rows, "text", "i").collect()))
+    assert got == {**dict(enumerate(cases.values())), 99: True}
