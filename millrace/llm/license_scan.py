@@ -2,8 +2,8 @@
 
 Every rolling pair of words of a text is joined to the places of that pair in the templates. A hit at word
 ``i`` of the text and word ``j`` of a template votes for the diagonal ``i - j``. Votes are summed by diagonal,
-diagonals that lie next to each other (words put in or left out) are merged, and a merged run counts when it
-covers enough of its template within a span of about the template's length.
+diagonals that lie next to each other (words put in or left out) are merged, and a merged run counts when its best
+window, of about the template's length, covers enough of the template.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ NOTICES = {
 COVERAGE = 0.8
 #: Diagonals at most this far apart are merged.
 GAP = 2
+#: Words that a window of a run may span, as a multiple of the notice's words.
+STRETCH = 1.5
 
 #: Words that a notice's run may span, at most.
 _REACH = 90
@@ -94,29 +96,34 @@ def license_scan(
     phrases: dict[str, str] | None = None,
     notices: dict[str, str] | None = None,
     coverage: float = COVERAGE,
-    tell_apart: bool = False,
+    tell_apart: bool = True,
 ) -> DataFrame:
     """The licence notices of each text, as ``spans``: array of (label, exact, start, end, covered), places
     counted in words from 0, end exclusive; with ``n_words``.
 
-    ``phrases`` count where their words stand one after the other; ``notices`` where a run of neighbouring
-    diagonals holds ``coverage`` of their pairs and spans at most half as many words again. Notices that differ in
-    less than that are both found at one place; with ``tell_apart`` a notice that is not there in full goes if one
-    with another label overlaps it and is covered as well or better. The registered query does without, as its SQL.
+    ``phrases`` count where their words stand one after the other; ``notices`` where diagonals of a run of neighbouring
+    ones, that lie within half as many words again as the notice has, hold ``coverage`` of its pairs. Of a run the best
+    covered window is given, of these the first, so a notice that is there in full is always found. Notices that
+    differ in less than ``coverage`` are both found at one place; with ``tell_apart`` one that is not there in full goes
+    if one with another label overlaps it and is covered as well or better.
 
-    One row per id and text: a repeated row counts once, one id with two texts has two rows. A null id is
-    an id of its own. A null text is empty; an empty text has no words and no spans. Texts are read whole.
-    Ties do not arise, as every place is reported. Other columns of ``docs`` are ignored, whatever their names.
+    One row per row of ``docs``, repeated ones too. A null id is an id of its own. A null text is empty; an empty text
+    has no words and no spans. Texts are read whole. Ties do not arise, as the places of all runs are reported; an
+    empty table gives no rows. Other columns of ``docs`` are ignored, whatever their names.
     """
     spark = docs.sparkSession
     templates = _templates(spark, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
+    # Repeats within a partition are put together before the shuffle, those of different partitions stay apart, so no
+    # row is hot, however often it occurs.
     texts = docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("copy"),
+        F.spark_partition_id().alias("part"),
         _words(F.col(text_col)).alias("words"),
     )
+    text = ["id", "copy", "part"]
     placed = texts.select(
-        "id", "copy", F.posexplode(F.concat(_pairs(F.col("words")), F.array(F.lit(_TEXT).cast("long")))).alias("at", "gram")
+        *text, F.posexplode(F.concat(_pairs(F.col("words")), F.array(F.lit(_TEXT).cast("long")))).alias("at", "gram")
     )
     itself = spark.range(1).select(
         F.lit(-1).alias("template"),
@@ -127,33 +134,37 @@ def license_scan(
         F.lit(_TEXT).cast("long").alias("gram"),
     )
     # The templates are constants, so their side is small at any size of the texts.
-    hits = placed.join(F.broadcast(templates.unionByName(itself)), "gram").repartition("id", "copy")
-    by_template = ["id", "copy", "template"]
+    hits = placed.join(F.broadcast(templates.unionByName(itself)), "gram")
+    by_template = [*text, "template", "label", "exact", "n_pairs"]
     votes = (
         hits.withColumn("diagonal", F.col("at") - F.col("place"))
-        .groupBy(*by_template, "label", "exact", "n_pairs", "diagonal")
+        .groupBy(*by_template, "diagonal")
         .agg(
             F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))).alias("held"),
-            F.min("at").alias("start"),
-            (F.max("at") + 2).alias("end"),
+            F.min("at").cast("long").alias("start"),
+            (F.max("at") + 2).cast("long").alias("end"),
+            F.count("*").alias("rows"),
         )
     )
-    along = Window.partitionBy(*by_template).orderBy("diagonal")
+    along = Window.partitionBy(*text, "template").orderBy("diagonal")
     apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal", 1).over(along) > GAP)
+    ahead = Window.partitionBy(*text, "template", "run").orderBy("start").rangeBetween(0, _REACH)
+    fits = lambda v: v["end"] <= F.col("start") + STRETCH * (F.col("n_pairs") + 1)
+    held = lambda vs: F.bit_count(F.aggregate(vs, F.lit(0).cast("long"), lambda b, v: b.bitwiseOR(v["held"])))
     runs = (
         votes.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(along))
-        .groupBy(*by_template, "label", "exact", "n_pairs", "run")
-        .agg(
-            F.bit_count(F.bit_or("held")).alias("held"),
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-        )
+        .withColumn("ahead", F.collect_list(F.struct("held", "end")).over(ahead))
+        .withColumn("ahead", F.filter("ahead", fits))
+        .withColumn("best", F.struct((-held(F.col("ahead"))).alias("less"), "start", F.array_max(F.transform("ahead", lambda v: v["end"])).alias("end")))
+        .groupBy(*by_template, "run")
+        .agg(F.min("best").alias("best"), F.max("rows").alias("rows"))
+        .select(*by_template, "rows", "best.start", "best.end", (-F.col("best.less")).alias("held"))
         .withColumn("covered", F.col("held") / F.col("n_pairs"))
     )
-    short = F.col("end") - F.col("start") <= 1.5 * (F.col("n_pairs") + 1)
-    whole = F.when(F.col("exact"), F.col("held") == F.col("n_pairs")).otherwise((F.col("covered") >= coverage) & short)
+    full = F.col("held") == F.col("n_pairs")
+    whole = full | (~F.col("exact") & (F.col("covered") >= coverage))
     if tell_apart:
-        near = Window.partitionBy("id", "copy").orderBy("start").rangeBetween(-_REACH, _REACH)
+        near = Window.partitionBy(*text).orderBy("start").rangeBetween(-_REACH, _REACH)
         found = F.when(~F.col("exact") & whole, F.struct("label", "start", "end", "covered"))
         beaten = F.exists(
             "near",
@@ -163,22 +174,17 @@ def license_scan(
             & (r["covered"] >= F.col("covered")),
         )
         runs = runs.withColumn("near", F.collect_list(found).over(near))
-        whole = whole & (F.col("exact") | (F.col("held") == F.col("n_pairs")) | ~beaten)
-    span = F.struct(
-        F.col("start").cast("long").alias("start"),
-        F.col("end").cast("long").alias("end"),
-        "label",
-        "exact",
-        "covered",
-    )
+        whole = full | (whole & ~beaten)
     return (
-        runs.groupBy("id", "copy")
+        runs.groupBy(*text)
         .agg(
-            F.max(F.when(F.col("template") == -1, F.col("start"))).cast("long").alias("n_words"),
-            F.array_sort(F.collect_list(F.when((F.col("template") >= 0) & whole, span))).alias("spans"),
+            F.max(F.when(F.col("template") == -1, F.col("start"))).alias("n_words"),
+            F.array_sort(F.collect_list(F.when((F.col("template") >= 0) & whole, F.struct("start", "end", "label", "exact", "covered")))).alias("spans"),
             F.coalesce(F.max(F.when((F.col("template") >= 0) & (whole | ~F.col("exact")), F.col("covered"))), F.lit(0.0)).alias("score"),
+            F.max(F.when(F.col("template") == -1, F.col("rows"))).alias("rows"),
         )
-        .select(F.col("id").alias(id_col), "n_words", "spans", "score")
+        .select(F.col("id").alias(id_col), "n_words", "spans", "score", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("nth"))
+        .drop("nth")
     )
 
 
@@ -213,50 +219,57 @@ grams AS (
   SELECT template, label, exact_, len(parts) - 1 AS n_pairs, j - 1 AS place, parts[j] AS w0, parts[j + 1] AS w1
   FROM (SELECT *, unnest(range(1, len(parts))) AS j FROM templates)
 ),
-texts AS (
-  SELECT doc_id, regexp_extract_all(
+texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_, doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
-  FROM (SELECT DISTINCT doc_id, text FROM documents)
+  FROM documents
 ),
 placed AS (
-  SELECT doc_id, i - 1 AS at_, words[i] AS w0, words[i + 1] AS w1
+  SELECT row_, i - 1 AS at_, words[i] AS w0, words[i + 1] AS w1
   FROM (SELECT *, unnest(range(1, len(words))) AS i FROM texts)
 ),
-hits AS (SELECT p.doc_id, p.at_, g.* FROM placed p JOIN grams g USING (w0, w1)),
+hits AS (SELECT p.row_, p.at_, g.* FROM placed p JOIN grams g USING (w0, w1)),
 votes AS (
-  SELECT doc_id, template, label, exact_, n_pairs, at_ - place AS diagonal, list(place) AS held,
+  SELECT row_, template, label, exact_, n_pairs, at_ - place AS diagonal, list(place) AS held,
     min(at_) AS start_, max(at_) + 2 AS end_
   FROM hits GROUP BY ALL
 ),
 marked AS (
   SELECT *, CASE WHEN exact_ OR coalesce(diagonal - lag(diagonal) OVER w > {GAP}, true) THEN 1 ELSE 0 END AS apart
-  FROM votes WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal)
+  FROM votes WINDOW w AS (PARTITION BY row_, template ORDER BY diagonal)
 ),
 numbered AS (
-  SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM marked
+  SELECT *, sum(apart) OVER (PARTITION BY row_, template ORDER BY diagonal) AS run FROM marked
+),
+windows AS (
+  SELECT a.row_, a.template, a.label, a.exact_, a.n_pairs, a.run, a.diagonal, a.start_, max(b.end_) AS end_,
+    len(list_distinct(flatten(list(b.held)))) AS held
+  FROM numbered a JOIN numbered b ON a.row_ = b.row_ AND a.template = b.template AND a.run = b.run
+    AND b.start_ >= a.start_ AND b.end_ <= a.start_ + {STRETCH} * (a.n_pairs + 1)
+  GROUP BY a.row_, a.template, a.label, a.exact_, a.n_pairs, a.run, a.diagonal, a.start_
 ),
 runs AS (
-  SELECT doc_id, template, label, exact_, n_pairs, run, len(list_distinct(flatten(list(held)))) AS held,
-    min(start_) AS start_, max(end_) AS end_
-  FROM numbered GROUP BY ALL
+  SELECT *, held / n_pairs AS covered FROM windows
+  QUALIFY row_number() OVER (PARTITION BY row_, template, run ORDER BY held DESC, start_, end_) = 1
 ),
+found AS (SELECT * FROM runs WHERE NOT exact_ AND covered >= {COVERAGE}),
 judged AS (
-  SELECT *, held / n_pairs AS covered,
-    CASE WHEN exact_ THEN held = n_pairs
-      ELSE held / n_pairs >= {COVERAGE} AND end_ - start_ <= 1.5 * (n_pairs + 1) END AS whole
-  FROM runs
+  SELECT *, held = n_pairs OR (NOT exact_ AND covered >= {COVERAGE} AND NOT EXISTS (
+    FROM found f WHERE f.row_ = r.row_ AND f.label <> r.label AND f.start_ < r.end_ AND f.end_ > r.start_
+      AND f.covered >= r.covered)) AS whole
+  FROM runs r
 ),
 by_text AS (
-  SELECT doc_id, count(*) FILTER (exact_ AND whole) AS n_base, min(start_) FILTER (exact_ AND whole) AS first_word,
+  SELECT row_, count(*) FILTER (exact_ AND whole) AS n_base, min(start_) FILTER (exact_ AND whole) AS first_word,
     max(start_) FILTER (exact_ AND whole) AS last_word,
     array_to_string(list_sort(list_distinct(list(label) FILTER (exact_ AND whole))), ',') AS base_labels,
     array_to_string(list_sort(list_distinct(list(label) FILTER (whole))), ',') AS labels,
     max(covered) FILTER (whole OR NOT exact_) AS score
-  FROM judged GROUP BY doc_id
+  FROM judged GROUP BY row_
 )
 SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
   CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
-FROM texts t LEFT JOIN by_text b USING (doc_id)
+FROM texts t LEFT JOIN by_text b USING (row_)
 """

@@ -308,6 +308,9 @@ NOTICES = [
     ("licenſed under the Kcc by", 0, "", ""),
     ("ccé by", 0, "", ""),
     ("by cc", 0, "", ""),
+    ("licensed under the mit license" + " mit license" * 3, 0, "", "mit"),
+    ("mit license " * 3 + "licensed under the mit license" + " mit license" * 300, 0, "", "mit"),
+    ("licensed under the x mit y license under the mit z license", 0, "", ""),
     (None, 0, "", ""),
     ("", 0, "", ""),
 ]
@@ -323,11 +326,24 @@ def test_license_notices(spark, odd_docs, no_docs):
         assert 0 <= r.score <= 1 and (r.first_word is None) == (n == 0)
     assert (got[1].first_word, got[1].last_word) == (0, 4)
     rows = license_digest(license_scan(odd_docs)).collect()
-    # The repeated row counts once, and the null id has its two texts.
-    assert len(rows) == odd_docs.select("doc_id", "text").distinct().count()
+    # Each row has its own, the repeated ones and those without an id too.
+    assert len(rows) == odd_docs.count()
     assert license_scan(no_docs).collect() == []
 
 
+def test_repeated_rows_are_put_together_before_the_shuffle(spark):
+    rows = [(1, "cc by licensed under the mit license", "a")] * 3000 + [(i, "words of its own", "b") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, part string").repartition(6)
+    got = license_digest(license_scan(df))
+    assert got.groupBy("doc_id").count().filter("count > 1").collect() == [(1, 3000 + 1)]
+    assert got.filter("labels = 'cc-by,mit' and n_base = 1").count() == 3000
+    plan = license_scan(df)._jdf.queryExecution().executedPlan().toString()
+    # From the bottom up: partial sums by diagonal come right before the first exchange after the join.
+    below = plan[: plan.index("BroadcastHashJoin")]
+    assert below.rstrip().count("Exchange") >= 1
+    assert below.rindex("partial_bit_or") > below.rindex("Exchange hashpartitioning")
+
+
 def test_versions_of_a_license_are_told_apart(spark):
     gpl = "licensed under the GNU General Public License, version"
     texts = {
@@ -339,7 +355,7 @@ def test_versions_of_a_license_are_told_apart(spark):
         "x": "",
     }
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r.doc_id: r.labels for r in license_digest(license_scan(df, tell_apart=True)).collect()}
+    got = {r.doc_id: r.labels for r in license_digest(license_scan(df)).collect()}
     assert got == dict(enumerate(texts.values()))
 
 
