@@ -4,6 +4,9 @@ Items are partitioned by size. A document that holds 80 % of an item's shingles
 smallest hashes, with k = n - ceil(0.8 n) + 1 for an item of n shingles: a MinHash sketch as long as the item's
 partition needs, that misses nothing. Documents, however long, are looked up by all their shingles, because a
 short item leaves no trace in a bounded sketch of a long text. Hits are checked by exact containment of shingles.
+
+An item of fewer words than a shingle has is one shingle of its own width. Documents get the shingles of each width
+that such items have, so that they are found inside texts as well.
 """
 
 from __future__ import annotations
@@ -14,9 +17,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import WordHashes, add_columns, mixed, raw_text
+from millrace.llm.batches import WordHashes, add_columns, mixed, raw_text, rolling
 from millrace.llm.graph import written
-from millrace.llm.signature_join import shingles
+from millrace.llm.signature_join import WIDTH, shingles
 
 #: Share of an item's shingles that a document must hold.
 CONTAINED = 0.8
@@ -79,17 +82,32 @@ def search(
     return out
 
 
-def _sets():
+def runs_of_words(raw: bytes, hashes: WordHashes, widths: list[int]) -> np.ndarray:
+    """Sorted hashes of a document's distinct shingles and of its runs of as many words as short items have. A run
+    has the hash that :func:`shingles` gives an item of these words."""
+    if not widths:
+        return shingles(raw, hashes)
+    ids = hashes.of(raw.lower().split())
+    found = [mixed(rolling(ids, w) + np.uint64(w)) for w in widths]
+    return np.unique(np.concatenate([rolling(ids, WIDTH), *found]))
+
+
+def _short_widths(items: DataFrame) -> list[int]:
+    return sorted(r.width for r in items.filter(F.col("width").between(1, WIDTH - 1)).select("width").distinct().collect())
+
+
+def _item_sets():
     hashes = WordHashes()
 
     def of(texts: list[bytes]) -> list:
         found = [shingles(raw, hashes) for raw in texts]
-        return [[g.view(np.int64).tolist() for g in found]]
+        return [[g.view(np.int64).tolist() for g in found], [len(raw.split()) for raw in texts]]
 
     return of
 
 
 def _by_index(docs: DataFrame, kept: dict[str, Column], items: DataFrame, contained: float, text_col: str) -> DataFrame:
+    widths = _short_widths(items)
     rows = items.collect()
     rows.sort(key=lambda r: (r.item is None, r.item, r.grams))
     names = [r.item for r in rows]
@@ -100,7 +118,7 @@ def _by_index(docs: DataFrame, kept: dict[str, Column], items: DataFrame, contai
         index = partitions(held, contained)
 
         def leaks(texts: list[bytes]) -> list:
-            found = [search(shingles(raw, hashes), held, index, contained) if index else [] for raw in texts]
+            found = [search(runs_of_words(raw, hashes, widths), held, index, contained) if index else [] for raw in texts]
             return [[[(names[p], n, len(held[p])) for p, n in hits] for hits in found]]
 
         return leaks
@@ -112,7 +130,13 @@ def _by_index(docs: DataFrame, kept: dict[str, Column], items: DataFrame, contai
 def _by_join(docs: DataFrame, kept: dict[str, Column], items: DataFrame, contained: float, text_col: str) -> DataFrame:
     """The same for benchmarks of any size: sketches are joined to all shingles of all documents, then the items
     hit are joined to the document's shingles again for the exact check."""
-    sets = add_columns(docs, {**kept, "row": F.monotonically_increasing_id()}, [raw_text(text_col)], _sets, "grams array<bigint>")
+    widths = _short_widths(items)
+
+    def documents():
+        hashes = WordHashes()
+        return lambda texts: [[runs_of_words(raw, hashes, widths).view(np.int64).tolist() for raw in texts]]
+
+    sets = add_columns(docs, {**kept, "row": F.monotonically_increasing_id()}, [raw_text(text_col)], documents, "grams array<bigint>")
     sets = written(sets, "shingles")
 
     def make():
@@ -149,13 +173,13 @@ def leaks(
     """The ``kept`` columns of each row of ``docs`` with ``leaks``: (item, shared shingles, shingles of the item)
     of every benchmark item that its text contains.
 
-    Null and empty texts and items hold and match nothing; an item of fewer words than a shingle is one shingle,
-    found only in a text of just these words. Repeated rows are each searched; repeated items are reported once an
-    id. Null ids stay null. Whole texts are read however long; empty tables give no leaks; other columns are
+    Null and empty texts and items hold and match nothing; an item of fewer words than a shingle is found where all its
+    words stand one after the other. Repeated rows are each searched; repeated items are reported once an id. Null ids
+    stay null. Whole texts are read however long; empty tables give no leaks; other columns are
     ignored, whatever their names.
     """
     chosen = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("words")).distinct()
-    items = add_columns(chosen, {"item": F.col("item")}, [raw_text("words")], _sets, "grams array<bigint>")
+    items = add_columns(chosen, {"item": F.col("item")}, [raw_text("words")], _item_sets, "grams array<bigint>, width bigint")
     total = items.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
     way = _by_index if total <= sent_shingles else _by_join
     return way(docs, kept, items, contained, text_col)
@@ -190,9 +214,13 @@ WITH words AS (
     SELECT item_id, array_to_string(regexp_extract_all(translate(coalesce(text, ''),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS w FROM benchmark)
 ),
+widths AS (SELECT DISTINCT least(len(parts), 5) AS width FROM words WHERE side = 'i' AND w <> ''),
 grams AS (
   SELECT DISTINCT side, id, array_to_string(parts[k : k + 4], ' ') AS gram
-  FROM (SELECT side, id, parts, unnest(range(1, greatest(len(parts) - 3, 2))) AS k FROM words WHERE w <> '')
+  FROM (SELECT side, id, parts, unnest(range(1, greatest(len(parts) - 3, 2))) AS k FROM words WHERE side = 'i' AND w <> '')
+  UNION ALL
+  SELECT DISTINCT side, id, array_to_string(parts[k : k + width - 1], ' ') AS gram
+  FROM (SELECT side, id, parts, width, unnest(range(1, len(parts) - width + 2)) AS k FROM words, widths WHERE side = 'd' AND w <> '')
 ),
 sizes AS (SELECT id, count(*) AS n FROM grams WHERE side = 'i' GROUP BY id),
 shared AS (

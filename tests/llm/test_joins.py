@@ -1,8 +1,10 @@
 """The similarity join, decontamination and packing against brute force."""
 
 import random
+
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 from oracle import compare, connect
@@ -168,13 +170,17 @@ def test_contaminated_by_index_and_by_join_at_odd_rows(spark, odd_docs, no_docs)
         (6, ""),
         (None, " ".join(text[70:90])),
         (8, "nowhere to be found in any of them"),
+        (9, " ".join(text[40_000:40_003])),
+        (10, " ".join(text[50_000:50_004])),
     ]
     bench = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 AS item", "2 AS place", "3 AS grams")
     want = []
     for d in odd_docs.select("doc_id", "text").collect():
         for key, words in set(items):
             g = grams(words)
-            n = len(g & grams(d.text))
+            # An item of fewer words than a shingle is looked for at its own width.
+            own, size = (d.text or "").encode().lower().split(), len((words or "").split())
+            n = len(g & (grams(d.text) if size >= 5 else {tuple(own[k : k + size]) for k in range(len(own) - size + 1)}))
             if g and n >= 0.8 * len(g):
                 want.append((d.doc_id, key, n, len(g), n / len(g)))
     assert len(want) > 4
@@ -188,6 +194,21 @@ def test_contaminated_by_index_and_by_join_at_odd_rows(spark, odd_docs, no_docs)
         assert clean.count() == odd_docs.count() - len([1 for d in odd_docs.select("doc_id").collect() if d.doc_id in {w[0] for w in want}])
 
 
+def test_short_items_are_found_inside_texts(spark):
+    texts = ["What is the Capital of\nFrance today then", "capital of\tFrance", "the capital is of France", "of france", "a b c d e f", None, "capital of francec", "x capital of France"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "capital of france"), (2, "e"), (3, "B c D e"), (4, "what is the capital of france today then")], "item_id bigint, text string")
+    want = {(0, 1), (1, 1), (7, 1), (4, 2), (4, 3), (0, 4)}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", bench.toPandas())
+    for limit in (10**6, 0):
+        got = contaminated(docs, bench, sent_shingles=limit)
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+        assert compare(con, CONTAMINATED_SQL, got) is None
+    assert sorted(r.doc_id for r in without_leaks(docs, bench).collect()) == [2, 3, 5, 6]
+
+
 def test_sketch_length():
     assert [sketch_length(n) for n in (1, 4, 5, 10, 50)] == [1, 1, 2, 3, 11]
 
