@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.batches import add_columns, raw_text
 from millrace.llm.graph import written
-from millrace.llm.page_tokens import Element, Token, page_tokens
+from millrace.llm.page_tokens import MAIN_TAGS, Element, Token, held_text, page_tokens, settle
 
 #: Different pages that a class must stand on.
 FEW = 3
@@ -176,6 +176,21 @@ def _container(blocks: list[tuple[Element, str]]) -> Element:
     return held[-1]
 
 
+def _set_hinted_aside(tokens: list[Token], fixed: set[int]) -> None:
+    """Set aside what a part of a name hints at inside the article, such as "share-buttons", where the element belongs
+    to the template. One that holds an article or most of the main text is a wrapper."""
+    elements = [t.element for t in tokens if t.text is None]
+    hinted = [t.element for t in tokens if t.text is None and t.element.hinted and not t.aside and t.role in fixed]
+    if not hinted:
+        return
+    weight = held_text(tokens, lambda t: t.main and not t.aside)
+    most = max(weight.values(), default=0)
+    holders = {id(a) for e in elements if e.name in MAIN_TAGS for a in e.around()}
+    for e in hinted:
+        e.named = id(e) not in holders and 2 * weight[id(e)] <= most
+    settle(elements)
+
+
 def main_text(page: str, classes: list[list[int]], leaves: list[float] | None = None) -> str:
     """The article's slots: texts that belong neither to the template nor to a part beside the article. A page
     without an article or main element gives those of the smallest container of its heaviest text. ``leaves`` has
@@ -189,6 +204,7 @@ def main_text(page: str, classes: list[list[int]], leaves: list[float] | None =
             if t.text and not t.aside and (t.main or not has_main):
                 amounts[t.role] += len(t.text.strip())
         fixed = template_roles(valid_classes(tokens, classes, leaves or [0.0] * len(classes)), amounts)
+        _set_hinted_aside(tokens, fixed)
     pieces: list[list[str]] = []
     elements: list[Element] = []
     opened = False

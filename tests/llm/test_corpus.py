@@ -166,6 +166,60 @@ def test_templates_of_a_host(spark):
     assert extract_text(df.limit(0)).collect() == []
 
 
+def test_names_and_forms_inside_the_article():
+    kept = [
+        '<h2 id="hidden-gems">k</h2>',
+        '<h2 id="the-social-contract">k</h2>',
+        '<h2 id="comments">k</h2>',
+        '<section class="related-work">k</section>',
+        '<div class="side-by-side">k</div>',
+        '<div class="foot-notes">k</div>',
+        '<p class="notice-period">k</p>',
+        '<p id="legal">k</p>',
+        "<header><p>lost</p><h1>k</h1></header>",
+        '<figure class="banner-image" id="header">k</figure>',
+    ]
+    for part in kept:
+        assert main_text(f"<article><p>some words before</p>{part}<p>after</p></article>", []) == "some words before\nk\nafter", part
+    lost = [
+        '<div class="comments">k</div>',
+        '<section id="comments-3">k</section>',
+        '<div class="box related">k</div>',
+        '<div role="search">k</div>',
+        '<p class="advert">k</p>',
+        "<form><p>k</p></form>",
+        "<header>k</header>",
+        "<nav><h2>k</h2></nav>",
+    ]
+    for part in lost:
+        assert main_text(f"<article><p>some words before</p>{part}<p>after</p></article>", []) == "some words before\nafter", part
+    page = "<nav>n</nav><form action=x><article><h1>t</h1><p>words</p><form>poll</form></article><select>s</select></form>"
+    assert main_text(f"<body>{page}</body>", []) in ("t\nwords", "t\nwords\npoll")
+    assert main_text("<body><form><div><p>long text of the page</p><button>b</button></div></form><p>x</p></body>", []) == "long text of the page"
+    assert main_text('<div class="cookie-banner"><p>c</p></div><div><h2 id="social">h</h2><p>text of the page</p></div>', []) == "h\ntext of the page"
+
+
+def test_hints_count_where_the_template_bears_them_out(spark):
+    share = '<div class="share-buttons"><ul><li>share {0}</ul></div>'
+    rows = [(i, f"http://a.org/{i}", page(f"t{i}", f"<p>own {i}</p>", i, share.format(i))) for i in range(10)]
+    rows.append((10, "http://a.org/10", page("t10", "<p>own 10</p>", 10, '<section class="related-work"><p>as others said</p></section>')))
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"t{i}\nown {i}" for i in range(10)} | {10: "t10\nown 10\nas others said"}
+
+
+def test_odd_page_tables(spark):
+    schema = "page_id bigint, url string, html string, id int, host string, raw string, template string, role int, roles int, text string"
+    long = "".join(f"<p>paragraph {i} of many</p>" for i in range(40_000))
+    rows = [(1, "http://a.org/1", page("t", long), 1, "h", "r", "t", 1, 1, "x"), (None, None, None, *[None] * 7), (2, "odd", "", *[None] * 7)]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in extract_text(df).collect()}
+    text = "t\n" + "\n".join(f"paragraph {i} of many" for i in range(40_000))
+    assert got == {1: ("http://a.org/1", text, len(text)), None: (None, "", 0), 2: ("odd", "", 0)}
+    assert extract_text(df.limit(0)).collect() == []
+    deep = "<div>" * 3_000 + "x" + "</div>" * 3_000
+    assert main_text(deep, []) == "x"
+
+
 def test_copies_beside_other_pages_are_no_template(spark):
     """Copies that differ in what is no token, such as a script, are one page as well."""
     copy = page("t", "<p>all alike</p><p>and so on</p>")
