@@ -147,12 +147,13 @@ def chunked(
     order: Sequence[str],
     rows_per_chunk: int = ROWS_PER_CHUNK,
     max_chunks: int = MAX_CHUNKS,
+    least_rate: Column | None = None,
 ) -> DataFrame:
     """Add ``_chunk`` (0, 1, ... along ``order`` within a hot key; 0 for cold keys) and ``_hot``.
 
-    ``order`` must end in a unique column.
+    ``order`` must end in a unique column. With ``least_rate`` at most one row in so many is sampled.
     """
-    cuts, parts = _numbered(_cut_points(df, keys, order, rows_per_chunk, max_chunks), keys)
+    cuts, parts = _numbered(_cut_points(df, keys, order, rows_per_chunk, max_chunks, least_rate), keys)
     rows = _lookup(df, parts, keys).withColumn(_HOT, F.col("_till").isNotNull())
     return _with_chunk(rows, cuts, order, max_chunks)
 
@@ -272,12 +273,20 @@ def key_slice(
     """Rows at positions ``[start, start + size)`` of each key, counted from its first row, or from
     its last row (0 = newest) with ``from_end``. ``name`` holds that position.
 
-    Chunks of hot keys that cannot reach the slice are dropped by a broadcast lookup before the shuffle, so the
-    task that ranks a hot key gets about the slice and two chunks at most. Of these, Spark keeps only the best
-    ``start + size`` rows per key of each map task.
+    Keys are counted first. If none has more rows than a chunk, a plain window ranks them. Else chunks of hot keys
+    that cannot reach the slice are dropped by a broadcast lookup before the shuffle, so the task that ranks a hot
+    key gets about the slice and two chunks at most. Of these, Spark keeps only the best ``start + size`` rows per key
+    of each map task.
     """
-    layout = {"rows_per_chunk": SLICE_ROWS_PER_CHUNK, **layout}
-    near = _near_chunks(df, keys, order, size, start, from_end, layout)
+    layout = {"rows_per_chunk": SLICE_ROWS_PER_CHUNK, "max_chunks": MAX_CHUNKS, **layout}
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counted = per_key.agg(F.max("_n").alias("largest"), F.sum("_n").alias("rows")).first()
+    if (counted.largest or 0) <= layout["rows_per_chunk"]:
+        near = df.withColumn("_skipped", F.lit(0))
+    else:
+        # The rate follows the number of rows, so that the sample of all keys has a size of its own.
+        rate = -(-counted.rows // (layout["max_chunks"] * SAMPLE_PER_CHUNK))
+        near = _near_chunks(df, keys, order, size, start, from_end, {**layout, "least_rate": F.lit(rate).cast("long")})
     by = [F.col(c).desc() if from_end else F.col(c).asc() for c in order]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
     return (

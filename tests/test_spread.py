@@ -152,3 +152,22 @@ def test_empty_input(skewed):
 def test_join_type_is_checked(skewed):
     with pytest.raises(ValueError):
         spread_join(skewed, skewed, KEYS, ORDER, "full")
+
+
+def test_slices_without_hot_keys_are_a_plain_window(spark):
+    df = spark.range(3000).select((F.col("id") % 30).alias("key"), (F.col("id") * 7 % 3000).alias("t"), "id")
+
+    def plan(**layout):
+        return key_slice(df, KEYS, ORDER, 5, from_end=True, **layout)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "Join" not in plan() and "scalar-subquery" not in plan() and "WindowGroupLimit" in plan()
+    assert "Join" in plan(rows_per_chunk=50)
+    assert key_slice(df.limit(0), KEYS, ORDER, 5).collect() == []
+
+
+def test_the_sample_for_a_slice_does_not_grow_with_a_hot_key(spark):
+    """At a rate that follows the rows, a slice of a hot key is still the right one."""
+    df = spark.range(40_000).select(F.lit(None).cast("long").alias("key"), (F.col("id") * 7919 % 40_000).alias("t"), "id")
+    for start in (0, 777):
+        got = key_slice(df, KEYS, ORDER, 10, start=start, rows_per_chunk=100, max_chunks=3)
+        assert sorted((r.t, r.position) for r in got.collect()) == [(i, i) for i in range(start, start + 10)]
