@@ -437,7 +437,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def near_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``of_row``, the hash of id and text, and ``cluster`` of the documents that have near duplicates: a row for each
-    id and text. Clusters are the components of :func:`similar_documents`."""
+    id and text. Clusters are the components of :func:`similar_documents`. Null and empty texts, and those without a
+    near duplicate, have no row; repeated rows have one; an empty table gives none; other columns are ignored, whatever
+    their names."""
     rows = written(
         _linked(docs, id_col, text_col).filter("n > 0").groupBy("of_row").agg(F.min("component").alias("cluster")), "clusters"
     )
