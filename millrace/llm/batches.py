@@ -17,7 +17,12 @@ ROWS = 256
 #: Distinct words whose hashes a task remembers.
 REMEMBERED = 400_000
 
+#: Bytes of a word that are hashed in step with those of other words; longer ones are hashed one by one.
+STEPPED = 64
+
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 class WordHashes(dict):
@@ -61,6 +66,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z in lower case, one text after the other, and each text's number of
+    words. Eight bytes of every word are taken at a time."""
+    joined = b"\n".join([*texts, bytes(8)]).lower()
+    raw = np.frombuffer(joined, np.uint8)
+    room = len(raw) - 8
+    gap = np.ones(room + 1, bool)
+    gap[1:] = _SPACE[raw[:room]]
+    starts = np.flatnonzero(gap[:-1] & ~gap[1:])
+    ends = np.flatnonzero(~gap[:-1] & gap[1:])
+    lengths = ends - starts
+    # All places of the texts as numbers of eight bytes each.
+    eights = np.ndarray(room + 1, "<u8", joined, strides=(1,))
+    hashes = mixed(lengths.astype(np.uint64) + _FACTOR)
+    todo = np.arange(len(starts))
+    for step in range(0, STEPPED, 8):
+        if step:
+            todo = todo[lengths[todo] > step]
+        if not len(todo):
+            break
+        unused = np.maximum(8 - (lengths[todo] - step), 0).astype(np.uint64) * np.uint64(8)
+        # What lies behind the word's end is shifted out.
+        piece = eights[starts[todo] + step] << unused
+        hashes[todo] = mixed(hashes[todo] * _FACTOR + piece)
+    for i in np.flatnonzero(lengths > STEPPED):
+        hashes[i] = xxhash.xxh64_intdigest(joined[starts[i] : ends[i]])
+    borders = np.cumsum([len(t) + 1 for t in texts])
+    return hashes, np.diff(np.searchsorted(starts, borders), prepend=0)
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Whole numbers, byte by byte of equal weight, compressed: small ones and small steps take little room."""
     planes = np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8).T

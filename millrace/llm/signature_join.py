@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.batches import ROWS, WordHashes, add_columns, mixed, packed, raw_text, rolling, unpacked
+from millrace.llm.batches import ROWS, WordHashes, add_columns, mixed, packed, raw_text, rolling, unpacked, word_hashes
 from millrace.llm.graph import components, written
 
 #: Words in a shingle.
@@ -54,11 +54,6 @@ def shingles(raw: bytes, hashes: WordHashes) -> np.ndarray:
     return np.unique(rolling(ids, WIDTH))
 
 
-def fingerprint(grams: np.ndarray) -> int:
-    """A 64-bit hash of a set, signed."""
-    return int(mixed(mixed(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True) + np.uint64(len(grams))).view(np.int64)[0])
-
-
 def size_groups(largest: int) -> list[int]:
     """Upper bounds of the size groups up to the one that holds ``largest``; each is twice the one before."""
     bounds = [1]
@@ -81,27 +76,44 @@ def part_keys(grams: np.ndarray) -> np.ndarray:
     many parts more are equal than are empty in that set. A set that runs out of parts also gives the prefix of its
     sorted hashes, which meets one of other such sets. A key's last six bits tell its group, plus 32 for a prefix.
     """
-    n = len(grams)
-    if not n:
-        return np.empty(0, np.uint64)
-    longest = n * 10 // 8
-    out = []
-    for g, upper in enumerate(size_groups(longest)):
-        if upper < n:
+    return keys_of_sets(grams, np.array([len(grams)]))[0]
+
+
+def keys_of_sets(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of :func:`part_keys` for many sets, whose sorted shingles stand one set after the other, and the place
+    of the set that each belongs to. A shingle's part follows from its leading bits, so sorted shingles lie by part."""
+    out, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    longest = sizes * 10 // 8
+    lower = 0
+    for g, upper in enumerate(size_groups(int(longest.max(initial=1)))):
+        chosen = np.flatnonzero((sizes > 0) & (sizes <= upper) & (longest > lower))
+        lower = upper
+        if not len(chosen):
             continue
-        wanted = (n + min(upper, longest)) // 9 + 1 + spare(upper)
+        n = sizes[chosen]
+        inside = np.zeros(len(sizes), bool)
+        inside[chosen] = True
+        held = grams[np.repeat(inside, sizes)]
+        of = np.repeat(np.arange(len(chosen)), n)
+        wanted = (n + np.minimum(upper, longest[chosen])) // 9 + 1 + spare(upper)
         n_parts = (2 * upper // 9 + 1 + spare(upper)) * 9 // 8
-        part = (grams >> np.uint64(20)) % np.uint64(n_parts)
-        order = np.argsort(part, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0)))
-        held = part[order][starts]
-        sums = np.add.reduceat(mixed(grams[order] + np.uint64(g + 1)), starts)
-        keys = mixed(sums ^ mixed(held + np.uint64((g + 1) << 40)))[:wanted]
-        out.append(keys << np.uint64(6) | np.uint64(min(g, 31)))
-        if len(keys) < wanted:
-            prefix = mixed(grams[: n - (8 * n + 9) // 10 + 1] ^ np.uint64((g + 1) << 50))
+        part = ((held >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (of[1:] != of[:-1]))))
+        sums = np.add.reduceat(mixed(held + np.uint64(g + 1)), starts)
+        keys = mixed(sums ^ mixed(part[starts] + np.uint64((g + 1) << 40)))
+        owner = of[starts]
+        made = np.bincount(owner, minlength=len(chosen))
+        rank = np.arange(len(keys)) - np.repeat(np.cumsum(made) - made, made)
+        taken = rank < wanted[owner]
+        out.append(keys[taken] << np.uint64(6) | np.uint64(min(g, 31)))
+        owners.append(chosen[owner[taken]])
+        if (made < wanted).any():
+            length = np.where(made < wanted, n - (8 * n + 9) // 10 + 1, 0)
+            taken = np.arange(len(held)) - np.repeat(np.cumsum(n) - n, n) < length[of]
+            prefix = mixed(held[taken] ^ np.uint64((g + 1) << 50))
             out.append(prefix << np.uint64(6) | np.uint64(32 + min(g, 31)))
-    return np.concatenate(out)
+            owners.append(chosen[of[taken]])
+    return np.concatenate(out), np.concatenate(owners)
 
 
 def _enough(key: str) -> Column:
@@ -110,79 +122,145 @@ def _enough(key: str) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in least]), (F.col(key).bitwiseAND(F.lit(63)) + 1).cast("int"))
 
 
-def _make_sets():
-    hashes = WordHashes()
-
-    def sets(texts: list[bytes]) -> list:
-        grams = [shingles(raw, hashes) for raw in texts]
-        return [[len(g) for g in grams], [fingerprint(g) for g in grams]]
-
-    return sets
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted 64-bit hashes of each text's distinct shingles, one text after the other, and the number of each. A
+    text with fewer words than a shingle has all its words as one."""
+    ids, n_words = word_hashes(texts)
+    first = np.cumsum(n_words) - n_words
+    runs = np.zeros(len(ids), np.uint64)
+    if len(ids) >= WIDTH:
+        runs[: len(ids) - WIDTH + 1] = rolling(ids, WIDTH)
+    # Of runs that reach into the next text only that at the start of a short text stays, for the text as a whole.
+    held = np.where(n_words >= WIDTH, n_words - WIDTH + 1, np.minimum(n_words, 1))
+    for i in np.flatnonzero((n_words > 0) & (n_words < WIDTH)):
+        words = ids[first[i] : first[i] + n_words[i]]
+        runs[first[i]] = mixed(rolling(words, len(words)) + np.uint64(len(words)))[0]
+    of = np.repeat(np.arange(len(texts)), n_words)
+    runs = runs[np.arange(len(ids)) - first[of] < held[of]]
+    ends = np.cumsum(held)
+    for start, end in zip((ends - held).tolist(), ends.tolist()):
+        runs[start:end].sort()
+    of = np.repeat(np.arange(len(texts)), held)
+    fresh = np.ones(len(runs), bool)
+    fresh[1:] = (runs[1:] != runs[:-1]) | (of[1:] != of[:-1])
+    return runs[fresh], np.bincount(of[fresh], minlength=len(texts))
+
+
+def fingerprints(grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of each of the sets that stand one after the other."""
+    sums = np.zeros(len(sizes), np.uint64)
+    held = np.flatnonzero(sizes)
+    if len(held):
+        sums[held] = np.add.reduceat(mixed(grams ^ np.uint64(0x5851F42D4C957F2D)), (np.cumsum(sizes) - sizes)[held])
+    return mixed(sums + sizes.astype(np.uint64)).view(np.int64)
 
 
 def _make_full_sets():
-    hashes = WordHashes()
-
     def sets(texts: list[bytes]) -> list:
-        grams = [shingles(raw, hashes) for raw in texts]
-        return [[len(g) for g in grams], [fingerprint(g) for g in grams], [g.tobytes() for g in grams]]
+        grams, sizes = shingle_sets(texts)
+        each = np.split(grams, np.cumsum(sizes)[:-1])
+        return [sizes, fingerprints(grams, sizes), [g.tobytes() for g in each]]
 
     return sets
 
 
-def _send_keys(n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (bucket, keys, sets, places): sorted keys by their steps, and the set beside each by its place in
-    the list of sets, all as bytes."""
-    hashes, keys, sets, held, seen = WordHashes(), [], [], 0, set()
+def _key_rows(n_buckets: int, key: np.ndarray, place: np.ndarray, names: np.ndarray) -> Iterator[dict]:
+    """Columns of rows of (bucket, keys, sets, places): sorted keys by their steps, and the set beside each by its place
+    in the list of sets, all as bytes. ``place`` tells each key's set in ``names``."""
+    order = np.argsort(key)
+    key, place = key[order], place[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    more = np.arange(len(key)) - np.repeat(first, np.diff(first, append=len(key))) >= SENT
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return (((x >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)).astype(np.int64)
+
+    # Known to be shared: dealt by set to buckets of their own.
+    known_bucket = n_buckets + scaled(mixed(names[place[more]].view(np.uint64)))
+    order = np.argsort(known_bucket, kind="stable")
+    parts = [(scaled(key[~more]), key[~more], place[~more]), (known_bucket[order], key[more][order], place[more][order])]
+    there, number = np.zeros(len(names), bool), np.zeros(len(names), np.int64)
+    for bucket, key, place in parts:
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else []
+        for i in range(0, len(cuts) - 1, 512):
+            rows = {"bucket": [], "keys": [], "sets": [], "places": []}
+            for start, end in zip(cuts[i : i + 512], cuts[i + 1 : i + 513]):
+                of = place[start:end]
+                there[of] = True
+                distinct = np.flatnonzero(there)
+                number[distinct] = np.arange(len(distinct))
+                there[distinct] = False
+                rows["bucket"].append(bucket[start])
+                rows["keys"].append(packed(np.diff(key[start:end], prepend=np.uint64(0))))
+                rows["sets"].append(names[distinct].tobytes())
+                rows["places"].append(packed(number[of]))
+            yield rows
+
+
+def _scan(n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two kinds of rows for texts read once: documents, with their set's size and name and how often they are
+    repeated here, and keys, as :func:`_key_rows` gives them. Documents have buckets beyond those of keys."""
+    docs, keys, places, names, seen, held = [], [], [], [], {}, 0
+    schema = None
+
+    def filled(rows: dict) -> pa.RecordBatch:
+        length = len(rows["bucket"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows[f.name], f.type) if f.name in rows else pa.nulls(length, f.type) for f in schema], schema=schema
+        )
 
     def flush() -> Iterator[pa.RecordBatch]:
-        key, of = np.concatenate(keys), np.concatenate(sets)
-        bucket = (key >> np.uint64(13)) % np.uint64(n_buckets)
-        order = np.lexsort((key, bucket))
-        key, of, bucket = key[order], of[order], bucket[order].astype(np.int64)
-        first = np.concatenate(([True], key[1:] != key[:-1]))
-        rank = np.arange(len(key)) - np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-        more = rank >= SENT
-        # Known to be shared: dealt by set to buckets of their own.
-        bucket[more] = n_buckets + (mixed(of[more].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.lexsort((key, bucket))
-        key, of, bucket = key[order], of[order], bucket[order]
-        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        for i in range(0, len(cuts) - 1, 512):
-            spans = list(zip(cuts[i : i + 512], cuts[i + 1 : i + 513]))
-            known = [np.unique(of[s:e], return_inverse=True) for s, e in spans]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([bucket[s] for s, _ in spans], pa.int64()),
-                    pa.array([packed(np.diff(key[s:e], prepend=np.uint64(0))) for s, e in spans], pa.binary()),
-                    pa.array([distinct.tobytes() for distinct, _ in known], pa.binary()),
-                    pa.array([packed(places) for _, places in known], pa.binary()),
-                ],
-                names=["bucket", "keys", "sets", "places"],
-            )
+        table = pa.Table.from_batches(docs)
+        of_row, at, times = np.unique(table["of_row"].to_numpy(), return_index=True, return_counts=True)
+        table = table.take(at)
+        bucket = 2 * n_buckets + (mixed(of_row.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+        yield filled(
+            {"bucket": bucket, "times": times} | {n: table[n].combine_chunks() for n in ("id", "copy", "of_row", "n", "set")}
+        )
+        if keys:
+            for rows in _key_rows(n_buckets, np.concatenate(keys), np.concatenate(places), np.array(names, np.int64)):
+                yield filled(rows)
 
     for batch in batches:
+        if schema is None:
+            long, blob = pa.int64(), pa.binary()
+            schema = pa.schema(
+                [("bucket", long), ("id", batch.schema.field("id").type), ("copy", long), ("of_row", long), ("n", long)]
+                + [("set", long), ("times", long), ("keys", blob), ("sets", blob), ("places", blob)]
+            )
         for start in range(0, batch.num_rows, ROWS):
-            for raw in batch.slice(start, ROWS).column(0).to_pylist():
-                grams = shingles(raw, hashes)
-                if not len(grams):
-                    continue
-                of = fingerprint(grams)
-                if of in seen:
-                    continue
-                seen.add(of)
-                keys.append(np.unique(part_keys(grams)))
-                sets.append(np.full(len(keys[-1]), of, np.int64))
-                held += len(keys[-1])
-                if held >= GATHERED:
-                    yield from flush()
-                    keys, sets, held, seen = [], [], 0, set()
-    if held:
+            piece = batch.slice(start, ROWS)
+            grams, sizes = shingle_sets(piece.column("raw").to_pylist())
+            of = fingerprints(grams, sizes)
+            # The numbers of rows are columns of their own: a slice would keep the batch with its texts.
+            columns = [piece.column(n).take(pa.array(np.arange(piece.num_rows))) for n in ("id", "copy", "of_row")]
+            docs.append(
+                pa.RecordBatch.from_arrays(columns + [pa.array(sizes, pa.int64()), pa.array(of)], names=["id", "copy", "of_row", "n", "set"])
+            )
+            fresh = np.zeros(len(sizes), bool)
+            base = len(names)
+            for i, (name, size) in enumerate(zip(of.tolist(), sizes.tolist())):
+                if size and name not in seen:
+                    seen[name] = len(names)
+                    names.append(name)
+                    fresh[i] = True
+            if fresh.any():
+                key, owner = keys_of_sets(grams[np.repeat(fresh, sizes)], sizes[fresh])
+                keys.append(key)
+                places.append(base + owner)
+                held += len(key)
+            held += piece.num_rows
+            if held >= GATHERED:
+                yield from flush()
+                docs, keys, places, names, seen, held = [], [], [], [], {}, 0
+    if docs:
         yield from flush()
 
 
 def _meet(n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (key, set) for the keys of two sets or more. Rows come sorted by bucket."""
+    """Rows of (key, set) for the keys of two sets or more, and those of documents as they are. Rows come sorted by
+    bucket."""
+    schema = None
 
     def shared(key: np.ndarray, of: np.ndarray, known: bool) -> pa.RecordBatch:
         order = np.lexsort((of, key))
@@ -195,11 +273,23 @@ def _meet(n_buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             twice[1:] |= same
             twice[:-1] |= same
             key, of = key[twice], of[twice]
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(of)], names=["key", "set"])
+        made = {"key": pa.array(key.view(np.int64)), "set": pa.array(of)}
+        return pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(len(key), f.type)) for f in schema], schema=schema)
 
     at, keys, sets = None, [], []
     for batch in batches:
-        for bucket, key, of, places in zip(*[c.to_pylist() for c in batch.columns]):
+        if schema is None:
+            long = pa.int64()
+            schema = pa.schema(
+                [("key", long), ("id", batch.schema.field("id").type)] + [(n, long) for n in ("copy", "of_row", "n", "set", "times")]
+            )
+        n_keys = int(np.searchsorted(batch.column("bucket").to_numpy(), 2 * n_buckets))
+        if n_keys < batch.num_rows:
+            docs = batch.slice(n_keys)
+            columns = [pa.nulls(docs.num_rows, pa.int64())] + [docs.column(f.name) for f in list(schema)[1:]]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        packs = batch.slice(0, n_keys)
+        for bucket, key, of, places in zip(*[packs.column(n).to_pylist() for n in ("bucket", "keys", "sets", "places")]):
             if bucket != at and keys:
                 yield shared(np.concatenate(keys), np.concatenate(sets), at >= n_buckets)
                 keys, sets = [], []
@@ -387,20 +477,26 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """For each row: id, a hash of the text (copy), of both (of_row), the set's size (n), component_id, and a hash that
     names the component (component)."""
     of_row = row_hash(id_col, text_col)
-    each = written(
-        add_columns(
-            docs, {"id": F.col(id_col), "copy": _copy(text_col), "of_row": of_row}, [raw_text(text_col)], _make_sets, "n bigint, set bigint"
-        ),
-        "documents",
-    )
-    total = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_buckets = int(min(65_536, max(16, total // 3 // BUCKET + 1)))
-    keys = docs.select(raw_text(text_col).alias("raw")).mapInArrow(
-        partial(_send_keys, n_buckets), "bucket bigint, keys binary, sets binary, places binary"
-    )
-    shared = written(
-        keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_meet, n_buckets), "key bigint, set bigint"), "shared"
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(raw_text(text_col))), F.lit(0))).first()[0]
+    n_buckets = int(min(65_536, max(16, size // 18 // BUCKET + 1)))
+    rows = docs.select(F.col(id_col).alias("id"), _copy(text_col).alias("copy"), of_row.alias("of_row"), raw_text(text_col).alias("raw"))
+    id_type = T.StructField("id", rows.schema["id"].dataType)
+
+    def fields(*names: str, kind: T.DataType) -> list[T.StructField]:
+        return [T.StructField(name, kind) for name in names]
+
+    long, blob = T.LongType(), T.BinaryType()
+    of_docs = [id_type, *fields("copy", "of_row", "n", "set", "times", kind=long)]
+    sent = T.StructType([*fields("bucket", kind=long), *of_docs, *fields("keys", "sets", "places", kind=blob)])
+    both = written(
+        rows.mapInArrow(partial(_scan, n_buckets), sent)
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInArrow(partial(_meet, n_buckets), T.StructType([*fields("key", kind=long), *of_docs])),
+        "shared",
     )
+    each = both.filter("key IS NULL").drop("key")
+    shared = both.filter("key IS NOT NULL").select("key", "set")
     # A set with fewer shared keys than any similar pair has is similar to none.
     shared = shared.withColumn("group", _group("key"))
     busy = shared.groupBy("set", "group").agg(F.count("*").alias("n"), F.max(_enough("key")).alias("enough")).filter("n >= enough")
@@ -430,7 +526,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ),
         "named",
     )
-    return each.join(named, "set", "left").select(
+    # Rows that are repeated were put together where they were read.
+    repeats = F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))
+    return each.join(named, "set", "left").withColumn("one", repeats).select(
         "id", "copy", "of_row", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "component"
     )
 
