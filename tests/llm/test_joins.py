@@ -8,11 +8,24 @@ import duckdb
 import numpy as np
 import pandas as pd
 from oracle import compare, connect
-from millrace.llm.batches import WordHashes
+from millrace.llm.batches import WordHashes, word_hashes
 from millrace.llm.decontaminate import CONTAMINATED_SQL, contaminated, sketch_length, without_leaks
 from millrace.llm.graph import components
 from millrace.llm.packing import _bits, best_fit, pack
-from millrace.llm.signature_join import Tree, leaf_pairs, near_clusters, one_of_each, part_keys, search, shingles, similar_documents, spare
+from millrace.llm.signature_join import (
+    Tree,
+    fingerprints,
+    keys_of_sets,
+    leaf_pairs,
+    near_clusters,
+    one_of_each,
+    part_keys,
+    search,
+    shingle_sets,
+    shingles,
+    similar_documents,
+    spare,
+)
 from millrace.tables import table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -75,6 +88,49 @@ def test_similar_sets_share_a_key():
             assert any(k >= 32 or c >= 1 + spare(2**k) for k, c in shared.items())
 
 
+def odd_texts():
+    draw = random.Random(11)
+    word = lambda: bytes(draw.choice(b"abcXYZ\xc3\xa9\x00") for _ in range(draw.choice((1, 2, 7, 8, 9, 16, 63, 64, 65, 200))))
+    gaps = [bytes([c]) for c in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)] + [b"  \n"]
+    texts = [b"", b" \t", b"a", b"a\x00 a a\x00\x00", b"one two three four", b"Aa BB aa bb cc", b"a b c d e " * 9]
+    return texts + [b"".join(word() + draw.choice(gaps) for _ in range(draw.randint(0, 30))) for _ in range(120)]
+
+
+def test_words_of_many_texts_are_hashed_alike():
+    texts = odd_texts()
+    hashes, counts = word_hashes(texts)
+    words = [t.lower().split() for t in texts]
+    assert counts.tolist() == [len(w) for w in words]
+    pairs = set(zip([w for text in words for w in text], hashes.tolist()))
+    assert len({w for w, _ in pairs}) == len({h for _, h in pairs}) == len(pairs)
+    assert [len(x) for x in word_hashes([])] == [0, 0]
+
+
+def test_sets_of_many_texts_are_those_of_each_text():
+    texts = odd_texts()
+    grams, sizes = shingle_sets(texts)
+    words = [t.lower().split() for t in texts]
+    want = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    assert sizes.tolist() == [len(x) for x in want]
+    each = [shingle_sets([t])[0] for t in texts]
+    assert np.array_equal(np.concatenate(each), grams) and all(np.array_equal(x, np.unique(x)) for x in each)
+    names = fingerprints(grams, sizes).tolist()
+    assert names == [fingerprints(x, np.array([len(x)]))[0] for x in each]
+    assert len(set(names)) == len({frozenset(x) for x in want})
+    keys, owners = keys_of_sets(grams, sizes)
+    for i, one in enumerate(each):
+        assert sorted(keys[owners == i].tolist()) == sorted(part_keys(one).tolist())
+
+
+def test_repeated_rows_put_together_come_back(spark):
+    rows = [(1, "a b c d e f g h"), (None, "a b c d e f g h"), (2, ""), (2, None), (3, "x y")]
+    rows = rows * 7 + [rows[0]] * 500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(map(tuple, similar_documents(docs).collect()), key=repr) == brute_components(rows)
+    named = spark.createDataFrame([(f"d{k}", t) for k, t in rows], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in similar_documents(named).collect()} == {"d1": "d1", "dNone": "d1", "d2": "d2", "d3": "d3"}
+
+
 def random_sets(families, copies, edits, seed):
     draw = random.Random(seed)
     hashes, out = WordHashes(), []
