@@ -18,9 +18,11 @@ DISTINCT_ERROR = 0.0163
 #: Accuracy of quantiles; ranks are off by about 1.33 % of the rows at most (99 of 100 times).
 QUANTILE_K = 200
 QUANTILE_ERROR = 0.0133
-#: Values that a state of frequent ones keeps track of. Each count is off by rows / FREQUENT at most, and exact as long as a
-#: group has no more different values than three quarters of it.
+#: Values that a state of frequent ones keeps track of, in a table of the next power of two from 4 / 3 of it; counts are exact as
+#: long as a group has no more different values. Else each is off by at most this share of the rows, and values whose count is
+#: not above its possible error are not told; none of these has more than twice that share, also when no value is told.
 FREQUENT = 1_024
+FREQUENT_ERROR = 3.5 / 2_048
 
 _DISTINCT, _QUANTILE, _FREQUENT = "_distinct", "_quantiles", "_frequent"
 
@@ -64,7 +66,7 @@ def merge_sketches(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def estimates(states: DataFrame, keys: Sequence[str], at: Sequence[float] = (0.5,), top: int = 10) -> DataFrame:
     """What the states tell: ``name_distinct`` as a number, ``name_quantiles`` as an array of doubles for the shares ``at`` (null where
-    there is no value), ``name_frequent`` as an array of ``item, count`` with at most ``top`` elements."""
+    there is no value), ``name_frequent`` as an array of ``item, count`` with at most ``top`` elements (none where no value is surely frequent)."""
     told: list[Column] = [F.col("rows")]
     for name in states.columns:
         if name.endswith(_DISTINCT):

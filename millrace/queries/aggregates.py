@@ -17,7 +17,7 @@ from millrace.operators.aggregates import (
     recovery_summary,
     sum_mapped,
 )
-from millrace.operators.sketches import DISTINCT_ERROR, FREQUENT, QUANTILE_ERROR, estimates, merge_sketches, sketch
+from millrace.operators.sketches import DISTINCT_ERROR, FREQUENT_ERROR, QUANTILE_ERROR, estimates, merge_sketches, sketch
 from millrace.operators.words import tokenize, top_word, word_count
 from millrace.queries.registry import query
 from millrace.queries.scalars import DOCUMENT_WORDS
@@ -192,7 +192,8 @@ def next_session_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sketched_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of two batches, stored and merged, held against exact figures: whether each lies within its stated error (four
-    standard deviations of the distinct count, twice the 99 % bound of the quantile)."""
+    standard deviations of the distinct count, twice the 99 % bound of the quantile). Where no user is surely frequent, none may
+    have more than twice the share by which counts are off."""
     events, keys = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value"), ["event_type"]
 
     def states(rows: DataFrame) -> DataFrame:
@@ -206,11 +207,13 @@ def sketched_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = per_user.groupBy(*keys).agg(F.count(F.lit(1)).alias("users"), F.max("n").alias("most"))
     middle = told.select(*keys, F.col("value_quantiles")[0].alias("middle"))
     below = events.join(middle, keys).groupBy(*keys).agg(F.avg((F.col("value") <= F.col("middle")).cast("int")).alias("share"))
+    count, share = F.get("user_frequent", F.lit(0))["count"], F.col("rows") * FREQUENT_ERROR
+    frequent = F.when(count.isNull(), F.col("most") <= 2 * share).otherwise(F.abs(count - F.col("most")) <= share)
     return told.join(exact, keys).join(below, keys).select(
         *keys,
         "rows",
         "users",
         (F.abs(F.col("user_distinct") - F.col("users")) <= 4 * DISTINCT_ERROR * F.col("users")).alias("users_ok"),
         (F.abs(F.col("share") - 0.5) <= 2 * QUANTILE_ERROR).alias("median_ok"),
-        (F.abs(F.col("user_frequent")[0]["count"] - F.col("most")) <= F.col("rows") / FREQUENT).alias("frequent_ok"),
+        frequent.alias("frequent_ok"),
     )

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from millrace.operators.sketches import DISTINCT_ERROR, estimates, merge_sketches, sketch
 from millrace.sources.deltas import Deltas, summed
 from millrace.streaming.windows import LateWindows, run_to_files, running_word_counts, within
@@ -68,6 +69,17 @@ def test_sketches_merge_and_roll_up(spark):
     assert empty.collect() == []
 
 
+def test_no_value_is_surely_frequent(spark, tmp_path):
+    """More users than a state keeps track of, all of them rare: none is told, which is no error."""
+    rows = spark.range(40_000).selectExpr("id AS event_id", "TIMESTAMP_NTZ '2024-01-01' AS ts", "id % 8000 AS user_id", "IF(id < 30000, 'view', 'click') AS event_type", "CAST(id AS DOUBLE) AS value", "'' AS props")
+    # A user with a tenth of the purchases, among too many others.
+    some = spark.range(20_000).selectExpr("id AS event_id", "TIMESTAMP_NTZ '2024-01-01' AS ts", "IF(id % 10 = 0, -1, id) AS user_id", "'purchase' AS event_type", "CAST(id AS DOUBLE) AS value", "'' AS props")
+    rows.union(some).write.parquet(str(tmp_path / "events.parquet"))
+    assert estimates(sketch(rows, [], frequent={"u": "user_id"}), []).first().u_frequent == []
+    got = {r.event_type: tuple(r)[1:] for r in queries()["sketched_types"](spark, str(tmp_path)).collect()}
+    assert got == {"view": (30_000, 8_000, True, True, True), "click": (10_000, 8_000, True, True, True), "purchase": (20_000, 18_001, True, True, True)}
+
+
 def test_word_counts_go_on_where_they_stopped(spark, tmp_path):
     src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
     schema = "text string"
