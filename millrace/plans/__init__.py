@@ -4,21 +4,25 @@ from millrace.plans.spread import (
     chunked,
     global_slice,
     hot_keys,
+    in_even_tasks,
     key_slice,
     latest_before,
     positions,
     previous,
     running_before,
     spread_join,
+    whole_chunks,
 )
 
 __all__ = [
     "chunked",
     "global_slice",
     "hot_keys",
+    "in_even_tasks",
     "key_slice",
     "positions",
     "previous",
     "running_before",
     "spread_join",
+    "whole_chunks",
 ]

@@ -320,6 +320,13 @@ def _near_chunks(df, keys, order, size, start, from_end, layout) -> DataFrame:
     )
 
 
+def in_even_tasks(df: DataFrame, by: Sequence[str], rows: int) -> DataFrame:
+    """Deal ``df`` by a hash of the columns ``by`` over tasks of about ``SLICE_ROWS_PER_CHUNK`` rows (over ``MAX_CHUNKS`` tasks, when these
+    get more). A file that holds many rows in few bytes is one task otherwise. ``rows`` is about how many there are."""
+    tasks = min(MAX_CHUNKS, -(-rows // SLICE_ROWS_PER_CHUNK))
+    return df.repartition(tasks, *by) if tasks > 1 else df
+
+
 def spread_join(
     df: DataFrame,
     per_key: DataFrame,
@@ -348,6 +355,31 @@ def spread_join(
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], *[F.col(f"r.{c}") for c in extra])
 
 
+def whole_chunks(
+    df: DataFrame,
+    order: Sequence[str],
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+    max_chunks: int = MAX_CHUNKS,
+    rows: int | None = None,
+) -> DataFrame:
+    """Add ``_chunk``: 0, 1, ... along ``order`` over the whole set. Rows that are equal in ``order`` share a chunk.
+
+    With ``rows``, how many there are at most, they are not counted here, and the search for a row's chunk is shorter.
+    """
+    whole = df.withColumn("_all", F.lit(0))
+    # The rate follows the number of rows, so that the sample sorted in one task has a size of its own.
+    if rows is None:
+        rate = F.ceil(F.count(F.lit(1)) / (max_chunks * SAMPLE_PER_CHUNK)).cast("long")
+        least_rate = df.agg(rate.alias("rate")).scalar()
+    else:
+        least_rate = F.lit(-(-rows // (max_chunks * SAMPLE_PER_CHUNK))).cast("long")
+        max_chunks = min(max_chunks, 2 * (rows // rows_per_chunk) + SAMPLE_PER_CHUNK)
+    cuts = _cut_points(whole, ["_all"], order, rows_per_chunk, max_chunks, least_rate)
+    cuts = cuts.select(F.struct(F.col(_POS).alias("pos")).alias("_cut"))
+    everything = {"_from": F.lit(0), "_till": F.lit(max_chunks)}
+    return _with_chunk(df.withColumns(everything), cuts, order, max_chunks)
+
+
 def global_slice(
     df: DataFrame,
     order: Sequence[str],
@@ -365,13 +397,7 @@ def global_slice(
     if size is None:
         first = global_slice(df, order, start, 1, rows_per_chunk, max_chunks).select(F.struct(*order).alias("at"))
         return df.filter(F.struct(*order) >= first.scalar()).orderBy(*order)
-    whole = df.withColumn("_all", F.lit(0))
-    # The rate follows the number of rows, so that the sample sorted in one task has a size of its own.
-    rate = F.ceil(F.count(F.lit(1)) / (max_chunks * SAMPLE_PER_CHUNK)).cast("long")
-    cuts = _cut_points(whole, ["_all"], order, rows_per_chunk, max_chunks, df.agg(rate.alias("rate")).scalar())
-    cuts = cuts.select(F.struct(F.col(_POS).alias("pos")).alias("_cut"))
-    everything = {"_from": F.lit(0), "_till": F.lit(max_chunks)}
-    rows = _with_chunk(df.withColumns(everything), cuts, order, max_chunks)
+    rows = whole_chunks(df, order, rows_per_chunk, max_chunks)
     # One row per chunk: at most max_chunks + 1 rows pass this window and are broadcast.
     ahead = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     reach = (

@@ -77,10 +77,8 @@ def errors_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def spans_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many spans of other users each live span overlaps, and until when."""
-    spans = _spans(spark, sf_dir)
-    taken = {"other": "user_id", "other_expires_at": "expires_at"}
-    span = ("first_beat", "expires_at")
-    pairs = overlap_join(spans, spans, [], span, span, taken, closed=False, where=F.col("user_id") != F.col("other"))
-    return pairs.groupBy("user_id", "first_beat").agg(
-        F.count(F.lit(1)).alias("others"), F.max(F.least("expires_at", "other_expires_at")).alias("latest")
+    spans, span = _spans(spark, sf_dir), ("first_beat", "expires_at")
+    pairs = overlap_join(
+        spans, spans, [], span, span, closed=False, apart=("user_id", "user_id"), per=["user_id", "first_beat"]
     )
+    return pairs.select("user_id", "first_beat", F.col("pairs").alias("others"), F.col("until").alias("latest"))

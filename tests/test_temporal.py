@@ -164,3 +164,36 @@ def test_a_hot_key_is_spread_over_chunks(spark, capsys):
     rows = spark.range(4000).selectExpr("CAST(IF(id % 3 = 0, 1, id) AS INT) AS key", "id AS t", "id")
     asof_join(rows, rows, ["key"], "t", "t", {"other": "id"}, exact=False, rows_per_chunk=64).explain("formatted")
     assert "_chunk" in capsys.readouterr().out
+
+@pytest.mark.parametrize("closed", [True, False])
+@pytest.mark.parametrize("keyed", [True, False])
+@pytest.mark.parametrize("apart", [True, False])
+def test_overlap_totals(spark, closed, keyed, apart):
+    """Pairs that are counted, against pairs that are made."""
+    schema = "key int, start bigint, stop bigint, id int, of int"
+    left, right = (
+        spark.createDataFrame([(*r, None if r[3] % 19 == 0 else r[3] % 5) for r in rows], schema)
+        for rows in (intervals(3, 260, 4_000), intervals(4, 200, 300))
+    )
+    common = {"on": ["key"] if keyed else [], "left_span": ("start", "stop"), "right_span": ("start", "stop"), "closed": closed}
+    common["apart"] = ("of", "of") if apart else None
+    pairs = overlap_join(left, right, take={"other_stop": "stop"}, **common)
+    want = pairs.groupBy("key", "id").agg(F.count(F.lit(1)), F.max(F.least("stop", "other_stop"))).collect()
+    got = overlap_join(left, right, per=["key", "id"], **common, **SMALL)
+    assert got.columns == ["key", "id", "pairs", "until"] and len(want) > 50
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want), key=repr)
+    with pytest.raises(ValueError):
+        overlap_join(left, right, take={"x": "stop"}, per=["id"], **common)
+
+
+def test_the_work_of_counting_does_not_grow_with_the_pairs(spark, capsys):
+    # All 20,000 intervals of 1,000 keys overlap: 400 million pairs.
+    rows = spark.range(20_000).selectExpr("id % 1000 AS of", "id AS start", "id + 100000 AS stop")
+    span = ("start", "stop")
+    got = overlap_join(rows, rows, [], span, span, apart=("of", "of"), per=["of", "start"], rows_per_chunk=4_096)
+    got.explain("formatted")
+    # The one join is that of rows with the sums of earlier buckets.
+    text = capsys.readouterr().out.split("\n\n")[0]
+    assert text.count("Join") == 1 and "BroadcastHashJoin LeftOuter" in text
+    told = got.agg(F.min("pairs"), F.max("pairs"), F.min(F.col("until") - F.col("start")), F.count(F.lit(1))).first()
+    assert tuple(told) == (19_980, 19_980, 99_999, 20_000)
