@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import merge_lists
-from millrace.plans import spread_join
+from millrace.plans import in_even_tasks, spread_join
 
 # Header lines of the sections of an application log, in order.
 LOG_HEADERS = ("stdout: ", "\nstderr: ", "\nYARN Diagnostics: ")
@@ -42,10 +42,16 @@ def split_by_blacklist(
 
 
 def merge_layers(
-    df: DataFrame, group: Sequence[str], key: str, value: str, layer: Sequence[str]
+    df: DataFrame, group: Sequence[str], key: str, value: str, layer: Sequence[str], even: bool = False
 ) -> DataFrame:
     """``group, key, value``: the value of the last layer for every key of a group. ``layer`` names
-    the columns by which layers rank; end them in a unique column."""
+    the columns by which layers rank; end them in a unique column.
+
+    Spark sorts the rows of each task for this, so they are counted and dealt over even tasks first, a hot key by its
+    layers; ``even`` tells that they lie so.
+    """
+    if not even:
+        df = in_even_tasks(df, [*group, key, *layer], df.count())
     return df.groupBy(*group, key).agg(F.max_by(value, F.struct(*layer)).alias(value))
 
 
@@ -65,7 +71,12 @@ def effective_settings(
     setting becomes the user's files followed by the configured ones, both put under ``default_fs`` and checked
     against the ``allowed`` local folders; empty lists are dropped. A list with a path that cannot be used has no
     value but an error, which rejects its group. Every group of ``settings`` gets the forced settings.
+
+    Both inputs are counted and dealt over even tasks by group and key, so that what a task sorts does not grow with its
+    file; the join is no broadcast, as Spark's guess of the size is that of the file.
     """
+    rows, at = settings.count() + lists.count(), [*group, "key"]
+    settings = in_even_tasks(settings.select(*at, "value"), at, rows)
     cols = [*group, "key", "value", "error", "_layer"]
     fine = F.lit(None).cast("string")
     user = settings.withColumns({"_layer": F.lit(0), "error": fine}).select(cols)
@@ -78,17 +89,18 @@ def effective_settings(
         )
         .select(*group, "_kv.*", fine.alias("error"), F.lit(1).alias("_layer"))
     )
-    list_keys = lists.select(*group, "key", "files")
+    list_keys = in_even_tasks(lists.select(*at, "files"), at, rows)
     merged = (
-        list_keys.join(settings.select(*group, "key", "value"), [*group, "key"], "left")
-        .withColumn("_list", merge_lists(F.col("files"), F.col("value"), default_fs, allowed))
+        list_keys.join(settings.hint("merge"), at, "left")
+        # Generated, so that the optimizer does not write the check out twice, in the filter and for its result.
+        .withColumn("_list", F.explode(F.array(merge_lists(F.col("files"), F.col("value"), default_fs, allowed))))
         .withColumns({"value": F.col("_list.value"), "error": F.col("_list.error"), "_layer": F.lit(2)})
         .filter(F.col("value").isNotNull() | F.col("error").isNotNull())
         .select(cols)
     )
     every = user.unionByName(server).unionByName(merged)
     held = every.select(*group, "key", F.struct("value", "error").alias("_held"), "_layer")
-    return merge_layers(held, group, "key", "_held", ["_layer"]).select(*group, "key", "_held.*")
+    return merge_layers(held, group, "key", "_held", ["_layer"], even=True).select(*group, "key", "_held.*")
 
 
 def reconcile(

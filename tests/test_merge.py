@@ -54,6 +54,23 @@ def test_settings(spark):
     }
 
 
+def test_a_file_of_many_settings_is_dealt_over_tasks(spark, tmp_path, capsys):
+    spark.range(150_000).selectExpr("id", "'spark.jars' AS key", "'/a' AS value").coalesce(1).write.parquet(str(tmp_path / "one"))
+    settings = spark.read.parquet(str(tmp_path / "one"))
+    lists = settings.filter("id % 3 = 0").select("id", "key", F.array(F.lit("/b")).alias("files"))
+    got = effective_settings(settings, ["id"], {"spark.master": "yarn"}, lists, "dummy:///")
+    got.explain("formatted")
+    plan = capsys.readouterr().out
+    # Four tasks for 200,000 rows; no settings are sent to all tasks, and paths are checked once (the check names its message twice).
+    assert plan.count("REPARTITION_BY_NUM") >= 3 and ", 4), REPARTITION_BY_NUM" in plan and "BroadcastHashJoin" not in plan
+    assert plan.count("is not absolute") == 2
+    assert {tuple(r) for r in got.groupBy("key", "value", "error").count().collect()} == {
+        ("spark.master", "yarn", None, 150_000), ("spark.jars", "/a", None, 100_000), ("spark.jars", "dummy:///b,dummy:///a", None, 50_000),
+    }
+    merge_layers(settings, ["id"], "key", "value", ["value"]).explain("formatted")
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
 def test_reconcile(spark):
     apps = spark.createDataFrame([(1, ["t1", "x"]), (2, ["t1", "t1"]), (3, [])], "app int, tags array<string>")
     wanted = spark.createDataFrame([("T1", 0), ("old", 0), ("new", 95)], "tag string, added int")
